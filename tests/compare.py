@@ -1,0 +1,30 @@
+"""Runs queries in Spark and their SQL in DuckDB and compares the rows, whatever their order."""
+
+from pathlib import Path
+
+import duckdb
+
+
+def oracle_connection(sf_dir):
+    con = duckdb.connect()
+    for path in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
+
+
+def _rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
+
+
+def difference(df, con, sql):
+    """None if both give the same rows, else a short account of the difference."""
+    relation = con.sql(sql)
+    expected = _rows(relation.columns, relation.fetchall())
+    actual = _rows(df.columns, [tuple(r) for r in df.collect()])
+    if sorted(df.columns) != sorted(relation.columns):
+        return f"columns {sorted(df.columns)} != {sorted(relation.columns)}"
+    if actual == expected:
+        return None
+    differing = [(a, e) for a, e in zip(actual, expected) if a != e]
+    return f"{len(actual)} rows, {len(expected)} expected; first difference: {differing[:1]}"
