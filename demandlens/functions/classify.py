@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens import rules
-from demandlens.functions.text import as_col, max_years, normalize_skill
+from demandlens.functions.text import as_col, bind, max_years, normalize_skill
 
 
 def _title_role(lowered: Column, title_rules) -> Column:
@@ -32,15 +32,21 @@ def _job_level(lowered_title: Column, seniority: Column) -> Column:
     )
 
 
+def _score(lowered: Column, keywords) -> Column:
+    # A filter over a literal array: with dozens of keywords it runs faster than as many added-up
+    # tests, whose generated method grows too large for the JVM to compile.
+    present = F.filter(F.array(*[F.lit(k) for k in dict.fromkeys(keywords)]), lambda k: F.contains(lowered, k))
+    return F.size(present)
+
+
 def _text_role(lowered: Column, keyword_rules) -> Column:
     # One struct per role, ordered by (score, earlier declaration).  The "unknown" entry wins only
     # when every score is zero.
-    entries = [F.struct(F.lit(0).alias("score"), F.lit(1).alias("priority"), F.lit(rules.UNKNOWN_ROLE).alias("role"))]
-    for i, (role, keywords) in enumerate(keyword_rules.items()):
-        score = reduce(
-            lambda a, b: a + b, [F.coalesce(lowered.contains(k), F.lit(False)).cast("int") for k in dict.fromkeys(keywords)]
-        )
-        entries.append(F.struct(score.alias("score"), F.lit(-i).alias("priority"), F.lit(role).alias("role")))
+    def entry(score, priority, role):
+        return F.struct(score.alias("score"), F.lit(priority).alias("priority"), F.lit(role).alias("role"))
+
+    entries = [entry(F.lit(0), 1, rules.UNKNOWN_ROLE)]
+    entries += [entry(_score(lowered, words), -i, role) for i, (role, words) in enumerate(keyword_rules.items())]
     return F.greatest(*entries).getField("role")
 
 
@@ -72,20 +78,18 @@ def level_from_job(title, seniority) -> Column:
 
 def role_from_text(c, keyword_rules=None) -> Column:
     """Role of free text: the role with most of its keywords present; the first declared on a tie."""
-    return _text_role(F.lower(as_col(c)), keyword_rules or rules.KEYWORD_RULES)
+    text = F.coalesce(F.lower(as_col(c)), F.lit(""))
+    return bind(text, lambda t: _text_role(t, keyword_rules or rules.KEYWORD_RULES))
 
 
 def keyword_score(c, keywords) -> Column:
     """How many distinct keywords occur in the text."""
-    lowered = F.lower(as_col(c))
-    hits = [F.coalesce(lowered.contains(k), F.lit(False)).cast("int") for k in dict.fromkeys(keywords)]
-    return reduce(lambda a, b: a + b, hits)
+    return bind(F.coalesce(F.lower(as_col(c)), F.lit("")), lambda t: _score(t, keywords))
 
 
 def level_from_text(c) -> Column:
     """Level of free text: the words "senior" or "mid" anywhere in it, or its largest "N years"."""
-    lowered = F.lower(as_col(c))
-    return _text_level(lowered, max_years(lowered))
+    return bind(F.lower(as_col(c)), lambda t: _text_level(t, max_years(t)))
 
 
 def level_from_experience(c) -> Column:
@@ -112,7 +116,7 @@ def add_text_class(cvs: DataFrame, keyword_rules=None) -> DataFrame:
     """Add ``role``, ``level`` and the lowercase text ``cv_text_lower`` to text CVs."""
     text = F.col("cv_text_lower")
     return (
-        cvs.withColumn("cv_text_lower", F.lower("cv_text"))
+        cvs.withColumn("cv_text_lower", F.coalesce(F.lower("cv_text"), F.lit("")))
         .withColumn("_years", max_years(text))
         .withColumns(
             {

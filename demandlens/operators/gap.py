@@ -66,7 +66,7 @@ def _has_skill(cvs: DataFrame, name: Column) -> Column:
     # A market skill comes from the postings the vocabulary comes from, so a text has it exactly if
     # extraction would find it: looking for the slice's few names gives the same matches.
     if "cv_text_lower" in cvs.columns:
-        return F.coalesce(F.contains(F.col("cv_text_lower"), name), F.lit(False))
+        return F.contains(F.col("cv_text_lower"), name)
     return F.array_contains("cv_skill_names", name)
 
 

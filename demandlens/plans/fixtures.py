@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _nth(values, index: Column) -> Column:
-    return F.array(*[F.lit(v) for v in values])[index.cast("int")]
+    # Splitting a literal is folded into one array literal when the query is optimized.
+    return F.split(F.lit("|".join(values)), "[|]")[index.cast("int")]
 
 
 def _skill_run(key: Column, step: int) -> Column:
@@ -44,13 +45,18 @@ def _skill_run(key: Column, step: int) -> Column:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings, plus ``applicant_id``: the CV that applied to the posting."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        _nth(SKILLS, F.col("l_partkey") % 40).alias("required"),
-        _nth(SKILLS, (F.col("l_suppkey") * 3) % 40).alias("preferred"),
+    # Lists cannot be combined before the shuffle, so the line items move as four numbers each.
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .select(*keys)
+        .repartition("l_orderkey")
+        .withColumns(
+            {
+                "required": _nth(SKILLS, F.col("l_partkey") % 40),
+                "preferred": _nth(SKILLS, (F.col("l_suppkey") * 3) % 40),
+            }
+        )
     )
     lists = lines.groupBy("l_orderkey").agg(
         F.expr(
@@ -69,7 +75,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("")
     )
     company = F.concat(F.lit(" Company "), (F.col("o_custkey") % 400).cast("string"), F.lit(" "))
-    orders = table(spark, sf_dir, "orders").filter(
+    columns = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"]
+    orders = spread(table(spark, sf_dir, "orders").select(*columns)).filter(
         ~title.isin(8, 9) & ~(title.isin(10, 11) & (priority == "2-HIGH"))
     )
     return orders.join(lists, orders.o_orderkey == lists.l_orderkey, "left").select(
@@ -115,7 +122,7 @@ def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 6 == 3, "graduate")
         .when(key % 6 == 4, "1-4 years")
     )
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(
         key.alias("cv_id"),
         F.col("c_name").alias("full_name"),
         _nth(TITLES, key % 13).alias("primary_field"),

@@ -16,6 +16,8 @@ def local_session(cores="*", shuffle_partitions=8, app="demandlens") -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # Call sites of column expressions are for interactive debugging; recording them slows plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

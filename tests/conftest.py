@@ -1,0 +1,54 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
+
+from demandlens.session import local_session  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8)
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def evaluate(spark):
+    """Evaluate a column over rows of values and return its results in order."""
+    from pyspark.sql import functions as F
+
+    def run(column, rows, schema):
+        numbered = [(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)]
+        df = spark.createDataFrame(numbered, f"_i int, {schema}").repartition(4)
+        return [r.v for r in df.select("_i", column.alias("v")).orderBy(F.col("_i")).collect()]
+
+    return run
+
+
+JOBS_SCHEMA = (
+    "job_ord long, job_title string, seniority_level string, required_skills string, "
+    "preferred_skills string, company_name string"
+)
+
+
+@pytest.fixture(scope="session")
+def make_jobs(spark):
+    def make(*rows):
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], JOBS_SCHEMA)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def frontend_jobs(make_jobs):
+    return make_jobs(
+        ("Frontend Developer", "Mid", "React, HTML, javascript", None, "Beta"),
+        ("Mid-level Frontend Developer", None, "JavaScript, HTML, React", "", " Acme "),
+        ("Senior Frontend Developer", None, "CSS", None, "Gamma"),
+    )
