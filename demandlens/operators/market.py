@@ -13,68 +13,58 @@ from pyspark.sql.window import Window
 from demandlens import rules
 from demandlens.functions.classify import add_posting_class
 from demandlens.functions.labels import demand_bucket, percent_1dp
-from demandlens.functions.text import present, split_skills
+from demandlens.functions.text import has_odd_space, strip
 
 POSTING, SKILL, COMPANY = "posting", "skill", "company"
-
-
-def _entry(kind: str, value: Column, pos: Column, n: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), value.alias("value"), pos.alias("pos"), n.cast("bigint").alias("n"))
+# More than any array can hold, so (posting, position) fits one exact number.
+POSITIONS = 2147483648
 
 
 def _entries(jobs: DataFrame, kinds, title_rules) -> DataFrame:
-    """One row per posting and entry: the posting itself, its company, each of its distinct skills.
+    """One row per posting and entry: the posting itself, its company, each of its listed skills.
 
-    A skill listed twice is one entry with ``n = 2``, at its first position.
+    ``seen`` orders the entries of a slice: by posting, then by place in its list.  One number, so
+    that its minimum is found by a hash aggregate (a struct would force a sort).
     """
-    base = add_posting_class(jobs, title_rules)
-    parts = [F.array(_entry(POSTING, F.lit(None).cast("string"), F.lit(0), F.lit(1)))]
-    if COMPANY in kinds:
-        base = base.withColumn("_company", present("company_name"))
-        one = F.array(_entry(COMPANY, F.col("_company"), F.lit(0), F.lit(1)))
-        parts.append(F.filter(one, lambda e: e.value.isNotNull()))
-    if SKILL in kinds:
-        base = base.withColumn("_skills", split_skills("required_skills"))
-        base = base.withColumn("_distinct", F.array_distinct("_skills"))
-        repeats = F.size("_skills") > F.size("_distinct")
-        parts.append(
-            F.transform(
-                "_distinct",
-                lambda s, i: _entry(
-                    SKILL,
-                    s,
-                    i,
-                    F.when(repeats, F.size(F.filter("_skills", lambda x: x == s))).otherwise(1),
-                ),
-            )
+    nothing = F.lit(None).cast("string")
+    company = F.col("company_name") if COMPANY in kinds else nothing
+    head = F.array(nothing, company)
+    items = F.concat(head, F.split(F.coalesce("required_skills", F.lit("")), ",")) if SKILL in kinds else head
+    sources = [F.col(c) for c, k in (("company_name", COMPANY), ("required_skills", SKILL)) if k in kinds]
+    odd = has_odd_space(F.concat_ws(",", *sources)) if sources else F.lit(False)
+    stripped = F.when(F.col("_odd"), strip("_item")).otherwise(F.trim("_item"))
+    kind = F.when(F.col("_pos") == 0, POSTING).when(F.col("_pos") == 1, COMPANY).otherwise(SKILL)
+    return (
+        add_posting_class(jobs, title_rules)
+        .withColumn("_odd", odd)
+        .select("role", "level", "job_ord", "_odd", F.posexplode(items).alias("_pos", "_item"))
+        .withColumn("value", stripped)
+        .filter((F.col("_pos") == 0) | (F.col("value") != ""))
+        .select(
+            "role",
+            "level",
+            kind.alias("kind"),
+            "value",
+            (F.col("job_ord").cast("decimal(20,0)") * F.lit(POSITIONS) + F.col("_pos")).cast("decimal(38,0)").alias("seen"),
         )
-    return base.select("role", "level", "job_ord", F.inline(F.concat(*parts)))
+    )
 
 
 def demand(jobs: DataFrame, kinds=(SKILL, COMPANY), title_rules=None) -> DataFrame:
-    """Counts of every entry of every slice: ``role, level, kind, value, n, first_job, first_pos``.
+    """Counts of every entry of every slice: ``role, level, kind, value, n, seen``.
 
-    ``level`` is null for the slice of a whole role.  ``first_job`` and ``first_pos`` tell where
-    the entry was first seen; plain numbers, so the aggregates stay hash aggregates.
+    ``level`` is null for the slice of a whole role.  ``seen`` tells where the entry was first seen.
     """
     keys = ["role", "level", "kind", "value"]
     by_level = (
         _entries(jobs, kinds, title_rules)
         .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("n"),
-            F.min_by("pos", "job_ord").alias("first_pos"),
-            F.min("job_ord").alias("first_job"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
     )
     return (
         by_level.withColumn("level", F.explode(F.array("level", F.lit(None).cast("string"))))
         .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("n"),
-            F.min_by("first_pos", "first_job").alias("first_pos"),
-            F.min("first_job").alias("first_job"),
-        )
+        .agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     )
 
 
@@ -87,8 +77,7 @@ def _ranked(counts: DataFrame, k: int) -> DataFrame:
     is_skill = F.col("kind") == SKILL
     order = [
         F.when(is_skill, -F.col("n")),
-        F.when(is_skill, F.col("first_job")),
-        F.when(is_skill, F.col("first_pos")),
+        F.when(is_skill, F.col("seen")),
         F.col("value"),
     ]
     window = Window.partitionBy("role", "level", "kind").orderBy(*order)

@@ -44,6 +44,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# Any of them but the plain space.
+ODD_SPACE_PATTERN = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # ---- Fixed values: report sizes, demand buckets, alignment cut-offs -----------------------------
 TOP_K = 20
