@@ -16,7 +16,9 @@ from demandlens.functions.text import as_col, bind, max_years, normalize_skill
 def _title_role(lowered: Column, title_rules) -> Column:
     chain = F
     for role, variants in title_rules.items():
-        hit = reduce(lambda a, b: a | b, [lowered.contains(v) for v in variants])
+        # A variant that contains another one of its role cannot add a hit.
+        shortest = [v for v in variants if not any(other != v and other in v for other in variants)]
+        hit = reduce(lambda a, b: a | b, [lowered.contains(v) for v in shortest])
         chain = chain.when(hit, F.lit(role))
     return chain.otherwise(F.lit(rules.UNKNOWN_ROLE))
 
