@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from compare import difference, oracle_connection
 from conftest import SMALL
+from demandlens.plans import oracles
+from demandlens.plans import queries as plans
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = plans.QUERIES, oracles.STATEMENTS
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_the_entry_offers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_only_the_random_pick_has_no_sql():
     assert set(QUERIES) - set(SQL) == {"random_row"} and set(SQL) <= set(QUERIES)
 
