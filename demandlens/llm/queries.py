@@ -6,6 +6,7 @@ from demandlens.llm.common import read_table
 from demandlens.llm.exact import exact_dedup
 from demandlens.llm.lines import line_dedup
 from demandlens.llm.sharding import shard
+from demandlens.llm.warc import archive_round_trip
 
 QUERIES, STATEMENTS = {}, {}
 
@@ -56,3 +57,22 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id
 """
+
+
+@query
+def op9_warc(spark, sf_dir):
+    """What the archives of all pages say about each page."""
+    pages = read_table(spark, sf_dir, "pages")
+    return archive_round_trip(pages, min_bytes=100).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+STATEMENTS["op9_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
