@@ -11,6 +11,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: Bytes of intake (digests and places, not texts) in one micro-batch.
 BATCH_BYTES = 1 << 30
+#: Bits of the filter by which texts that no other equals stay where they are; 64 to a row, 65,536 rows.
+FILTER_BITS = 1 << 22
 
 
 def normalised(text_col) -> Column:
@@ -89,7 +91,8 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest=None,
 
     Digests go through the state (`drain`), texts do not.  Of documents whose digest repeats, the whole text is
     compared with the text that the state points to; where it differs (two texts with one digest), the rows of
-    that digest which differ are grouped by their text.
+    that digest which differ are grouped by their text.  Other texts are not shuffled, but for the few that a
+    filter of ``FILTER_BITS`` bits lets through; it is of that size whatever the input.
     """
     spark = docs.sparkSession
     located = _located(docs, id_col, text_col)
@@ -101,17 +104,24 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest=None,
     intake = spark.read.schema(intake.schema).parquet(folder)
     state = written(drain(spark, folder, intake.schema, batch_bytes), "exact-state-last")
 
-    grouped = intake.join(state, "digest")
+    # Only texts whose digest may repeat are moved: a bit for each digest that does, in a fixed number of words.
+    bit = F.xxhash64("digest").bitwiseAND(F.lit(FILTER_BITS - 1))
+    repeated = state.filter("copies > 1")
+    words = repeated.groupBy(F.shiftright(bit, 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(digest) & 63 as int))")).alias("_bits")
+    )
+    told = located.withColumn("digest", digest(sha)).withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(words), "_word")
+    hits = told.filter("(shiftright(_bits, cast(xxhash64(digest) & 63 as int)) & 1) = 1").drop("_word", "_bits")
     leads = F.struct("_file", "_row") == F.struct("first._file", "first._row")
-    hits = written(
-        grouped.filter("copies > 1").select("_file", "_row", "digest", leads.alias("leads")).distinct(), "exact-hits"
+    texts = written(
+        hits.join(repeated, "digest").select("_id", "_file", "_row", "digest", "_text", leads.alias("leads")), "exact-hits"
     )
-    texts = located.join(hits, ["_file", "_row"])
-    leaders = texts.filter("leads").groupBy("digest").agg(F.max("_text").alias("_lead"))
+    leaders = texts.filter("leads").select("digest", F.col("_text").alias("_lead")).dropDuplicates(["digest"])
     # Texts that share a digest with another text; as good as always none.
     odd = written(
         texts.join(leaders, "digest").filter("_text != _lead").select("_id", "_file", "_row", "digest", "_text"), "exact-odd"
     )
+    grouped = intake.join(state, "digest")
     own = odd.groupBy("digest", "_text").agg(F.min("_id").alias("_own_id"), F.count(F.lit(1)).alias("_own_size"))
     own = odd.join(own, ["digest", "_text"]).select("_file", "_row", "_own_id", "_own_size").distinct()
     away = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("_away"))
