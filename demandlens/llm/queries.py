@@ -1,10 +1,13 @@
 """One query for each operator, on the whole table, and the SQL that some are checked with."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from demandlens.llm.bpe import encode_digests
 from demandlens.llm.common import read_table
 from demandlens.llm.exact import exact_dedup
 from demandlens.llm.lines import line_dedup
+from demandlens.llm.packing import pack
 from demandlens.llm.sharding import shard
 from demandlens.llm.warc import archive_round_trip
 
@@ -76,3 +79,16 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
 FROM f
 """
+
+
+@query
+def op8_byte_bpe(spark, sf_dir):
+    """Ids of every whole text, and what they decode to, as digests."""
+    docs = read_table(spark, sf_dir, "documents")
+    return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, spaced=True)
+
+
+@query
+def op4_packing(spark, sf_dir):
+    """Where every piece of every document goes in sequences of 1024 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
