@@ -224,12 +224,12 @@ def _each(docs: DataFrame, path: str, pattern: str, spaced, id_col, text_col, fi
                 rows.append(row(ids, bpe.decode(np.frombuffer(ids, "<u4"))))
             names = [f.split()[0] for f in fields.split(", ")]
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, id_col, batch["_id"].to_numpy(object))
+            out.insert(0, id_col, batch["_id"].to_numpy(object))  # as text, for a null among numbers would make them floats
             yield out
 
     ship(docs.sparkSession)
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return text.mapInPandas(run, f"{id_col} {id_type}, {fields}")
+    text = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return text.mapInPandas(run, f"{id_col} string, {fields}").withColumn(id_col, F.col(id_col).cast(id_type))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, spaced=False, id_col="doc_id", text_col="text") -> DataFrame:

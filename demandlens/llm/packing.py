@@ -77,8 +77,8 @@ def pieces(docs: DataFrame, path: str, capacity=CAPACITY, end=END, keep_ids=Fals
             yield pd.DataFrame(rows, columns=names)
 
     ship(docs.sparkSession)
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return text.mapInPandas(cut, f"{id_col} {id_type}, {fields}")
+    text = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return text.mapInPandas(cut, f"{id_col} string, {fields}").withColumn(id_col, F.col(id_col).cast(id_type))
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, int]]:
@@ -274,6 +274,8 @@ def pack(
 
     ship(spark)
     nth = numbered(cut, "length", [id_col, "piece", "ids_crc32"], "_nth")
-    nth = nth.select(*cut.columns, "_nth")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return nth.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    kind = dict(cut.dtypes)[id_col]
+    nth = nth.select(F.col(id_col).cast("string").alias(id_col), *cut.columns[1:], "_nth")
+    schema = ", ".join(f"{name} {'string' if name == id_col else kind}" for name, kind in cut.dtypes)
+    placed = nth.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return placed.withColumn(id_col, F.col(id_col).cast(kind))

@@ -8,6 +8,7 @@ from demandlens.llm.common import read_table
 from demandlens.llm.exact import exact_dedup
 from demandlens.llm.lines import line_dedup
 from demandlens.llm.packing import pack
+from demandlens.llm.quality import classify_quality
 from demandlens.llm.sharding import shard
 from demandlens.llm.warc import archive_round_trip
 
@@ -92,3 +93,10 @@ def op8_byte_bpe(spark, sf_dir):
 def op4_packing(spark, sf_dir):
     """Where every piece of every document goes in sequences of 1024 tokens."""
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
+
+
+@query
+def op3_quality(spark, sf_dir):
+    """Quality of every document, learned from labels outside the held-out fold."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return classify_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")

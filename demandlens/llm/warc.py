@@ -116,7 +116,9 @@ def write_records(rows: DataFrame, folder: str, archive_bytes=ARCHIVE_BYTES, lev
 
     ship(rows.sparkSession)
     columns = ["page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"]
-    return written(rows.select(*columns).mapInPandas(write, FILES), "warc-files")
+    # Ids go as text, for a null among numbers would make them floats.
+    rows = rows.select(*columns).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return written(rows.mapInPandas(write, FILES), "warc-files")
 
 
 def with_revisits(pages: DataFrame, min_bytes=100) -> DataFrame:
