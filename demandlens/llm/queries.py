@@ -7,9 +7,11 @@ from demandlens.llm.bpe import encode_digests
 from demandlens.llm.common import read_table
 from demandlens.llm.exact import exact_dedup
 from demandlens.llm.lines import line_dedup
+from demandlens.llm.ngrams import near_sets
 from demandlens.llm.packing import pack
 from demandlens.llm.quality import classify_quality
 from demandlens.llm.sharding import shard
+from demandlens.llm.vectors import near_duplicates
 from demandlens.llm.warc import archive_round_trip
 
 QUERIES, STATEMENTS = {}, {}
@@ -100,3 +102,40 @@ def op3_quality(spark, sf_dir):
     """Quality of every document, learned from labels outside the held-out fold."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return classify_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op1_embedding_near_dedup(spark, sf_dir):
+    """Links and component of every vector at a cosine of 0.9."""
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+STATEMENTS["op1_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+          ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT x AS vec_id, (SELECT count(*) FROM links l WHERE l.x = r.x) AS n_links, min(y) AS component_id, x = min(y) AS kept
+FROM reach r GROUP BY x
+"""
+
+
+@query
+def op6_ngram_jaccard(spark, sf_dir):
+    """Component of every document among sets of four-word shingles at a Jaccard similarity of 0.85."""
+    return near_sets(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+STATEMENTS["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM reach LEFT JOIN n ON doc_id = x GROUP BY x
+"""
