@@ -7,8 +7,11 @@ from pyspark.sql import types as T
 
 from demandlens.llm.common import BLANK_RUN, scratch, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, and let go by an executor once it is committed: few batches follow, and each part takes megabytes.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 #: Bytes of intake (digests and places, not texts) in one micro-batch.
 BATCH_BYTES = 1 << 30
 #: Bits of the filter by which texts that no other equals stay where they are; 64 to a row, 65,536 rows.
@@ -42,7 +45,7 @@ def drain(spark: SparkSession, intake: str, schema, batch_bytes=BATCH_BYTES) ->
     rows had it.  Every micro-batch writes the states that it changed into a folder of its own, so a batch
     that is repeated overwrites itself; the newest state of each digest is returned.
     """
-    out, before = scratch(spark, "exact-state"), spark.conf.get(PROVIDER)
+    out, before = scratch(spark, "exact-state"), {k: spark.conf.get(k, None) for k in STATE_STORE}
     # Null ids come last, so that a group is named by an id where it has one.
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_file", "_row")
     state = (
@@ -56,7 +59,8 @@ def drain(spark: SparkSession, intake: str, schema, batch_bytes=BATCH_BYTES) ->
     def publish(changed, batch):
         changed.write.mode("overwrite").parquet(f"{out}/changes/batch={batch}")
 
-    spark.conf.set(PROVIDER, ROCKSDB)
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         run = (
             state.writeStream.outputMode("update")
@@ -67,7 +71,8 @@ def drain(spark: SparkSession, intake: str, schema, batch_bytes=BATCH_BYTES) ->
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     changes = T.StructType(
         [schema["digest"]]
         + T.StructType.fromDDL("first struct<none:boolean,_id:long,_file:string,_row:long>, copies long, batch int").fields
