@@ -7,6 +7,7 @@ from demandlens.llm.bpe import encode_digests
 from demandlens.llm.common import read_table
 from demandlens.llm.exact import exact_dedup
 from demandlens.llm.lines import line_dedup
+from demandlens.llm.lm import score
 from demandlens.llm.ngrams import near_sets
 from demandlens.llm.packing import pack
 from demandlens.llm.quality import classify_quality
@@ -139,3 +140,9 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y F
 SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
 FROM reach LEFT JOIN n ON doc_id = x GROUP BY x
 """
+
+
+@query
+def op10_lm_scoring(spark, sf_dir):
+    """Unigram and network scores of every document."""
+    return score(read_table(spark, sf_dir, "documents"), folds=7, held=2)
