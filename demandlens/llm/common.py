@@ -54,6 +54,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def under_own_names(docs: DataFrame, fn, *columns: str) -> DataFrame:
+    """``fn`` of ``docs`` and of the named ``columns``, with all columns renamed meanwhile, so that none can clash."""
+    names = {c: f"own{i}" for i, c in enumerate(docs.columns)}
+    return fn(docs.toDF(*names.values()), *(names[c] for c in columns)).toDF(*docs.columns)
+
+
+#: Bits of a filter; 64 to a row, so 65,536 rows at most.
+FILTER_BITS = 1 << 22
+
+
+def told_apart(df: DataFrame, value: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``value`` may be a ``key`` of ``keys``, and rows whose value is none for certain.
+
+    The filter is a bit for each key's hash, in a table of a fixed size that is broadcast.  A join of the first
+    part moves little more than the rows that match; with very many keys the filter fills up and lets more through.
+    """
+
+    def bit(c):
+        return F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+    word, place = "shiftright(_bit, 6)", "cast(_bit & 63 as int)"
+    words = keys.select(bit(key).alias("_bit")).groupBy(F.expr(word).alias("_word"))
+    words = words.agg(F.bit_or(F.expr(f"shiftleft(1L, {place})")).alias("_bits"))
+    marked = df.withColumn("_bit", bit(value)).withColumn("_word", F.expr(word)).join(F.broadcast(words), "_word", "left")
+    maybe = F.coalesce(F.expr(f"(shiftright(_bits, {place}) & 1) = 1"), F.lit(False))
+    return marked.filter(maybe).select(*df.columns), marked.filter(~maybe).select(*df.columns)
+
+
 def numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """Add ``name``: numbers from 0 without gaps within each ``key``, in tasks that stay small whatever the key holds.
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandlens.llm.common import BLANK_RUN, scratch, written
+from demandlens.llm.common import BLANK_RUN, scratch, told_apart, under_own_names, written
 
 #: State on disk, and let go by an executor once it is committed: few batches follow, and each part takes megabytes.
 STATE_STORE = {
@@ -14,8 +14,6 @@ STATE_STORE = {
 }
 #: Bytes of intake (digests and places, not texts) in one micro-batch.
 BATCH_BYTES = 1 << 30
-#: Bits of the filter by which texts that no other equals stay where they are; 64 to a row, 65,536 rows.
-FILTER_BITS = 1 << 22
 
 
 def normalised(text_col) -> Column:
@@ -96,8 +94,8 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest=None,
 
     Digests go through the state (`drain`), texts do not.  Of documents whose digest repeats, the whole text is
     compared with the text that the state points to; where it differs (two texts with one digest), the rows of
-    that digest which differ are grouped by their text.  Other texts are not shuffled, but for the few that a
-    filter of ``FILTER_BITS`` bits lets through; it is of that size whatever the input.
+    that digest which differ are grouped by their text.  Other texts are not shuffled, but for the few that
+    a filter of a fixed size lets through (`told_apart`).
     """
     spark = docs.sparkSession
     located = _located(docs, id_col, text_col)
@@ -109,14 +107,9 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest=None,
     intake = spark.read.schema(intake.schema).parquet(folder)
     state = written(drain(spark, folder, intake.schema, batch_bytes), "exact-state-last")
 
-    # Only texts whose digest may repeat are moved: a bit for each digest that does, in a fixed number of words.
-    bit = F.xxhash64("digest").bitwiseAND(F.lit(FILTER_BITS - 1))
+    # Only texts whose digest may repeat are moved.
     repeated = state.filter("copies > 1")
-    words = repeated.groupBy(F.shiftright(bit, 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(digest) & 63 as int))")).alias("_bits")
-    )
-    told = located.withColumn("digest", digest(sha)).withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(words), "_word")
-    hits = told.filter("(shiftright(_bits, cast(xxhash64(digest) & 63 as int)) & 1) = 1").drop("_word", "_bits")
+    hits, _ = told_apart(located.withColumn("digest", digest(sha)), "digest", repeated, "digest")
     leads = F.struct("_file", "_row") == F.struct("first._file", "first._row")
     texts = written(
         hits.join(repeated, "digest").select("_id", "_file", "_row", "digest", "_text", leads.alias("leads")), "exact-hits"
@@ -145,8 +138,15 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest=None,
 
 def keep_first(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.  Rows that repeat a kept id and its text stay once."""
-    found = exact_dedup(docs, id_col, text_col)
-    ids = found.filter("kept").select(F.col(id_col).alias("_kept"), F.unhex("text_sha256").alias("_kept_sha")).distinct()
-    told = docs.withColumn("_sha", sha256(normalised(text_col)))
-    same = told[id_col].cast("long").eqNullSafe(ids["_kept"]) & (told["_sha"] == ids["_kept_sha"])
-    return told.join(ids, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return under_own_names(docs, _keep_first, id_col, text_col)
+
+
+def _keep_first(docs: DataFrame, id_col, text_col) -> DataFrame:
+    found = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
+    pairs = found.filter("kept").select(F.unhex("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")).distinct()
+    pairs = written(pairs, "exact-kept")
+    hits, others = told_apart(docs.withColumn("_sha", sha256(normalised(text_col))), "_sha", pairs, "_sha")
+    single = hits.join(pairs.select("_sha").distinct(), "_sha", "left_anti").select(hits.columns)
+    same = (hits["_sha"] == pairs["_sha"]) & hits[id_col].cast("long").eqNullSafe(pairs["_keep"])
+    first = hits.join(pairs, same, "left_semi").dropDuplicates([id_col, "_sha"])
+    return others.union(single).union(first).drop("_sha")

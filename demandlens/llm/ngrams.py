@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import ship, written
+from demandlens.llm.common import ship, told_apart, under_own_names, written
 from demandlens.llm.components import components
 from demandlens.llm.shingles import set_key, shingle_set
 
@@ -218,7 +218,7 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
     )
     asked = sides.select("_at").distinct().join(grouped.withColumnRenamed("_group", "_at"), "_at").select("_rep", "key", "_at")
     asked = written(asked, "ngram-asked")
-    whole = ided.join(asked.withColumnRenamed("_rep", "_id"), "_id")
+    whole = told_apart(ided, "_id", asked, "_rep")[0].join(asked.withColumnRenamed("_rep", "_id"), "_id")
     compared = whole.join(sides, "_at").select("_group", "_group2", "_at", "_id", "key", "_text")
 
     def verify(key, group):
@@ -246,3 +246,19 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
     return members.join(found, "key", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")
     )
+
+
+def keep_smallest(docs: DataFrame, words=5, num=80, den=100, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+
+    Rows without an id stay: nothing is known that they repeat.
+    """
+    return under_own_names(docs, lambda d, i, t: _keep_smallest(d, words, num, den, i, t), id_col, text_col)
+
+
+def _keep_smallest(docs, words, num, den, id_col, text_col):
+    found = near_sets(docs, words, num, den, id_col, text_col).filter(F.col(id_col) != F.col("component_id"))
+    gone = written(found.select(F.col(id_col).alias("_gone")).distinct(), "ngram-gone")
+    maybe, others = told_apart(docs.withColumn("_long", F.col(id_col).cast("long")), "_long", gone, "_gone")
+    stay = maybe.join(gone, maybe["_long"] == gone["_gone"], "left_anti")
+    return others.union(stay).drop("_long")

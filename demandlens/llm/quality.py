@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import ship, written
+from demandlens.llm.common import ship, under_own_names, written
 
 #: The most labelled documents that the classifier is fitted on.
 SAMPLE = 6000
@@ -176,3 +176,15 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_c
     learn = docs.filter(fold(id_col, folds) != held)
     scored = score(docs, fit(learn, labels, id_col=id_col, text_col=text_col, sample=sample), text_col)
     return scored.withColumn("held_out", fold(id_col, folds) == held)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", sample=SAMPLE) -> DataFrame:
+    """The rows of ``docs`` predicted to be of quality 1, with their columns; learned as by `classify_quality`."""
+    labels = labels.select(F.col("quality").alias("_quality"), F.col(id_col).alias("_id"))
+
+    def good(own, own_id, own_text):
+        own_labels = labels.select(F.col("_quality").alias("quality"), F.col("_id").alias(own_id))
+        found = classify_quality(own, own_labels, own_id, own_text, sample=sample)
+        return found.filter("predicted = 1").select(own.columns)
+
+    return under_own_names(docs, good, id_col, text_col)
