@@ -22,11 +22,6 @@ def strip(c) -> Column:
     return F.trim(as_col(c), F.lit(rules.WHITESPACE))
 
 
-def present(c) -> Column:
-    """The stripped value, or null when nothing is left."""
-    return F.nullif(strip(c), F.lit(""))
-
-
 def normalize_skill(c) -> Column:
     return F.lower(strip(c))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from demandlens import rules
 from demandlens.functions.prompts import clean_feedback, default_feedback, feedback_prompt
+from demandlens.session import ship
 
 
 def _answer_text(reply) -> str:
@@ -17,24 +18,49 @@ def _answer_text(reply) -> str:
     return str(reply).strip()
 
 
+def _replies(fn, prompts: pd.Series) -> list:
+    """The batch's replies; if the batch fails, each prompt by itself, so that only those fail that must."""
+    try:
+        replies = list(fn(prompts))
+        if len(replies) == len(prompts):
+            return [_answer_text(r) for r in replies]
+        error = f"{len(replies)} replies to {len(prompts)} prompts"
+    except Exception as problem:  # whatever the caller's function raises
+        error = str(problem)
+    if len(prompts) == 1:
+        return [f"{rules.MODEL_ERROR_PREFIX}{error}"]
+    return [_replies(fn, prompts.iloc[i : i + 1])[0] for i in range(len(prompts))]
+
+
 def model_answers(prompt, fn: Callable[[pd.Series], list]):
     """Answers of ``fn`` to a prompt column.  ``fn`` maps a batch of prompts to as many replies.
 
-    Only the prompt column travels to Python, in Arrow batches.
+    Only the prompt column travels to Python, in Arrow batches; null prompts are not asked.  A failed call is an
+    answer too (``Model error: ...``), of its row only.  The answers count as not deterministic, so that no
+    filter on them asks twice.
     """
 
     @F.pandas_udf("string")
     def ask(prompts: pd.Series) -> pd.Series:
-        return pd.Series([_answer_text(r) for r in fn(prompts)], dtype=object)
+        out = pd.Series([None] * len(prompts), dtype=object)
+        asked = prompts[prompts.notna()]
+        if len(asked):
+            out[prompts.notna().to_numpy()] = _replies(fn, asked)
+        return out
 
-    return ask(prompt)
+    return ask.asNondeterministic()(prompt)
 
 
-def with_feedback(gaps: DataFrame, fn: Callable[[pd.Series], list] | None = None) -> DataFrame:
-    """Add ``feedback`` to scored CVs: the cleaned answer of ``fn``, or a sentence made from the numbers."""
+def with_feedback(gaps: DataFrame, fn: Callable[[pd.Series], list] | None = None, where=None) -> DataFrame:
+    """Add ``feedback`` to scored CVs: the cleaned answer of ``fn``, or a sentence made from the numbers.
+
+    With ``where``, rows outside it are not asked about.
+    """
     args = ("matched_skills", "missing_skills", "fit_score")
     if fn is None:
         raw = default_feedback("role", *args)
     else:
-        raw = model_answers(feedback_prompt("role", "level", *args), fn)
+        ship(gaps.sparkSession)
+        prompt = feedback_prompt("role", "level", *args)
+        raw = model_answers(prompt if where is None else F.when(where, prompt), fn)
     return gaps.withColumn("feedback", clean_feedback(raw))

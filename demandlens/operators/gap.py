@@ -12,7 +12,8 @@ from demandlens import rules
 from demandlens.functions.classify import add_cv_class, add_text_class
 from demandlens.functions.labels import alignment_label, demand_item, fit_score, similarity_summary
 from demandlens.functions.prompts import clean_feedback, default_feedback
-from demandlens.functions.text import is_valid_text, split_skills
+from demandlens.functions.text import bind, is_valid_text, split_skills
+from demandlens.operators.feedback import with_feedback
 from demandlens.operators.market import collapse_variants
 
 ACCEPTED, REJECTED = "accepted", "rejected"
@@ -50,9 +51,10 @@ def rejects(cvs: DataFrame, slices: DataFrame) -> DataFrame:
     )
 
 
-def reject_reason() -> Column:
+def reject_reason(named_files=False) -> Column:
     """Why a text CV joined with ``how="left"`` is turned away; null if it is accepted."""
-    return F.when(~is_valid_text("cv_text"), rules.REASON_UNREADABLE).when(
+    reason = F.when(~is_accepted_file(F.col("file_name")), rules.REASON_BAD_FILE) if named_files else F
+    return reason.when(~is_valid_text("cv_text"), rules.REASON_UNREADABLE).when(
         F.col("relevant_jobs").isNull(), rules.REASON_NO_JOBS
     )
 
@@ -106,17 +108,25 @@ def membership(cvs: DataFrame, slices: DataFrame) -> DataFrame:
     ).select("cv_id", "role", "level", "pos", "flag.skill", "flag.has")
 
 
+def compare_names(names: Column, listed: Column) -> Column:
+    """Compare lowercase names with a skill array: a struct of matched, missing and fit score, in the order of ``listed``."""
+
+    def compared(known):
+        matched = F.filter(known["entries"], lambda e: F.array_contains(known["names"], e["name"]))
+        missing = F.filter(known["entries"], lambda e: ~F.array_contains(known["names"], e["name"]))
+        return F.struct(
+            F.transform(matched, lambda e: e["skill"]).alias("matched_skills"),
+            F.transform(missing, lambda e: e["skill"]).alias("missing_skills"),
+            fit_score(F.size(matched), known["n"]).alias("fit_score"),
+        )
+
+    known = F.struct(names.alias("names"), collapse_variants(listed).alias("entries"), F.size(listed).alias("n"))
+    return bind(known, compared)
+
+
 def strict_compare(user_skills: Column, listed: Column) -> Column:
-    """Compare two skill arrays: a struct of matched, missing and fit score, in the order of ``listed``."""
-    names = F.transform(user_skills, lambda s: F.lower(s))
-    entries = collapse_variants(listed)
-    matched = F.filter(entries, lambda e: F.array_contains(names, e["name"]))
-    missing = F.filter(entries, lambda e: ~F.array_contains(names, e["name"]))
-    return F.struct(
-        F.transform(matched, lambda e: e["skill"]).alias("matched_skills"),
-        F.transform(missing, lambda e: e["skill"]).alias("missing_skills"),
-        fit_score(F.size(matched), F.size(listed)).alias("fit_score"),
-    )
+    """Compare two skill arrays, whatever the case of the user's skills (see ``compare_names``)."""
+    return compare_names(F.transform(user_skills, F.lower), listed)
 
 
 def demand_items(bucket: str) -> Column:
@@ -125,9 +135,11 @@ def demand_items(bucket: str) -> Column:
     )
 
 
-def result_columns() -> list[Column]:
-    """The result record of a scored CV (``schemas.RESULT``), with feedback made from the numbers."""
+def result_columns(gaps: DataFrame) -> list[Column]:
+    """The result record of scored CVs (``schemas.RESULT``): with their ``feedback`` if they have any
+    (see ``feedback.with_feedback``), else with a sentence made from the numbers."""
     feedback = clean_feedback(default_feedback("role", "matched_skills", "missing_skills", "fit_score"))
+    feedback = F.col("feedback") if "feedback" in gaps.columns else feedback
     return [
         F.col("cv_name").alias("cv_file"),
         F.col("source_field"),
@@ -149,22 +161,26 @@ def result_columns() -> list[Column]:
 
 def result_record(gaps: DataFrame) -> DataFrame:
     """The result records of scored CVs."""
-    return gaps.select(*result_columns())
+    return gaps.select(*result_columns(gaps))
 
 
-def route(cvs: DataFrame, slices: DataFrame) -> DataFrame:
+def route(cvs: DataFrame, slices: DataFrame, fn=None) -> DataFrame:
     """Every text CV once: ``cv_id, cv_name, status, reject_reason, result``.
 
-    Accepted and rejected CVs come out of the same single pass over the texts.
+    Accepted and rejected CVs come out of the same single pass over the texts.  With a ``file_name`` column, a
+    file of the wrong type is rejected first.  ``fn`` answers the feedback prompts of accepted CVs.
     """
-    scored = skill_gap(text_cvs(cvs), slices, how="left").withColumn("reject_reason", reject_reason())
+    scored = skill_gap(text_cvs(cvs), slices, how="left")
+    scored = scored.withColumn("reject_reason", reject_reason("file_name" in cvs.columns))
     accepted = F.col("reject_reason").isNull()
+    if fn is not None:
+        scored = with_feedback(scored, fn, accepted)
     return scored.select(
         "cv_id",
         "cv_name",
         F.when(accepted, ACCEPTED).otherwise(REJECTED).alias("status"),
         "reject_reason",
-        F.when(accepted, F.struct(*result_columns())).alias("result"),
+        F.when(accepted, F.struct(*result_columns(scored))).alias("result"),
     )
 
 
@@ -183,14 +199,12 @@ def compare_pairs(cvs: DataFrame, jobs: DataFrame, on) -> DataFrame:
     ``on`` joins them (a column name or condition such as "this CV applied to this posting"), so
     the result has as many rows as there are pairs.  Fit counts required skills; preferred ones are reported apart.
     """
-    required, preferred = split_skills("required_skills"), split_skills("preferred_skills")
-    pairs = cvs.join(jobs, on).withColumns(
-        {"_user": split_skills("technical_skills"), "_required": required, "_preferred": preferred}
-    )
-    compared = pairs.withColumns(
+    # A CV's names are lowered once, before its pairs are formed.
+    named = cvs.withColumn("_names", F.transform(split_skills("technical_skills"), F.lower))
+    compared = named.join(jobs, on).withColumns(
         {
-            "_r": strict_compare(F.col("_user"), F.col("_required")),
-            "_p": strict_compare(F.col("_user"), F.col("_preferred")),
+            "_r": compare_names(F.col("_names"), split_skills("required_skills")),
+            "_p": compare_names(F.col("_names"), split_skills("preferred_skills")),
         }
     )
     return compared.select(

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from demandlens import rules
 from demandlens.functions.classify import add_posting_class
 from demandlens.functions.labels import demand_bucket, percent_1dp
-from demandlens.functions.text import has_odd_space, strip
+from demandlens.functions.text import bind, has_odd_space, strip
 
 POSTING, SKILL, COMPANY = "posting", "skill", "company"
 # More than any array can hold, so (posting, position) fits one exact number.
@@ -86,14 +86,17 @@ def _ranked(counts: DataFrame, k: int) -> DataFrame:
 
 def collapse_variants(skills: Column) -> Column:
     """Skills equal up to case as one entry: at the first one's position, in the last one's spelling."""
-    names = F.array_distinct(F.transform(skills, F.lower))
-    return F.transform(
-        names,
-        lambda name: F.struct(
-            name.alias("name"),
-            F.element_at(F.filter(skills, lambda s: F.lower(s) == name), -1).alias("skill"),
-        ),
-    )
+
+    def entries(b):
+        back, last = F.reverse(b["names"]), F.reverse(b["skills"])
+        turned = F.struct(F.array_distinct(b["names"]).alias("names"), back.alias("back"), last.alias("last"))
+        return bind(turned, lambda t: F.transform(t["names"], lambda name: _entry(t, name)))
+
+    def _entry(t, name):
+        at = (F.array_position(t["back"], name) - 1).cast("int")
+        return F.struct(name.alias("name"), F.get(t["last"], at).alias("skill"))
+
+    return bind(skills, lambda s: bind(F.struct(F.transform(s, F.lower).alias("names"), s.alias("skills")), entries))
 
 
 def market_profile(

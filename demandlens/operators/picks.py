@@ -23,9 +23,9 @@ def first_row(df: DataFrame, order) -> DataFrame:
     return df.orderBy(*order).limit(1)
 
 
-def random_row(df: DataFrame, seed: int) -> DataFrame:
-    """One row chosen uniformly by a seeded draw."""
-    return df.orderBy(F.rand(seed)).limit(1)
+def random_row(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """One row chosen by a draw that depends on ``seed`` and the unique ``key`` alone, however rows are partitioned."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(1)
 
 
 def profile(df: DataFrame, order: str) -> DataFrame:

@@ -106,7 +106,7 @@ PARTS = {
     "req": "SELECT l_orderkey AS k, string_agg(d.s, ', ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS v"
     " FROM lineitem JOIN skill_dim d ON d.i = l_partkey % 40 GROUP BY l_orderkey",
     "pref": "SELECT l_orderkey AS k, string_agg(d.s, ',' ORDER BY l_linenumber, l_suppkey, l_partkey) AS v"
-    " FROM lineitem JOIN skill_dim d ON d.i = (l_suppkey * 3) % 40 WHERE l_linenumber <= 2 GROUP BY l_orderkey",
+    " FROM lineitem JOIN skill_dim d ON d.i = (l_suppkey * 3) % 40 GROUP BY l_orderkey",
     "jobs": """SELECT o_orderkey AS job_ord,
         concat(CASE o_orderpriority WHEN '1-URGENT' THEN 'Senior ' WHEN '2-HIGH' THEN 'Junior '
                WHEN '3-MEDIUM' THEN 'Mid-level ' ELSE '' END, t.s) AS job_title,
@@ -115,9 +115,9 @@ PARTS = {
         CASE WHEN o_custkey % 17 = 0 THEN NULL
              ELSE concat(' Company ', CAST(o_custkey % 400 AS VARCHAR), ' ') END AS company_name,
         concat('jobs_', CAST(year(o_orderdate) AS VARCHAR), '.xlsx') AS source_file, o_custkey AS applicant_id
-        FROM orders JOIN title_dim t ON t.i = o_orderkey % 13
-        LEFT JOIN req ON req.k = o_orderkey LEFT JOIN pref ON pref.k = o_orderkey
-        WHERE t.i NOT IN (8, 9) AND NOT (t.i IN (10, 11) AND o_orderpriority = '2-HIGH')""",
+        FROM orders JOIN title_dim t ON t.i = CASE WHEN o_orderkey % 13 IN (8, 9)
+            OR (o_orderkey % 13 IN (10, 11) AND o_orderpriority = '2-HIGH') THEN 12 ELSE o_orderkey % 13 END
+        LEFT JOIN req ON req.k = o_orderkey LEFT JOIN pref ON pref.k = o_orderkey""",
     "cv_skill": "SELECT doc_id AS k, string_agg(d.s, ', ' ORDER BY j) AS v FROM documents CROSS JOIN nums"
     " JOIN skill_dim d ON d.i = (doc_id * 7 + j * j * 3) % 40 WHERE j <= doc_id % 7 GROUP BY doc_id",
     "cv_texts": """SELECT doc_id AS cv_id, concat('cv_', CAST(doc_id AS VARCHAR)) AS cv_name,
@@ -314,6 +314,7 @@ def _statements():
         "first_row_profile": "SELECT count(*) OVER () AS row_count, job_ord, job_title, seniority_level, required_skills,"
         " preferred_skills, company_name, source_file FROM jobs ORDER BY job_ord LIMIT 1",
         "first_row": "SELECT * FROM cvs ORDER BY cv_id LIMIT 1",
+        "random_row": "SELECT * FROM cvs ORDER BY md5('7|' || CAST(cv_id AS VARCHAR)), cv_id LIMIT 1",
         "latest_document": """SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders
             QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY orders.o_orderdate DESC, o_orderkey DESC) = 1""",
         "latest_text": "SELECT cv_id, cv_name, cv_text FROM cv_texts ORDER BY cv_id DESC LIMIT 1",
@@ -360,7 +361,8 @@ def _statements():
             required=f"array_to_string({_split('required_skills')}, ', ')",
             preferred=f"array_to_string({_split('preferred_skills')}, ', ')",
         )
-        + " AS prompt FROM cv_texts JOIN jobs ON job_ord = cv_id",
+        + " AS prompt FROM cv_texts LEFT JOIN (SELECT * FROM jobs QUALIFY row_number() OVER"
+        " (PARTITION BY applicant_id ORDER BY job_ord DESC) = 1) ON applicant_id = cv_id % (SELECT count(*) FROM customer)",
         "feedback_clean": "SELECT conv_id, turn, "
         + _clean("('The ' || role || ', a candidate among users, wrote: ' || text)")
         + " AS cleaned FROM conversations",
@@ -368,6 +370,10 @@ def _statements():
         "model_feedback": f"""SELECT cv_id, CASE WHEN n % 7 = 0 THEN 'Model error: {{''error'': ''busy''}}'
             ELSE 'You sent ' || n || ' characters.' END AS feedback
             FROM (SELECT cv_id, length({FEEDBACK_PROMPT}) AS n FROM table_gaps)""",
+        "model_report": f"""SELECT cv_name AS cv_file, fit_score, CASE WHEN n % 11 = 0 THEN 'Model error: no answer'
+            WHEN n % 7 = 0 THEN 'Model error: {{''error'': ''busy''}}'
+            ELSE 'You sent ' || n || ' characters.' END AS feedback
+            FROM (SELECT cv_name, fit_score, length({FEEDBACK_PROMPT}) AS n FROM table_gaps)""",
         "model_answer_parse": """SELECT cv_id, ok AS is_valid, CASE WHEN ok THEN matched_skills END AS matched_skills,
             CASE WHEN ok THEN missing_skills END AS missing_skills, CASE WHEN ok THEN fit_score END AS fit_score,
             CASE WHEN ok THEN alignment_label END AS feedback

@@ -10,7 +10,7 @@ from demandlens import rules
 from demandlens.functions import classify, labels, prompts, text
 from demandlens.operators import feedback, gap, market, picks, report, skills
 from demandlens.plans import fixtures
-from demandlens.session import shared_dir, spread
+from demandlens.session import shared_dir
 from demandlens.sources import tables
 from demandlens.streaming import intake
 
@@ -160,7 +160,7 @@ def first_row(spark, sf_dir):
 
 @query
 def random_row(spark, sf_dir):
-    return picks.random_row(fixtures.cvs(spark, sf_dir), seed=7)
+    return picks.random_row(fixtures.cvs(spark, sf_dir), "cv_id", seed=7)
 
 
 @query
@@ -183,7 +183,7 @@ def latest_text(spark, sf_dir):
 
 @query
 def text_validity(spark, sf_dir):
-    documents = spread(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = fixtures.spread(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return documents.select(
         "doc_id", text.letters("text").cast("bigint").alias("n_letters"), text.is_valid_text("text").alias("is_valid")
     )
@@ -374,11 +374,13 @@ def pair_prompt(spark, sf_dir):
 
 @query
 def text_pair_prompt(spark, sf_dir):
-    """Prompt for every text CV and the posting of the same number."""
-    cvs, jobs = fixtures.cv_texts(spark, sf_dir), fixtures.jobs(spark, sf_dir)
+    """Prompt for every text CV and the latest posting that a customer, standing for its reader, applied to."""
+    customers = fixtures.table(spark, sf_dir, "customer").count()
+    cvs = fixtures.cv_texts(spark, sf_dir).withColumn("reader", F.col("cv_id") % customers)
+    jobs = picks.latest(fixtures.jobs(spark, sf_dir), ["applicant_id"], ["job_ord"])
     required, preferred = text.split_skills("required_skills"), text.split_skills("preferred_skills")
     prompt = prompts.text_pair_prompt("cv_text", "job_title", required, preferred)
-    return cvs.join(jobs, cvs.cv_id == jobs.job_ord).select("cv_id", "job_ord", prompt.alias("prompt"))
+    return cvs.join(jobs, cvs.reader == jobs.applicant_id, "left").select("cv_id", "job_ord", prompt.alias("prompt"))
 
 
 @query
@@ -411,6 +413,20 @@ def model_feedback(spark, sf_dir):
     return gaps.select("cv_id", "feedback")
 
 
+def _failing_model(batch):
+    """As above, but a prompt of every eleventh length ends the call with an error."""
+    if any(len(prompt) % 11 == 0 for prompt in batch):
+        raise ValueError("no answer")
+    return _measuring_model(batch)
+
+
+@query
+def model_report(spark, sf_dir):
+    """The result record with a model's feedback, where some calls fail."""
+    answered = feedback.with_feedback(_table_gaps(spark, sf_dir), _failing_model)
+    return _flat(gap.result_record(answered)).select("cv_file", "fit_score", "feedback")
+
+
 @query
 def model_answer_parse(spark, sf_dir):
     """JSON answers parsed; every fifth is cut short and every fifth has a score out of range."""

@@ -1,7 +1,10 @@
 """Session helpers: a local session for tests and benches, and the shared checkpoint folder."""
 
+import atexit
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,24 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="demandlens-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
 
 
+_shipped = {}
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for each application: their Python may not have it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.TemporaryDirectory()  # the driver's own; executors fetch the file from the driver
+        shutil.copytree(package, Path(folder.name, "src", package.name), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(str(Path(folder.name, package.name)), "zip", Path(folder.name, "src")))
+        _shipped[context.applicationId] = folder
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, so that lost executors cannot change its rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core; a scan that already has enough is left alone.
-
-    Only few-file inputs (one small parquet file with one row group) are shuffled.  Large inputs
-    split into more partitions than there are cores, so nothing moves.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

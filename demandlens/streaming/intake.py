@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from demandlens.functions.text import is_valid_text
+from demandlens.operators.feedback import with_feedback
 from demandlens.operators.gap import result_record, route, skill_gap, text_cvs
 from demandlens.operators.market import market_slices
 
 
 def publish_market(jobs: DataFrame, path: str, version: int) -> None:
-    """Compute the market slices of the postings and store them as one version of a table."""
-    market_slices(jobs).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    """Compute the market slices of the postings and store them as one version of a table.
+
+    A version that exists raises: running readers may be using it.
+    """
+    market_slices(jobs).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def load_market(spark: SparkSession, path: str) -> DataFrame:
@@ -26,21 +30,25 @@ def load_market(spark: SparkSession, path: str) -> DataFrame:
     return versions.filter(F.col("version") == newest).drop("version")
 
 
-def score_stream(stream: DataFrame, slices: DataFrame) -> DataFrame:
-    """Result records of the CVs of a stream (or a table) that pass the gate and whose role is hired for."""
-    return result_record(skill_gap(text_cvs(stream.filter(is_valid_text("cv_text"))), slices))
+def score_stream(stream: DataFrame, slices: DataFrame, fn=None) -> DataFrame:
+    """Result records of the CVs of a stream (or a table) that pass the gate and whose role is hired for.
+
+    ``fn`` answers their feedback prompts (see ``feedback.model_answers``).
+    """
+    return result_record(with_feedback(skill_gap(text_cvs(stream.filter(is_valid_text("cv_text"))), slices), fn))
 
 
-def run_intake(stream: DataFrame, market_path: str, out_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def run_intake(stream: DataFrame, market_path: str, out_path: str, checkpoint: str, fn=None, **trigger) -> StreamingQuery:
     """Start writing every arriving CV, accepted or rejected, to ``out_path``.
 
     Each batch reads the newest market and fills a folder of its own, ``batch=N/status=S``; a batch
-    run again after a failure overwrites that folder, so nothing is written twice.
+    run again after a failure overwrites that folder, so nothing is written twice.  ``fn`` answers the feedback
+    prompts of accepted CVs.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         slices = load_market(batch.sparkSession, market_path)
-        routed = route(batch, slices)
+        routed = route(batch, slices, fn)
         routed.write.mode("overwrite").partitionBy("status").parquet(f"{out_path}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

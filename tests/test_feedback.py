@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from demandlens import rules
 from demandlens.functions import prompts
-from demandlens.operators import feedback
+from demandlens.operators import feedback, gap, market
+from demandlens.streaming import intake
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +53,45 @@ def test_feedback_with_a_model(gaps):
     assert {r.feedback for r in plain.collect()} == {"ok"}
 
 
+def test_a_failed_call_is_the_answer_of_its_row(gaps):
+    def model(batch):
+        if any("backend" in p for p in batch):
+            raise TimeoutError("too slow")
+        return ["fine"] * len(batch)
+
+    rows = feedback.with_feedback(gaps.coalesce(1), model).orderBy("cv_id").collect()
+    assert [r.feedback for r in rows] == ["Model error: too slow", "fine"]
+    short = feedback.with_feedback(gaps.coalesce(1), lambda batch: ["one"]).orderBy("cv_id").collect()
+    assert [r.feedback for r in short] == ["one", "one"]
+
+
+def test_the_model_is_asked_once(gaps):
+    answered = feedback.with_feedback(gaps, lambda batch: ["ok"] * len(batch))
+    used = answered.filter("feedback = 'ok'").withColumn("again", F.upper("feedback"))
+    text = used._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1
+    assert used.count() == 2
+
+
+def test_a_models_words_reach_the_record_and_the_route(spark, frontend_jobs):
+    slices = market.market_slices(frontend_jobs)
+    cvs = spark.createDataFrame(
+        [
+            (1, "a", "html css javascript react frontend " * 20, "a.PDF"),
+            (2, "b", "html css javascript react frontend " * 20, "b.txt"),
+            (3, "c", "short", "c.pdf"),
+        ],
+        "cv_id long, cv_name string, cv_text string, file_name string",
+    )
+    answer = lambda batch: ["The user is fine"] * len(batch)
+    (r,) = gap.result_record(feedback.with_feedback(gap.skill_gap(gap.text_cvs(cvs.filter("cv_id = 1")), slices), answer)).collect()
+    assert r.feedback == "You is fine"
+    routed = {r.cv_id: r for r in gap.route(cvs, slices, answer).collect()}
+    assert routed[1].result.feedback == "You is fine"
+    assert [routed[i].reject_reason for i in (1, 2, 3)] == [None, rules.REASON_BAD_FILE, rules.REASON_UNREADABLE]
+    assert {r.feedback for r in intake.score_stream(cvs.filter("cv_id < 3"), slices, answer).collect()} == {"You is fine"}
+
+
 def test_answers(evaluate):
     good = '{"matched_skills": ["a"], "missing_skills": [], "fit_score": 50, "feedback": "x"}'
     values = [good, good[:-5], good.replace("50", "101"), "not json", "", None, good.replace("50", "0")]

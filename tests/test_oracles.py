@@ -24,14 +24,10 @@ def test_the_entry_offers_them():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
-def test_only_the_random_pick_has_no_sql():
-    assert set(QUERIES) - set(SQL) == {"random_row"} and set(SQL) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, connection, name):
     assert difference(QUERIES[name](spark, SMALL), connection, SQL[name]) is None
-
-
-def test_random_row(spark):
-    assert QUERIES["random_row"](spark, SMALL).count() == 1

@@ -9,7 +9,6 @@ from demandlens.functions.classify import add_posting_class
 from demandlens.operators import gap, market, picks, skills
 from demandlens.plans import fixtures
 from demandlens.plans.queries import QUERIES
-from demandlens.session import spread
 
 
 def plan(df):
@@ -59,13 +58,6 @@ def test_texts_are_not_shuffled(jobs, many_files):
         assert "NestedLoop" not in text and "Python" not in text and "Arrow" not in text
 
 
-def test_spread_leaves_large_scans_alone(spark, many_files):
-    cores = spark.sparkContext.defaultParallelism
-    wide = many_files.repartition(2 * cores)
-    assert spread(wide) is wide
-    assert spread(many_files.coalesce(1)).rdd.getNumPartitions() == cores
-
-
 def test_small_vocabulary_needs_no_join(jobs, many_files):
     text = plan(skills.extract_skills(many_files, skills.posting_skills(jobs)))
     assert "Join" not in text and "Exchange" not in text
