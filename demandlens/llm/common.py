@@ -1,9 +1,6 @@
 """What several operators share: tables in the shared folder, gapless numbers, and the columns of a record."""
 
-import shutil
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,21 +13,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
-_shipped = {}
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each application: their Python may not have it."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        folder = tempfile.TemporaryDirectory()  # the driver's own; executors fetch the file from the driver
-        shutil.copytree(package, Path(folder.name, "src", package.name), ignore=shutil.ignore_patterns("__pycache__"))
-        context.addPyFile(shutil.make_archive(str(Path(folder.name, package.name)), "zip", Path(folder.name, "src")))
-        _shipped[context.applicationId] = folder
-    return spark
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

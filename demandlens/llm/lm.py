@@ -6,9 +6,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import ship, written
+from demandlens.llm.common import written
 from demandlens.llm.gru import CLASSES, UNITS, WORDS, Gru
 from demandlens.llm.quality import fold
+from demandlens.session import ship
 
 #: Tokens of a chunk: documents whose words are numbered together.
 CHUNK_TOKENS = 1 << 21

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import ship, told_apart, under_own_names, written
+from demandlens.llm.common import told_apart, under_own_names, written
 from demandlens.llm.components import components
 from demandlens.llm.shingles import set_key, shingle_set
+from demandlens.session import ship
 
 #: Counters of the sketch that tells common tokens from rare ones; its size is fixed.
 COUNTERS, SLICES = 1 << 20, 64

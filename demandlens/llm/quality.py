@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import ship, under_own_names, written
+from demandlens.llm.common import under_own_names, written
+from demandlens.session import ship
 
 #: The most labelled documents that the classifier is fitted on.
 SAMPLE = 6000

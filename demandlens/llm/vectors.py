@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import ship, written
+from demandlens.llm.common import written
 from demandlens.llm.components import components
+from demandlens.session import ship
 
 THRESHOLD = 0.9
 #: The share of pairs just at the threshold that meet in some table; closer pairs meet more often.

@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import scratch, ship, written
+from demandlens.llm.common import scratch, written
+from demandlens.session import ship
 
 #: Formats of the archive.
 GZIP_MAGIC = b"\x1f\x8b\x08"
