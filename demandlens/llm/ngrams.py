@@ -4,6 +4,8 @@ Similar sets are put into groups.  The matrix tells which token is in which grou
 similar to a member of a group that holds enough of its tokens, so only such groups are opened.
 """
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -152,7 +154,8 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
     3. The matrix: tokens are put in one order, rare ones first; as many of a set as a similar set cannot all
        lack make its row.  Groups that share a token in the union of their rows are candidates.
     4. Candidates meet with their members' texts.  The overlap of each query with the other group's union is
-       bounded, and the members are compared where it suffices.
+       bounded, and the members are compared where it suffices.  A pair of groups that are all of one component
+       by then is not opened: a large group of near copies is connected by few comparisons.
     5. Links connect the components.
 
     Every pair that links shares one of those tokens, whatever the sketch says of their frequency.
@@ -190,52 +193,77 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
             found = [np.frombuffer(r, np.int64) for r in batch["_row"]]
             sizes = [len(f) for f in found]
             if sum(sizes):
+                n = np.repeat(batch["n"].to_numpy(), sizes)
                 yield pd.DataFrame(
                     {
                         "_token": np.concatenate(found),
                         "_group": np.repeat(batch["_group"].to_numpy(), sizes),
-                        "n": np.repeat(batch["n"].to_numpy(), sizes),
+                        "n": n,
+                        "_rest": n - np.concatenate([np.arange(k) for k in sizes]),
                     }
                 )
 
     packed = ided.mapInPandas(rows, "_id long, key binary, _row binary").filter("length(_row) > 0")
     own = packed.join(grouped.withColumnRenamed("_rep", "_id"), ["_id", "key"]).select("_row", "_group", "n")
     matrix = (
-        own.mapInPandas(tokens, "_token long, _group long, n long")
+        own.mapInPandas(tokens, "_token long, _group long, n long, _rest long")
         .repartition("_token")
         .groupBy("_token", "_group")
-        .agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+        .agg(F.min("n").alias("_least"), F.max("n").alias("_most"), F.max("_rest").alias("_rest"))
     )
-    other = matrix.select("_token", *[F.col(c).alias(f"{c}2") for c in ("_group", "_least", "_most")])
+    other = matrix.select("_token", *[F.col(c).alias(f"{c}2") for c in ("_group", "_least", "_most", "_rest")])
+    # Sizes must allow the similarity, and so must what is left of both sets from their first shared token on.
     fits = (F.col("_least2") * num <= F.col("_most") * den) & (F.col("_least") * num <= F.col("_most2") * den)
+    fits = fits & (F.least("_rest", "_rest2") * (num + den) >= (F.col("_least") + F.col("_least2")) * num)
     pairs = (
         matrix.join(other, "_token").filter((F.col("_group") < F.col("_group2")) & fits).select("_group", "_group2").distinct()
     )
     within = grouped.filter("_members > 1").select("_group", F.col("_group").alias("_group2")).distinct()
     pairs = written(pairs.union(within), "ngram-candidates")
 
-    sides = pairs.select(F.col("_group").alias("_at"), "_group", "_group2").union(
-        pairs.filter("_group != _group2").select(F.col("_group2"), "_group", "_group2")
-    )
-    asked = sides.select("_at").distinct().join(grouped.withColumnRenamed("_group", "_at"), "_at").select("_rep", "key", "_at")
-    asked = written(asked, "ngram-asked")
-    whole = told_apart(ided, "_id", asked, "_rep")[0].join(asked.withColumnRenamed("_rep", "_id"), "_id")
-    compared = whole.join(sides, "_at").select("_group", "_group2", "_at", "_id", "key", "_text")
+    asked = pairs.select(F.col("_group")).union(pairs.select("_group2")).distinct().join(grouped, "_group")
+    asked = written(asked.select(F.col("_rep").alias("_id"), "key", F.col("_group").alias("_at"), "_members"), "ngram-asked")
+    held = told_apart(ided, "_id", asked, "_id")[0].join(asked.drop("_members"), "_id")
+    held = written(held, "ngram-texts")
+    weights = asked.select(F.col("_at").alias("_group2"), "_members").distinct()
 
     def verify(key, group):
-        a, b = key
         found = [shingle_set(t, words) for t in group["_text"]]
-        right = [set_key(s) == k for s, k in zip(found, group["key"], strict=True)]  # a repeated id has other texts
-        sides = []
-        for at in (a,) if a == b else (a, b):
-            mine = [k for k, x in enumerate(group["_at"]) if x == at and right[k]]
-            sides.append((group["_id"].iloc[mine].tolist(), [found[k] for k in mine]))
-        links = []
-        if all(s[0] for s in sides):
-            links = _forest(open_groups(sides[0], sides[1] if a != b else None, num, den))
-        return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
-
-    links = written(compared.groupBy("_group", "_group2").applyInPandas(verify, "src long, dst long"), "ngram-links")
+        members = defaultdict(lambda: ([], []))
+        for at, one, told, mine in zip(group["_at"], group["_id"], group["key"], found, strict=True):
+            if set_key(mine) == told:  # a repeated id has other texts
+                members[at][0].append(one)
+                members[at][1].append(mine)
+        first, links = members.pop(key[0], ([], [])), []
+        if group["_within"].any() and first[0]:
+            links += open_groups(first, None, num, den)
+        for side in members.values():
+            if first[0]:
+                links += open_groups(first, side, num, den)
+        return pd.DataFrame(_forest(links), columns=["src", "dst"]).astype("int64")
+
+    def opened(some):
+        """Links of candidate pairs.  A group meets its partners together, so many at a time as are ``MEMBERS`` sets."""
+        blocks = some.join(weights, "_group2").groupBy("_group").agg(F.ceil(F.sum("_members") / MEMBERS).cast("int").alias("_n"))
+        placed = some.join(blocks, "_group").withColumn("_block", F.pmod(F.xxhash64("_group2"), F.col("_n")))
+        theirs = placed.select("_group", "_block", F.col("_group2").alias("_at"), (F.col("_group") == F.col("_group2")).alias("_within"))
+        sides = theirs.union(placed.select("_group", "_block", F.col("_group").alias("_at"), F.lit(False).alias("_within")))
+        sides = sides.groupBy("_group", "_block", "_at").agg(F.max("_within").alias("_within"))
+        return held.join(sides, "_at").groupBy("_group", "_block").applyInPandas(verify, "src long, dst long")
+
+    # First every group with itself and with one other: that connects most of what belongs together.  Then the
+    # pairs of groups whose members are not all in one component yet; for the others nothing can change.
+    star = pairs.filter("_group != _group2").groupBy("_group2").agg(F.min("_group").alias("_group")).select("_group", "_group2")
+    star = star.union(pairs.filter("_group = _group2"))
+    links = written(opened(star), "ngram-links")
+    reached = components(links).withColumnRenamed("id", "_id")
+    state = asked.join(reached, "_id", "left").withColumn("_own", F.coalesce("component", "_id")).groupBy("_at")
+    state = written(state.agg(F.min("_own").alias("_from"), F.max("_own").alias("_to")), "ngram-state")
+    one = state.toDF("_group", "_from", "_to")
+    two = state.toDF("_group2", "_from2", "_to2")
+    rest = pairs.filter("_group != _group2").join(one, "_group").join(two, "_group2")
+    rest = rest.filter("least(_from, _from2) != greatest(_to, _to2)").select("_group", "_group2")
+    links = links.union(written(opened(written(rest, "ngram-rest")), "ngram-links"))
     # An id whose texts are of several classes joins them.
     again = members.filter("n > 0 and _id is not null").join(classes.select("key", "_rep"), "key")
     repeated = again.filter("_id != _rep").groupBy("_id").agg(F.min("_rep").alias("a"), F.max("_rep").alias("b")).filter("a != b")
