@@ -83,6 +83,11 @@ class LineRuns:
         names = [name for level in self.levels for name in level] + self.settled
         return self._sums(names).filter(F.col("docs") >= self.min_docs).select("hash")
 
+    def close(self):
+        """Forget the runs."""
+        for names in [*self.levels, self.settled]:
+            self._drop(names)
+
 
 def line_dedup(docs: DataFrame, min_docs=10, id_col="doc_id", text_col="text", batch_bytes=BATCH_BYTES, fanout=FANOUT) -> DataFrame:
     """Rows ``id, n_lines, n_dropped, kept_text``: documents without the lines found in ``min_docs`` documents.
@@ -114,6 +119,7 @@ def line_dedup(docs: DataFrame, min_docs=10, id_col="doc_id", text_col="text", b
     batches.option("checkpointLocation", f"{runs.folder}/progress").trigger(availableNow=True).foreachBatch(arrive).start().awaitTermination()
 
     frequent = written(runs.frequent(), "line-frequent") if runs.levels[0] or runs.settled else hashes.select("hash").limit(0)
+    runs.close()
     dropped = hashes.join(frequent, "hash").groupBy("_row").agg(F.collect_set("_at").alias("_dropped"))
 
     def kept(lines):
