@@ -157,11 +157,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class WordCache(dict):
-    """What ``encode`` gives for a word with a space before it; it forgets all words beyond a number of them."""
+    """What ``encode`` gives for a word with a space before it; it forgets all words beyond a number of them.
 
-    def __init__(self, encode):
+    ``many``, if there is one, encodes several words at a time.
+    """
+
+    def __init__(self, encode, many=None):
         super().__init__()
-        self.encode = encode
+        self.encode, self.many = encode, many
 
     def __missing__(self, word):
         if len(self) >= REMEMBERED:
@@ -171,6 +174,14 @@ class WordCache(dict):
             self[word] = found
         return found
 
+    def learn(self, words):
+        """Encode the words that are new."""
+        new = [w for w in {*words} if w not in self and 0 < len(w) <= 64]
+        if new:
+            if len(self) + len(new) > REMEMBERED:
+                self.clear()
+            self.update(zip(new, self.many(new), strict=True))
+
 
 def by_words(text: str, encode, words: WordCache) -> bytes:
     """``encode(text)``, put together from words where no piece can reach over the space between them.
@@ -182,6 +193,8 @@ def by_words(text: str, encode, words: WordCache) -> bytes:
     if SPACE_RUN.search(text):
         return encode(text)
     first, *rest = text.split(" ")
+    if words.many:
+        words.learn(rest)
     return b"".join([encode(first), *map(words.__getitem__, rest)])
 
 

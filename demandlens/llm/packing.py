@@ -50,7 +50,22 @@ def text_encoder(path: str):
         split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         and not spec.get("normalizer") and not spec.get("post_processor") and spec["model"]["type"] == "BPE"
     )
-    words = WordCache(encode)
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        sizes[i] = len(token)  # in such a vocabulary a character stands for a byte
+
+    def many(words):
+        """The ids of each word after a space: all are encoded as one text, and their bytes tell where each ends."""
+        joined = " " + " ".join(words)
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends, seen = np.cumsum([len(w.encode()) + 1 for w in words]), np.cumsum(sizes[ids])
+        cuts = np.searchsorted(seen, ends) + 1
+        if not np.array_equal(seen[np.minimum(cuts, len(seen)) - 1], ends):
+            raise ValueError(f"{path} has tokens that reach over a space")
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    words = WordCache(encode, many)
     return (lambda text: by_words(text, encode, words)) if spaced else encode
 
 
