@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 
 from demandlens.functions.text import bind, split_skills
 
-# Vocabularies up to these sizes are written into the plan; larger ones are joined.
-INLINE_TERMS = 1000
-INLINE_CHARS = 100_000
-# Lengths of the anchors by which a larger vocabulary is joined.
-ANCHORS = [16, 8, 4, 2, 1]
+# Lengths of the anchors by which terms and texts are joined.
+ANCHORS = [8, 4, 2, 1]
+# Characters of a text that are cut into pieces at a time.
+CHUNK = 1 << 14
+# Bits of the filter for pieces that are no anchor (64 to a row: 16,384 rows at most), whatever the vocabulary.
+FILTER_BITS = 1 << 20
+# Parts over which the anchors of up to two characters are spread, as nearly every text has them.
+SALTS = 16
 
 
 def posting_skills(jobs: DataFrame) -> DataFrame:
@@ -23,25 +26,6 @@ def vocabulary(jobs: DataFrame) -> DataFrame:
     return posting_skills(jobs).orderBy(F.lower("skill"), "skill")
 
 
-def extract_skills(cvs: DataFrame, vocab: DataFrame, text_col="cv_text", inline_terms=INLINE_TERMS) -> DataFrame:
-    """Add ``skills``: the vocabulary entries whose lowercase form occurs anywhere in the lowercase text.
-
-    ``cvs`` needs a unique ``cv_id`` and ``vocab`` a ``skill`` column.  Reads at most
-    ``inline_terms + 1`` terms to learn the vocabulary's size.  A small vocabulary becomes part of
-    the plan and texts are not shuffled; a larger one is joined on anchors (`_extract_by_anchor`).
-    Both give the same rows.
-    """
-    terms = [r.skill for r in vocab.select("skill").limit(inline_terms + 1).collect()]
-    if len(terms) > inline_terms or sum(map(len, terms)) > INLINE_CHARS:
-        return _extract_by_anchor(cvs, vocab, text_col)
-    terms = sorted({t for t in terms if t}, key=lambda t: (t.lower(), t))
-    if not terms:
-        return cvs.withColumn("skills", F.array().cast("array<string>"))
-    entries = F.array(*[F.struct(F.lower(F.lit(t)).alias("name"), F.lit(t).alias("skill")) for t in terms])
-    found = bind(F.lower(text_col), lambda text: F.filter(entries, lambda e: F.contains(text, e["name"])))
-    return cvs.withColumn("skills", F.coalesce(F.transform(found, lambda e: e["skill"]), F.array().cast("array<string>")))
-
-
 def _anchor_length(chars):
     chain = F
     for n in ANCHORS:
@@ -49,50 +33,52 @@ def _anchor_length(chars):
     return chain
 
 
+def _salted(anchor, spread):
+    return F.when(F.length(anchor) <= 2, spread).otherwise(F.lit(0))
+
+
 def candidate_terms(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> DataFrame:
     """Pairs ``cv_id, name, skill`` where the anchor of a term occurs in the text, by an equi-join.
 
-    The anchor of a term is its first 1, 2, 4, 8 or 16 characters, the most that fit, hence over half
-    of any term shorter than 32.  A text gives each distinct piece of itself of those lengths
-    once, so no piece is hot within a text, and only ids and pieces are shuffled.  Spark broadcasts
-    the vocabulary side if it measures it to be small, and splits skewed anchors otherwise.
+    The anchor of a term is its first 1, 2, 4 or 8 characters, the most that fit.  A long text is cut into
+    overlapping chunks, so what a row is cut into has a bound.  Pieces that are no anchor are dropped where they
+    arise, by a filter of fixed size; of the others only ids and pieces are shuffled.
     """
-    terms = (
-        vocab.filter(F.col("skill") != "")
-        .select("skill", F.lower("skill").alias("name"))
-        .withColumn("length", _anchor_length(F.length("name")))
-        .withColumn("anchor", F.expr("left(name, length)"))
-        .drop("length")
+    terms = vocab.filter(F.col("skill") != "").select("skill", F.lower("skill").alias("name")).distinct()
+    terms = terms.withColumn("_length", _anchor_length(F.length("name")))
+    terms = terms.withColumn("anchor", F.expr("left(name, _length)")).drop("_length")
+    place = "cast(xxhash64(anchor) & 63 as int)"
+    word = F.shiftright(F.xxhash64("anchor").bitwiseAND(F.lit(FILTER_BITS - 1)), 6)
+    words = terms.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {place})")).alias("_bits"))
+    chunks = cvs.select("cv_id", F.lower(text_col).alias("_text")).select(
+        "cv_id", "_text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)), F.lit(CHUNK))).alias("_at")
     )
+    chunks = chunks.select("cv_id", F.expr(f"substring(_text, _at, {CHUNK + ANCHORS[0] - 1})").alias("_chunk"))
+    cut = F.concat(*[F.regexp_extract_all("_chunk", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in ANCHORS])
     pieces = (
-        cvs.select("cv_id", F.lower(text_col).alias("_text"))
-        .withColumn(
-            "_found",
-            F.explode(
-                F.array(
-                    *[F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))) for n in ANCHORS]
-                )
-            ),
-        )
-        .select("cv_id", F.explode("_found").alias("anchor"))
+        chunks.select("cv_id", F.explode(F.array_distinct(cut)).alias("anchor"))
+        .withColumn("_word", word)
+        .join(F.broadcast(words), "_word")
+        .filter(f"(shiftright(_bits, {place}) & 1) = 1")
+        .select("cv_id", "anchor", _salted("anchor", F.pmod(F.hash("cv_id"), F.lit(SALTS))).alias("_salt"))
+        .distinct()
     )
-    return pieces.join(terms, "anchor").select("cv_id", "name", "skill")
+    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), _salted("anchor", F.lit(SALTS - 1)))))
+    return pieces.join(salted, ["anchor", "_salt"]).select("cv_id", "name", "skill")
 
 
-def _extract_by_anchor(cvs: DataFrame, vocab: DataFrame, text_col) -> DataFrame:
-    """Exact extraction for a vocabulary of any size: join on anchors, then check the candidates.
+def extract_skills(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> DataFrame:
+    """Add ``skills``: the vocabulary entries whose lowercase form occurs anywhere in the lowercase text.
 
-    Matches come back grouped by CV with partial aggregation; the list of a CV is the cell it ends up in.
+    ``vocab`` has a ``skill`` column; nulls and empty entries are ignored.  One way for a vocabulary of any
+    size: candidates come by an equi-join on anchors (`candidate_terms`), meet their text in one join, and are looked for
+    in it.  A text is moved at most once.  Rows that share a ``cv_id`` are each searched by themselves.  Not for streams.
     """
-    candidates = candidate_terms(cvs, vocab, text_col)
-    texts = cvs.select("cv_id", F.lower(text_col).alias("_text"))
-    matched = (
-        candidates.join(texts, "cv_id")
-        .filter(F.contains("_text", "name"))
-        .groupBy("cv_id")
+    found = (
+        candidate_terms(cvs, vocab, text_col)
+        .groupBy(F.col("cv_id").alias("_cv"))
         .agg(F.sort_array(F.collect_set(F.struct("name", "skill"))).alias("_found"))
     )
-    return cvs.join(matched, "cv_id", "left").select(
-        cvs["*"],
-        F.coalesce(F.transform("_found", lambda e: e["skill"]), F.array().cast("array<string>")).alias("skills"),
-    )
+    there = bind(F.lower(text_col), lambda text: F.filter("_found", lambda e: F.contains(text, e["name"])))
+    skills = F.coalesce(F.transform(there, lambda e: e["skill"]), F.array().cast("array<string>"))
+    return cvs.join(found, F.col("cv_id").eqNullSafe(F.col("_cv")), "left").select(cvs["*"], skills.alias("skills"))

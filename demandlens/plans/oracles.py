@@ -363,6 +363,26 @@ def _statements():
         )
         + " AS prompt FROM cv_texts LEFT JOIN (SELECT * FROM jobs QUALIFY row_number() OVER"
         " (PARTITION BY applicant_id ORDER BY job_ord DESC) = 1) ON applicant_id = cv_id % (SELECT count(*) FROM customer)",
+        "cv_skills_large_vocabulary": """SELECT c.cv_id, count(w.s) AS n_skills,
+            md5(coalesce(string_agg(w.s, ' | ' ORDER BY lower(w.s), w.s), '')) AS md5
+            FROM cv_texts c LEFT JOIN (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]')) AS s FROM documents) w
+            ON w.s <> '' AND contains(lower(c.cv_text), lower(w.s)) GROUP BY c.cv_id""",
+        "read_folder": "SELECT doc_id, 'documents.parquet' AS source_file FROM documents",
+        "read_postings": """SELECT row_number() OVER (ORDER BY job_ord % 3 <> 0, job_ord) - 1 AS job_ord, job_title,
+            seniority_level, required_skills, CASE WHEN job_ord % 3 <> 0 THEN preferred_skills END AS preferred_skills,
+            company_name FROM jobs""",
+        "read_cvs": "SELECT cv_id, full_name, primary_field, technical_skills, '' AS experience FROM cvs",
+        "text_files": "SELECT md5(t) AS md5, length(t) AS n_chars"
+        " FROM (SELECT replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) AS t FROM documents)",
+        "file_intake": f"""SELECT cv_id, cv_name || '.v1' AS cv_name,
+            CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason AS reject_reason
+            FROM (SELECT cv_id, cv_name, CASE WHEN cv_id % 3 = 2 THEN {_quoted(rules.REASON_BAD_FILE)}
+                  WHEN NOT is_valid THEN {REASON_TEXT}
+                  WHEN role NOT IN (SELECT role FROM totals) THEN {REASON_ROLE} END AS reason FROM text_c)""",
+        "market_refresh": """SELECT w.role, l.level, coalesce(own.total_jobs, w.total_jobs) AS relevant_jobs,
+            own.total_jobs IS NULL AS used_fallback FROM totals w
+            CROSS JOIN (VALUES ('junior'), ('mid'), ('senior')) l(level)
+            LEFT JOIN totals own ON own.role = w.role AND own.level = l.level WHERE w.level = 'all'""",
         "feedback_clean": "SELECT conv_id, turn, "
         + _clean("('The ' || role || ', a candidate among users, wrote: ' || text)")
         + " AS cleaned FROM conversations",

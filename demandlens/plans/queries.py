@@ -11,7 +11,7 @@ from demandlens.functions import classify, labels, prompts, text
 from demandlens.operators import feedback, gap, market, picks, report, skills
 from demandlens.plans import fixtures
 from demandlens.session import shared_dir
-from demandlens.sources import tables
+from demandlens.sources import tables, texts
 from demandlens.streaming import intake
 
 SEPARATOR = " | "
@@ -174,8 +174,7 @@ def latest_document(spark, sf_dir):
 @query
 def latest_text(spark, sf_dir):
     """The newest text of all."""
-    texts = fixtures.cv_texts(spark, sf_dir)
-    return picks.latest(texts, [], ["cv_id"])
+    return picks.latest(fixtures.cv_texts(spark, sf_dir), [], ["cv_id"])
 
 
 # ---- classification of CVs ----------------------------------------------------------------------
@@ -237,6 +236,80 @@ def cv_skills(spark, sf_dir):
     return found.select("cv_id", F.size("skills").cast("bigint").alias("n_skills"), _list("skills"))
 
 
+@query
+def cv_skills_large_vocabulary(spark, sf_dir):
+    """Every distinct word of the documents, looked for in every text CV."""
+    words = fixtures.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]")).alias("skill"))
+    found = skills.extract_skills(fixtures.cv_texts(spark, sf_dir), words.distinct())
+    return found.select("cv_id", F.size("skills").cast("bigint").alias("n_skills"), F.md5(F.array_join("skills", SEPARATOR)).alias("md5"))
+
+
+# ---- readers, on tables written to the shared folder first ---------------------------------------
+
+
+def _folder():
+    import uuid
+
+    return f"readers-{uuid.uuid4().hex}"
+
+
+@query
+def read_folder(spark, sf_dir):
+    """The files of the given folder that a name pattern picks, with their names."""
+    documents = tables.read_folder(spark, sf_dir, pattern="documents.parquet")
+    return documents.select("doc_id", "source_file")
+
+
+@query
+def read_postings(spark, sf_dir):
+    """Postings from two folders of files, numbered folder after folder and file after file."""
+    base = f"{shared_dir(spark)}/{_folder()}"
+    jobs = fixtures.jobs(spark, sf_dir).drop("source_file").withColumnRenamed("job_ord", "key")
+    parts = {"one": jobs.filter("key % 3 = 0").drop("preferred_skills"), "two": jobs.filter("key % 3 != 0")}
+    for name, part in parts.items():
+        part.repartitionByRange(4, "key").sortWithinPartitions("key").write.parquet(f"{base}/{name}")
+    read = tables.read_postings(spark, [f"{base}/{name}" for name in parts])
+    return read.select("job_ord", "job_title", "seniority_level", "required_skills", "preferred_skills", "company_name")
+
+
+@query
+def read_cvs(spark, sf_dir):
+    """Table CVs from a folder of files that have no ``experience``."""
+    path = f"{shared_dir(spark)}/{_folder()}"
+    fixtures.cvs(spark, sf_dir).drop("experience").write.parquet(path)
+    return tables.read_cvs(spark, path)
+
+
+@query
+def text_files(spark, sf_dir):
+    """Texts written one to a file, read back as whole files, kept as a table and read again."""
+    base = f"{shared_dir(spark)}/{_folder()}"
+    documents = fixtures.table(spark, sf_dir, "documents").select("text")
+    documents.write.option("maxRecordsPerFile", 1).text(f"{base}/files")
+    texts.write_cv_texts(texts.read_cv_texts(spark, f"{base}/files"), f"{base}/table")
+    kept = spark.read.parquet(f"{base}/table")
+    return kept.select(F.md5("cv_text").alias("md5"), F.length("cv_text").cast("bigint").alias("n_chars"))
+
+
+@query
+def file_intake(spark, sf_dir):
+    """Uploads by file name: stem, and why they are turned away."""
+    ending = F.element_at(F.array(*map(F.lit, (".pdf", ".PDF", ".docx"))), (F.col("cv_id") % 3 + 1).cast("int"))
+    cvs = fixtures.cv_texts(spark, sf_dir).withColumn("file_name", F.concat("cv_name", F.lit(".v1"), ending))
+    routed = gap.route(cvs.withColumn("cv_name", texts.file_stem(F.col("file_name"))), _slices(spark, sf_dir))
+    return routed.select("cv_id", "cv_name", "status", "reject_reason")
+
+
+@query
+def market_refresh(spark, sf_dir):
+    """The newest of two published markets."""
+    path = f"{shared_dir(spark)}/{_folder()}"
+    jobs = fixtures.jobs(spark, sf_dir)
+    intake.publish_market(jobs.filter("job_ord % 2 = 0"), path, version=1)
+    intake.publish_market(jobs, path, version=2)
+    return intake.load_market(spark, path).select("role", "level", "relevant_jobs", "used_fallback")
+
+
 # ---- CVs against the market ---------------------------------------------------------------------
 
 

@@ -60,9 +60,27 @@ def renumber(df: DataFrame, order_by, out_col="job_ord") -> DataFrame:
     )
 
 
-def read_folder(spark: SparkSession, path, fmt="parquet", schema=None, pattern=None, **options) -> DataFrame:
+def number_by_file(df: DataFrame, out_col="job_ord") -> DataFrame:
+    """Number the rows 0, 1, 2, ... by ``_folder``, ``_path`` and the row's place ``_row`` in its file.
+
+    Rows are counted for each file, from metadata alone, and each file's rows start after those of the files
+    before it: nothing is sorted or shuffled, and a repeated task gives the same numbers.  There is one count for
+    each file, of which the driver holds a list anyway; they are broadcast.
+    """
+    sizes = df.groupBy("_folder", "_path").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_folder", "_path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_folder", "_path", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    placed = df.join(F.broadcast(starts), ["_folder", "_path"])
+    return placed.withColumn(out_col, F.col("_start") + F.col("_row")).drop("_folder", "_path", "_row", "_start")
+
+
+def read_folder(
+    spark: SparkSession, path, fmt="parquet", schema=None, pattern=None, merge_schema=False, **options
+) -> DataFrame:
     """Every file of a folder as one table, with ``source_file``; a folder without files raises.
 
+    Parquet files of a folder share a schema; ``merge_schema`` looks into all of them for columns that some lack.
+
     ``pattern`` filters file names (case-sensitive unless it says otherwise, as ``*.[cC][sS][vV]``).
     A CSV file whose header disagrees with ``schema`` raises; read such folders one by one and
     combine them with ``union_by_name``.
@@ -73,7 +91,7 @@ def read_folder(spark: SparkSession, path, fmt="parquet", schema=None, pattern=N
     if fmt == "csv":
         reader = reader.options(header="true", enforceSchema="false")
     if fmt == "parquet" and schema is None:
-        reader = reader.option("mergeSchema", "true")
+        reader = reader.option("mergeSchema", str(merge_schema).lower())
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
@@ -85,20 +103,20 @@ def read_folder(spark: SparkSession, path, fmt="parquet", schema=None, pattern=N
 def read_postings(spark: SparkSession, paths, fmt="parquet", row_key=None, pattern=None, **options) -> DataFrame:
     """Postings of one or more folders, combined by column name, in the shape of ``schemas.JOBS``.
 
-    Rows keep a ``job_ord`` column they bring along; it must be unique.  Otherwise they are
-    numbered by file name and ``row_key`` (for parquet, by default, the row's place in its file).
+    Rows keep a ``job_ord`` column they bring along; it must be unique.  Otherwise they are numbered by
+    folder, file path and ``row_key`` (for parquet, by default, the row's place in its file).
     """
     frames = []
-    for path in [paths] if isinstance(paths, str) else paths:
+    for at, path in enumerate([paths] if isinstance(paths, str) else paths):
         df = read_folder(spark, path, fmt, pattern=pattern, **options)
         if "job_ord" not in df.columns and row_key is None:
             if fmt != "parquet":
                 raise ValueError("name a row_key column: only parquet records the place of a row in its file")
-            df = df.withColumn("_row_index", F.col("_metadata.row_index"))
-        frames.append(df)
+            df = df.withColumn("_row", F.col("_metadata.row_index"))
+        frames.append(df.withColumns({"_folder": F.lit(at), "_path": F.col("_metadata.file_path")}))
     df = union_by_name(frames)
     if "job_ord" not in df.columns:
-        df = renumber(df, ["source_file", row_key or "_row_index"])
+        df = number_by_file(df) if row_key is None else renumber(df, ["_folder", "_path", row_key])
     return conform(df, schemas.JOBS, schemas.JOBS_REQUIRED)
 
 

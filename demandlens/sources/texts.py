@@ -29,7 +29,10 @@ def _as_cvs(files: DataFrame) -> DataFrame:
 
 
 def read_cv_texts(spark: SparkSession, path, pattern=TXT_FILES) -> DataFrame:
-    """Text files as ``cv_id, cv_name, cv_text, modified_at``; a folder without any raises."""
+    """Text files as ``cv_id, cv_name, cv_text, modified_at``; a folder without any raises.
+
+    ``cv_id`` is a hash of the path; no operator mixes up rows that happen to share it.
+    """
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     if not files.inputFiles():
         raise FileNotFoundError(f"no text files in {path}")

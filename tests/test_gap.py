@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,12 @@ def test_report_text(frontend_jobs, texts):
     assert lines[at + 1] == "" and lines[at + 2] == "SKILLS YOU ALREADY HAVE:"
     assert "OVERALL FIT SCORE: 50%" in lines
     assert report.web_view(results).columns == rules.WEB_VIEW
+
+
+def test_long_lists_compare_in_reasonable_time(spark):
+    names = [f"Skill {i}" for i in range(2000)]
+    frame = spark.createDataFrame([(names[::2], names + [n.upper() for n in names])], "a array<string>, b array<string>")
+    started = time.monotonic()
+    (r,) = frame.select(gap.strict_compare(F.col("a"), F.col("b")).alias("c")).collect()
+    assert r.c.matched_skills == [n.upper() for n in names[::2]] and len(r.c.missing_skills) == 1000
+    assert time.monotonic() - started < 60

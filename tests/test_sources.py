@@ -50,6 +50,20 @@ def test_parquet_postings_are_numbered_by_file_and_row(spark, tmp_path):
     assert {r.source_file for r in rows} == {"a.parquet", "b.parquet"} and rows[0].seniority_level == ""
 
 
+def test_files_of_one_name_in_two_folders_keep_apart(spark, tmp_path):
+    """File after file, as listed, whatever the files are called and however a scan is split."""
+    for name in ("b", "a"):
+        rows = [(f"{name} {i}", "SQL") for i in range(50)]
+        frame = spark.createDataFrame(rows, "job_title string, required_skills string").coalesce(1)
+        frame.write.parquet(str(tmp_path / name))
+        (part,) = (tmp_path / name).glob("*.parquet")
+        os.rename(part, tmp_path / name / "same.parquet")
+    jobs = tables.read_postings(spark, [str(tmp_path / "b"), str(tmp_path / "a")])
+    wanted = [f"{name} {i}" for name in ("b", "a") for i in range(50)]
+    for frame in (jobs, jobs.repartition(7)):
+        assert [r.job_title for r in frame.orderBy("job_ord").collect()] == wanted
+
+
 @pytest.mark.parametrize("fmt", ["csv", "json", "orc"])
 def test_other_formats_need_a_row_key(spark, tmp_path, fmt):
     options = {"header": "true"} if fmt == "csv" else {}
@@ -119,5 +133,6 @@ def test_picks(spark):
     assert newest == {k: max(r.t for r in rows if r.k == k) for k in range(3)}
     profile = picks.profile(df, "t").first()
     assert (profile.row_count, profile.t) == (500, 0)
-    chosen = {picks.random_row(df, seed).first().id for seed in range(8)}
-    assert len(chosen) > 3 and picks.random_row(df, 1).first() == picks.random_row(df, 1).first()
+    chosen = {picks.random_row(df, "id", seed).first().id for seed in range(8)}
+    assert len(chosen) > 3
+    assert len({picks.random_row(df.repartition(n), "id", 1).first().id for n in (1, 3, 8)}) == 1
