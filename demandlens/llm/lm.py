@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from demandlens.llm.common import written
 from demandlens.llm.gru import CLASSES, UNITS, WORDS, Gru
@@ -14,7 +15,7 @@ from demandlens.session import ship
 #: Tokens of a chunk: documents whose words are numbered together.
 CHUNK_TOKENS = 1 << 21
 #: The network is trained in rounds, each on another one of so many parts of the training documents.
-ROUNDS, PARTS = 3, 16
+ROUNDS, PARTS = 2, 16
 #: Slices in which trained weights are averaged.
 WEIGHT_SLICES = 64
 CHUNKS = (
@@ -26,6 +27,14 @@ SCORES = (
 )
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        return number
+
+
 def numbered_words(docs: DataFrame) -> DataFrame:
     """Documents (``_id, _text, _held, _part``) as chunks: token numbers, and the words that the numbers stand for.
 
@@ -38,7 +47,7 @@ def numbered_words(docs: DataFrame) -> DataFrame:
         task, number = TaskContext.get().partitionId(), 0
 
         def fresh():
-            return {b"": 0}, [], []
+            return _Numbers({b"": 0}), [], []
 
         def close(words, tokens, meta):
             ids, held, part = (list(x) for x in zip(*meta, strict=True))
@@ -63,7 +72,7 @@ def numbered_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for key, text, held, part in zip(*(batch[c] for c in batch.columns), strict=True):
                 parts = (text or "").encode().lower().split()
-                own = np.fromiter((words.setdefault(w, len(words)) for w in parts), np.int64, len(parts))
+                own = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
                 tokens.append(np.append(own, 0))
                 meta.append((key, bool(held), int(part)))
                 held_tokens += len(own) + 1
@@ -85,11 +94,9 @@ def counted(chunks: DataFrame) -> DataFrame:
     rows = chunks.select("chunk", entry).select(
         "chunk", "at", F.col("entry.words").alias("word"), F.col("entry.counts").alias("count")
     )
-    rows = rows.repartition("word")
-    total = rows.groupBy("word").agg(F.sum("count").alias("total"), F.min("chunk").alias("home"))
-    return rows.join(total, "word").select(
-        "chunk", "at", F.col("total").alias("count"), F.when(F.col("chunk") == F.col("home"), F.col("word")).alias("word")
-    )
+    same = Window.partitionBy("word")
+    home = F.min("chunk").over(same) == F.col("chunk")
+    return rows.select("chunk", "at", F.sum("count").over(same).alias("count"), F.when(home, F.col("word")).alias("word"))
 
 
 def _network_ids(words, known: dict[str, int]) -> np.ndarray:
