@@ -365,8 +365,9 @@ def _statements():
         " (PARTITION BY applicant_id ORDER BY job_ord DESC) = 1) ON applicant_id = cv_id % (SELECT count(*) FROM customer)",
         "cv_skills_large_vocabulary": """SELECT c.cv_id, count(w.s) AS n_skills,
             md5(coalesce(string_agg(w.s, ' | ' ORDER BY lower(w.s), w.s), '')) AS md5
-            FROM cv_texts c LEFT JOIN (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]')) AS s FROM documents) w
-            ON w.s <> '' AND contains(lower(c.cv_text), lower(w.s)) GROUP BY c.cv_id""",
+            FROM (SELECT cv_id, lower(cv_text) AS t FROM cv_texts) c LEFT JOIN (SELECT s, lower(s) AS l
+                FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]')) AS s FROM documents) WHERE s <> '') w
+            ON contains(c.t, w.l) GROUP BY c.cv_id""",
         "read_folder": "SELECT doc_id, 'documents.parquet' AS source_file FROM documents",
         "read_postings": """SELECT row_number() OVER (ORDER BY job_ord % 3 <> 0, job_ord) - 1 AS job_ord, job_title,
             seniority_level, required_skills, CASE WHEN job_ord % 3 <> 0 THEN preferred_skills END AS preferred_skills,
