@@ -157,17 +157,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class WordCache(dict):
-    """What ``encode`` gives for a word with a space before it; it forgets all words beyond a number of them.
+    """What ``encode`` gives for a word with a space before it; it forgets all words beyond ``most``.
 
     ``many``, if there is one, encodes several words at a time.
     """
 
-    def __init__(self, encode, many=None):
+    def __init__(self, encode, many=None, most=REMEMBERED):
         super().__init__()
-        self.encode, self.many = encode, many
+        self.encode, self.many, self.most = encode, many, most
 
     def __missing__(self, word):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         found = self.encode(" " + word)
         if len(word) <= 64:
@@ -178,7 +178,7 @@ class WordCache(dict):
         """Encode the words that are new."""
         new = [w for w in {*words} if w not in self and 0 < len(w) <= 64]
         if new:
-            if len(self) + len(new) > REMEMBERED:
+            if len(self) + len(new) > self.most:
                 self.clear()
             self.update(zip(new, self.many(new), strict=True))
 

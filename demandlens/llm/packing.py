@@ -27,6 +27,8 @@ END = 2
 LARGE = 1 / 8
 #: Groups of equal cardinality into which large pieces are dealt.
 GROUPS = 48
+#: Words whose ids a Python worker remembers.
+WORDS = 150_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,7 +67,7 @@ def text_encoder(path: str):
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    words = WordCache(encode, many)
+    words = WordCache(encode, many, WORDS)
     return (lambda text: by_words(text, encode, words)) if spaced else encode
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
 _FACTORS = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
