@@ -223,7 +223,8 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
 
     asked = pairs.select(F.col("_group")).union(pairs.select("_group2")).distinct().join(grouped, "_group")
     asked = written(asked.select(F.col("_rep").alias("_id"), "key", F.col("_group").alias("_at"), "_members"), "ngram-asked")
-    held = told_apart(ided, "_id", asked, "_id")[0].join(asked.drop("_members"), "_id")
+    # Texts are moved for these joins at every size, so that small and large inputs have one plan.
+    held = told_apart(ided, "_id", asked, "_id")[0].join(asked.drop("_members").hint("merge"), "_id")
     held = written(held, "ngram-texts")
     weights = asked.select(F.col("_at").alias("_group2"), "_members").distinct()
 
@@ -249,7 +250,7 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
         theirs = placed.select("_group", "_block", F.col("_group2").alias("_at"), (F.col("_group") == F.col("_group2")).alias("_within"))
         sides = theirs.union(placed.select("_group", "_block", F.col("_group").alias("_at"), F.lit(False).alias("_within")))
         sides = sides.groupBy("_group", "_block", "_at").agg(F.max("_within").alias("_within"))
-        return held.join(sides, "_at").groupBy("_group", "_block").applyInPandas(verify, "src long, dst long")
+        return held.join(sides.hint("merge"), "_at").groupBy("_group", "_block").applyInPandas(verify, "src long, dst long")
 
     # First every group with itself and with one other: that connects most of what belongs together.  Then the
     # pairs of groups whose members are not all in one component yet; for the others nothing can change.
