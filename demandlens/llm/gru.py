@@ -9,6 +9,8 @@ WORDS, CLASSES, UNITS = 1024, 32, 16
 #: Tokens through which errors are propagated, and documents side by side in training and in scoring.
 WINDOW, LANES, SCORE_LANES = 16, 128, 512
 RATE, CLIP = 0.02, 5.0
+#: Tokens of a document that are trained on in a row, and the longest window in scoring.
+SEGMENT, LONGEST = 512, 1024
 
 
 class Gru:
@@ -141,12 +143,16 @@ class Gru:
         return float(out[live.ravel()].sum()), grads, after
 
     def train(self, documents: list[np.ndarray], window=WINDOW, lanes=LANES, rate=RATE):
-        """One pass of Adam over documents (token ids, each ending in 0), side by side in lanes."""
+        """One pass of Adam over documents (token ids, each ending in 0), side by side in lanes.
+
+        Longer documents are cut into segments that begin without a state, so that lanes end together.
+        """
+        documents = [d[at : at + SEGMENT] for d in documents for at in range(0, len(d), SEGMENT)]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         state, done = None, 0
         for tokens, live in windows(documents, window, lanes):
-            state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state
+            state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state[: tokens.shape[1]]
             count = max(1, int(live.sum()))
             _, grads, state = self.gradients(tokens, live, state)
             done += 1
@@ -163,7 +169,7 @@ class Gru:
         """Natural log likelihood of each whole document; the state goes on from window to window."""
         out, state = np.zeros(len(documents)), None
         for tokens, live, owner in windows(documents, window, lanes, owners=True):
-            state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state
+            state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state[: tokens.shape[1]]
             states, state, _ = self.forward(tokens, state)
             own = live.ravel()
             got = self.log_probability(states.reshape(-1, self.units)[own], tokens.ravel()[own])
@@ -183,7 +189,8 @@ def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def windows(documents: list[np.ndarray], window: int, lanes: int, owners=False):
     """Windows (time, lane) over documents laid end to end in lanes of about equal length, longest first.
 
-    Yields tokens, which of them are real, and with ``owners`` the number of their document.
+    Yields tokens, which of them are real, and with ``owners`` the number of their document.  Lanes that have ended
+    are left out: the others come first.  With ``owners``, windows get longer as lanes get fewer.
     """
     sizes = np.array([len(d) for d in documents], np.int64)
     if not sizes.sum():
@@ -199,13 +206,20 @@ def windows(documents: list[np.ndarray], window: int, lanes: int, owners=False):
     longest = max(total for total, _ in load)
     columns = [np.concatenate([documents[d] for d in own]) if own else np.zeros(0, np.int64) for own in held]
     marks = [np.repeat(own, sizes[own]) if own else np.zeros(0, np.int64) for own in held] if owners else None
-    for at in range(0, longest, window):
-        tokens = np.zeros((window, lanes), np.int64)
-        live = np.zeros((window, lanes), bool)
-        owner = np.zeros((window, lanes), np.int64)
-        for k, column in enumerate(columns):
-            part = column[at : at + window]
+    ranks = sorted(range(lanes), key=lambda k: -len(columns[k]))
+    columns = [columns[k] for k in ranks]
+    marks = [marks[k] for k in ranks] if owners else None
+    at = 0
+    while at < longest:
+        active = sum(len(column) > at for column in columns)
+        steps = min(max(window, min(LONGEST, window * lanes // active)), longest - at) if owners else window
+        tokens = np.zeros((steps, active), np.int64)
+        live = np.zeros((steps, active), bool)
+        owner = np.zeros((steps, active), np.int64)
+        for k, column in enumerate(columns[:active]):
+            part = column[at : at + steps]
             tokens[: len(part), k], live[: len(part), k] = part, True
             if owners:
-                owner[: len(part), k] = marks[k][at : at + window]
+                owner[: len(part), k] = marks[k][at : at + steps]
         yield (tokens, live, owner) if owners else (tokens, live)
+        at += steps
