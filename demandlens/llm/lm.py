@@ -14,8 +14,8 @@ from demandlens.session import ship
 
 #: Tokens of a chunk: documents whose words are numbered together.
 CHUNK_TOKENS = 1 << 21
-#: The network is trained in rounds, each on another one of so many parts of the training documents.
-ROUNDS, PARTS = 2, 16
+#: Parts of the training documents.  The network is trained on all of them, one in each round.
+PARTS = 4
 #: Slices in which trained weights are averaged.
 WEIGHT_SLICES = 64
 CHUNKS = (
@@ -103,8 +103,8 @@ def _network_ids(words, known: dict[str, int]) -> np.ndarray:
     return np.fromiter((known.get(w, len(known)) for w in words), np.int64, len(words))
 
 
-def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=ROUNDS) -> Gru:
-    """Train the network in rounds on the training documents of part 0, part 1 and so on.
+def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS) -> Gru:
+    """Train the network once on every training document, in rounds: those of part 0, part 1 and so on.
 
     In a round every task starts from the same weights and learns from its chunks' documents by truncated
     backpropagation; then the weights are averaged, each with as much weight as it saw tokens.  Tasks send averages
@@ -154,7 +154,7 @@ def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=ROUNDS) -
 
 
 def score(
-    docs: DataFrame, folds=7, held=2, id_col="doc_id", text_col="text", words=WORDS, classes=CLASSES, units=UNITS, rounds=ROUNDS, parts=PARTS
+    docs: DataFrame, folds=7, held=2, id_col="doc_id", text_col="text", words=WORDS, classes=CLASSES, units=UNITS, parts=PARTS
 ) -> DataFrame:
     """Rows ``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
@@ -168,14 +168,14 @@ def score(
 
     Counts cover all training documents.  Texts are read once and turned into numbered chunks; then words move,
     once for each chunk, and chunks meet the counts of their own words.  No table of all words is ever in one place.
-    The network learns from ``rounds`` of ``parts`` parts of the training documents, which grow with the corpus.
+    The network learns from every training document once, in ``parts`` rounds; id and text tell a row's round.
     """
     spark = ship(docs.sparkSession)
     text = docs.select(
         F.col(id_col).cast("string").alias("_id"),
         F.col(text_col).cast("string").alias("_text"),
         (fold(id_col, folds) == held).alias("_held"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(parts)).cast("int").alias("_part"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(parts)).cast("int").alias("_part"),
     )
     chunks = written(numbered_words(text), "lm-chunks")
     looked = written(counted(chunks), "lm-counts")
@@ -191,7 +191,7 @@ def score(
     model = None
     if listed:
         logs = np.log(np.array([row["count"] + 1 for row in listed]) / everything)
-        model = train(chunks, known, Gru(logs, np.log(rest / everything), units, classes), rounds)
+        model = train(chunks, known, Gru(logs, np.log(rest / everything), units, classes), parts)
 
     names = [f.split()[0] for f in SCORES.format(id=id_col).split(", ")]
 

@@ -49,6 +49,16 @@ def test_the_network_beats_the_base_on_held_out_documents(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("ids", [[None], [1, 2, 4], range(100, 400)])
+def test_the_network_learns_from_every_training_document(spark, ids):
+    """Hot, null and spread ids alike: no id is left out of training for its hash."""
+    outside = spark.createDataFrame([(i,) for i in ids], "doc_id long").filter("doc_id is null or pmod(xxhash64(string(doc_id)), 16) > 1")
+    keys = [r.doc_id for r in outside.collect() if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2]
+    rows = [(keys[n % len(keys)], "left right " * 20 + f"own{n}") for n in range(300)]
+    found = score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.score for r in found) > 0.95 * sum(r.base_score for r in found)
+
+
 def _model(seed=1):
     model, rng = Gru(np.log(np.full(12, 1 / 14)), np.log(2 / 14), units=5, classes=3, seed=seed), np.random.default_rng(seed)
     for k, v in model.p.items():
