@@ -5,9 +5,13 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 
 #: Words that the network knows, classes they are dealt to, and units.
-WORDS, CLASSES, UNITS = 1024, 32, 16
+WORDS, CLASSES, UNITS = 16384, 128, 16
+#: Classes and input rows that all other words are hashed to.
+OTHERS = 64
 #: Tokens through which errors are propagated, and documents side by side in training and in scoring.
 WINDOW, LANES, SCORE_LANES = 16, 128, 512
+#: Where texts are enough for so many windows of training, more documents are side by side, as in scoring at most.
+STEPS = 128
 RATE, CLIP = 0.02, 5.0
 #: Tokens of a document that are trained on in a row, and the longest window in scoring.
 SEGMENT, LONGEST = 512, 1024
@@ -16,31 +20,33 @@ SEGMENT, LONGEST = 512, 1024
 class Gru:
     """``P(word | state) = P(class | state) * P(word | class, state)`` for known words.
 
-    Known words are dealt into classes by frequency; class ``CLASSES`` stands for all other words, whose share
-    within it is not the network's business.  Word ``0`` ends a document and word ``words`` is any other.
+    Known words are dealt into classes by frequency; the classes from ``classes`` on stand for other words, whose
+    shares within them are not the network's business.  Word ``0`` ends a document, and the words from ``words`` on
+    are the classes of others.
     """
 
-    def __init__(self, logs: np.ndarray, other: float, units=UNITS, classes=CLASSES, seed=0):
-        """``logs``: natural log probabilities of the known words, most frequent first; ``other``: of all others together."""
+    def __init__(self, logs: np.ndarray, other: float | np.ndarray, units=UNITS, classes=CLASSES, seed=0):
+        """``logs``: natural log probabilities of the known words, most frequent first; ``other``: of each class of others."""
+        other = np.atleast_1d(other)
         rng = np.random.default_rng(seed)
         self.words, self.classes, self.units = len(logs), classes, units
         self.width = -(-self.words // classes)
         self.kind = np.minimum(np.arange(self.words) // self.width, classes - 1)
         self.slot = np.arange(self.words) - self.kind * self.width
-        mass = np.full(classes + 1, -np.inf)
+        mass = np.full(classes + len(other), -np.inf)
         inner = np.full((classes, self.width), -30.0)
         inner[self.kind, self.slot] = logs
         mass[:classes] = np.logaddexp.reduce(inner, axis=1)
-        mass[classes] = other
+        mass[classes:] = other
         h = units
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         # Begins as the unigram model: weights of the outputs are zero and their biases are log frequencies.
         self.p = {
-            "input": draw(self.words + 1, 3 * h),
+            "input": draw(self.words + len(other), 3 * h),
             "gates": draw(h, 2 * h),
             "new": draw(h, h),
             "bias": np.zeros(3 * h, np.float32),
-            "class": np.zeros((h, classes + 1), np.float32),
+            "class": np.zeros((h, len(mass)), np.float32),
             "class_bias": np.maximum(mass, -30).astype(np.float32),
             "word": np.zeros((classes, h, self.width), np.float32),
             "word_bias": inner.astype(np.float32),
@@ -73,13 +79,13 @@ class Gru:
         return states, state, saved
 
     def log_probability(self, states: np.ndarray, tokens: np.ndarray, weights=None):
-        """Log probability of each token at its state (for another word: of the class of others).
+        """Log probability of each token at its state (for another word: of its class of others).
 
         With ``weights`` (0 or 1 for each token), also the gradients of the sum, by parameter, and at the states.
         """
         p = self.p
         other = tokens >= self.words
-        kind = np.where(other, self.classes, self.kind[np.minimum(tokens, self.words - 1)])
+        kind = np.where(other, self.classes + tokens - self.words, self.kind[np.minimum(tokens, self.words - 1)])
         rows = np.arange(len(tokens))
         logits = states @ p["class"] + p["class_bias"]
         logits -= logits.max(1, keepdims=True)
@@ -94,29 +100,39 @@ class Gru:
             grads["class"], grads["class_bias"] = states.T @ delta, delta.sum(0)
             at_states = delta @ p["class"].T
             grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
+        # Tokens in order of their classes: a class is a slice, and what follows the products is done for all at once.
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
-                continue
-            at = self.slot[tokens[own]]
-            inner = states[own] @ p["word"][c] + p["word_bias"][c]
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            s = e.sum(1, keepdims=True)
-            each = np.arange(len(own))
-            out[own] += inner[each, at] - np.log(s[:, 0])
-            if weights is not None:
-                delta = -e / s
-                delta[each, at] += 1
-                delta *= weights[own][:, None]
-                grads["word"][c], grads["word_bias"][c] = states[own].T @ delta, delta.sum(0)
-                at_states[own] += delta @ p["word"][c].T
+        order = order[: edges[-1]]
+        if not len(order):
+            return (out, grads, at_states) if weights is not None else out
+        parts = [(c, slice(edges[c], edges[c + 1])) for c in range(self.classes) if edges[c] < edges[c + 1]]
+        near, at, each = states[order], self.slot[tokens[order]], np.arange(len(order))
+        inner = np.empty((len(order), self.width), np.result_type(near, p["word"]))
+        for c, own in parts:
+            np.matmul(near[own], p["word"][c], out=inner[own])
+            inner[own] += p["word_bias"][c]
+        inner -= inner.max(1, keepdims=True)
+        chosen = inner[each, at]
+        e = np.exp(inner, out=inner)
+        s = e.sum(1, keepdims=True)
+        out[order] += chosen - np.log(s[:, 0])
+        if weights is not None:
+            delta = np.divide(e, -s, out=e)
+            delta[each, at] += 1
+            delta *= weights[order][:, None]
+            back = np.empty_like(near)
+            for c, own in parts:
+                grads["word"][c], grads["word_bias"][c] = near[own].T @ delta[own], delta[own].sum(0)
+                np.matmul(delta[own], p["word"][c].T, out=back[own])
+            at_states[order] += back
         return (out, grads, at_states) if weights is not None else out
 
-    def gradients(self, tokens: np.ndarray, live: np.ndarray, state: np.ndarray):
-        """Log likelihood of a window, its gradients (truncated at the window's start), and the state after it."""
+    def gradients(self, tokens: np.ndarray, live: np.ndarray, state: np.ndarray, sparse=False):
+        """Log likelihood of a window, its gradients (truncated at the window's start), and the state after it.
+
+        With ``sparse``, the gradient of the input has the rows of ``np.unique(tokens)`` only.
+        """
         p, h = self.p, self.units
         states, after, saved = self.forward(tokens, state, keep=True)
         flat = tokens.ravel()
@@ -139,31 +155,44 @@ class Gru:
             back = back * (1 - update) + d_held * reset + d_gates @ p["gates"].T + at[t]
         flat_inputs = inputs.reshape(-1, 3 * h)
         grads["bias"] = flat_inputs.sum(0)
-        grads["input"] = _summed(flat, flat_inputs, len(p["input"]))
+        found, sums = _summed(flat, flat_inputs)
+        if not sparse:
+            grads["input"] = np.zeros_like(p["input"])
+            grads["input"][found] = sums
+        else:
+            grads["input"] = sums
         return float(out[live.ravel()].sum()), grads, after
 
     def train(self, documents: list[np.ndarray], window=WINDOW, lanes=LANES, rate=RATE):
         """One pass of Adam over documents (token ids, each ending in 0), side by side in lanes.
 
-        Longer documents are cut into segments that begin without a state, so that lanes end together.
+        Longer documents are cut into segments that begin without a state, so that lanes end together.  Only the
+        input rows of a window's words change with it, so a window's cost does not grow with the vocabulary.
         """
         documents = [d[at : at + SEGMENT] for d in documents for at in range(0, len(d), SEGMENT)]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         state, done = None, 0
+        lanes = max(lanes, min(SCORE_LANES, sum(map(len, documents)) // (window * STEPS)))
         for tokens, live in windows(documents, window, lanes):
             state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state[: tokens.shape[1]]
             count = max(1, int(live.sum()))
-            _, grads, state = self.gradients(tokens, live, state)
+            _, grads, state = self.gradients(tokens, live, state, sparse=True)
+            touched = np.unique(tokens)
             done += 1
             norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / count
             scale = np.float32(min(1.0, CLIP / max(norm, 1e-12)) / count)
             for k, g in grads.items():
-                g = g * scale
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                step = first[k] / (1 - 0.9**done) / (np.sqrt(second[k] / (1 - 0.999**done)) + 1e-8)
-                self.p[k] += (rate * step).astype(np.float32)
+                own, g = touched if k == "input" else slice(None), g * scale
+                one, two = first[k][own], second[k][own]
+                one += 0.1 * (g - one)
+                two += 0.001 * (g * g - two)
+                step = np.sqrt(two / (1 - 0.999**done))
+                step += 1e-8
+                np.divide(one, step, out=step)
+                self.p[k][own] += (np.float32(rate / (1 - 0.9**done)) * step).astype(np.float32)
+                if k == "input":
+                    first[k][own], second[k][own] = one, two
 
     def score(self, documents: list[np.ndarray], window=WINDOW, lanes=SCORE_LANES) -> np.ndarray:
         """Natural log likelihood of each whole document; the state goes on from window to window."""
@@ -177,13 +206,11 @@ class Gru:
         return out
 
 
-def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """The sums of ``values`` by row, for ``n`` rows."""
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``rows``, in order, and the sums of their ``values``."""
     order = np.argsort(rows, kind="stable")
     found, starts = np.unique(rows[order], return_index=True)
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    out[found] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+    return found, np.add.reduceat(values[order], starts, axis=0)
 
 
 def windows(documents: list[np.ndarray], window: int, lanes: int, owners=False):

@@ -1,5 +1,7 @@
 """Language-model scores of documents: unigram counts of all training documents, and a gated recurrent network."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from demandlens.llm.common import written
-from demandlens.llm.gru import CLASSES, UNITS, WORDS, Gru
+from demandlens.llm.gru import CLASSES, OTHERS, UNITS, WORDS, Gru
 from demandlens.llm.quality import fold
 from demandlens.session import ship
 
@@ -99,11 +101,13 @@ def counted(chunks: DataFrame) -> DataFrame:
     return rows.select("chunk", "at", F.sum("count").over(same).alias("count"), F.when(home, F.col("word")).alias("word"))
 
 
-def _network_ids(words, known: dict[str, int]) -> np.ndarray:
-    return np.fromiter((known.get(w, len(known)) for w in words), np.int64, len(words))
+def _network_ids(words, known: dict[str, int], others: int) -> np.ndarray:
+    """The network's numbers of words: those after the known ones are the classes that others are hashed to."""
+    n = len(known)
+    return np.fromiter((known[w] if w in known else n + zlib.crc32(w.encode()) % others for w in words), np.int64, len(words))
 
 
-def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS) -> Gru:
+def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS, others=OTHERS) -> Gru:
     """Train the network once on every training document, in rounds: those of part 0, part 1 and so on.
 
     In a round every task starts from the same weights and learns from its chunks' documents by truncated
@@ -114,7 +118,7 @@ def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS) ->
     def lessons(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = _network_ids(row.words, known)[np.frombuffer(row.tokens, "<u4")].astype("<u2")
+                ids = _network_ids(row.words, known, others)[np.frombuffer(row.tokens, "<u4")].astype("<u2")
                 documents = np.split(ids, np.cumsum(row.sizes)[:-1])
                 for r in range(rounds):
                     own = [d for d, held, part in zip(documents, row.held, row.part, strict=True) if part == r and not held]
@@ -154,14 +158,15 @@ def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS) ->
 
 
 def score(
-    docs: DataFrame, folds=7, held=2, id_col="doc_id", text_col="text", words=WORDS, classes=CLASSES, units=UNITS, parts=PARTS
+    docs: DataFrame, folds=7, held=2, id_col="doc_id", text_col="text", words=WORDS, classes=CLASSES, units=UNITS, parts=PARTS, others=OTHERS
 ) -> DataFrame:
     """Rows ``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Documents whose fold (`quality.fold`) is ``held`` are held out: nothing is learned from them.  ``base_score``
     sums ``log10((count + 1) / (N + V + 1))`` over the document's words and its end.  ``score`` is the log10
     probability of the whole document by the network; the ``words`` most frequent words have outputs of their own, and
-    any other word takes its share of the others by its count plus one.  Both sum to one over all words and one unknown.
+    any other word has an output and an input row with those of the same hash (``others`` hashes), of which it takes its
+    share by its count plus one.  The unknown is in the first of these.  Both sum to one over all words and one unknown.
 
     Null and empty texts are an end alone.  Rows that repeat an id are documents of their own.  Without training
     tokens both scores are the base.  Other columns are left out.
@@ -187,11 +192,18 @@ def score(
     listed = [*ends, *common]
     known = {row["word"]: i for i, row in enumerate(listed)}
     everything = total + kinds + 1
-    rest = everything - sum(row["count"] + 1 for row in listed)
+    # What the other words of each hash have together; at most ``others`` rows.
+    rest = np.zeros(others, np.int64)
+    for row in own.groupBy((F.crc32(F.col("word").cast("binary")) % others).alias("at")).agg(F.sum(F.col("count") + 1).alias("n")).collect():
+        rest[row["at"]] = row["n"]
+    for row in listed:
+        rest[zlib.crc32(row["word"].encode()) % others] -= row["count"] + 1
+    rest[0] += 1
     model = None
     if listed:
         logs = np.log(np.array([row["count"] + 1 for row in listed]) / everything)
-        model = train(chunks, known, Gru(logs, np.log(rest / everything), units, classes), parts)
+        with np.errstate(divide="ignore"):
+            model = train(chunks, known, Gru(logs, np.log(rest / everything), units, classes), parts, others)
 
     names = [f.split()[0] for f in SCORES.format(id=id_col).split(", ")]
 
@@ -204,8 +216,8 @@ def score(
         base = np.add.reduceat(np.log10((counts + 1) / everything)[tokens], starts)
         final = base
         if model is not None:
-            ids = _network_ids(row["words"], known)
-            shares = np.where(ids == len(known), np.log((counts + 1) / rest), 0.0)
+            ids = np.where(counts > 0, _network_ids(row["words"], known, others), len(known))
+            shares = np.where(ids >= len(known), np.log((counts + 1) / np.maximum(rest, 1)[np.maximum(ids - len(known), 0)]), 0.0)
             found = model.score(np.split(ids[tokens], starts[1:]))
             final = (found + np.add.reduceat(shares[tokens], starts)) / np.log(10)
         return pd.DataFrame(

@@ -59,6 +59,19 @@ def test_the_network_learns_from_every_training_document(spark, ids):
     assert sum(r.score for r in found) > 0.95 * sum(r.base_score for r in found)
 
 
+def test_words_beyond_the_known_ones_are_told_apart(spark):
+    rows = [(n, "left right " * 20 + f"own{n}") for n in range(300)]
+    found = score(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert sum(r.score for r in found) > 0.95 * sum(r.base_score for r in found)
+
+
+def test_classes_of_other_words_sum_to_one_and_start_at_their_shares():
+    others = np.array([1, 2, 3]) / 18
+    model = Gru(np.log(np.full(12, 1 / 18)), np.log(others), units=5, classes=3)
+    each = [math.exp(model.log_probability(np.zeros((1, 5)), np.array([w]))[0]) for w in range(15)]
+    assert np.allclose(each, [1 / 18] * 12 + [*others], atol=1e-6)
+
+
 def _model(seed=1):
     model, rng = Gru(np.log(np.full(12, 1 / 14)), np.log(2 / 14), units=5, classes=3, seed=seed), np.random.default_rng(seed)
     for k, v in model.p.items():
