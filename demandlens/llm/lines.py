@@ -11,7 +11,7 @@ from demandlens.llm.common import BLANKS, scratch, shuffle_partitions, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs on a level before they are compacted into one run on the next.
 FANOUT = 4
-#: Bytes of line hashes in one batch.
+#: Bytes of line hashes and ids in one batch.
 BATCH_BYTES = 256 << 20
 
 
@@ -97,7 +97,7 @@ def line_dedup(docs: DataFrame, min_docs=10, id_col="doc_id", text_col="text", b
     by id: rows that repeat an id count as one document, and so do all rows with a null id.  Every row comes out
     once.  Other columns are left out.
 
-    Hashes are shuffled to be counted, and each text once to lose its lines.  A line that a third of all
+    Hashes are shuffled to be counted, once with their ids and once without, and each text once to lose its lines.  A line that a third of all
     documents hold is combined inside tasks, and the join back to documents can be split.
     """
     spark = docs.sparkSession
@@ -109,13 +109,17 @@ def line_dedup(docs: DataFrame, min_docs=10, id_col="doc_id", text_col="text", b
     folder = scratch(spark, "line-hashes")
     keyed.select("_row", "_id", "_at", F.unhex(F.md5("_key")).alias("hash")).write.parquet(folder)
     hashes = spark.read.parquet(folder)
+    # A pair of line and id is there once, so it is in one batch only and counts of batches add up.
+    pairs_folder = scratch(spark, "line-pairs")
+    hashes.select("hash", "_id").distinct().write.parquet(pairs_folder)
+    pairs = spark.read.parquet(pairs_folder)
 
     runs = LineRuns(spark, min_docs, fanout)
 
     def arrive(batch, _):
-        runs.add(batch.select("hash", "_id").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("docs")))
+        runs.add(batch.groupBy("hash").agg(F.count(F.lit(1)).alias("docs")))
 
-    batches = spark.readStream.schema(hashes.schema).option("maxBytesPerTrigger", batch_bytes).parquet(folder).writeStream
+    batches = spark.readStream.schema(pairs.schema).option("maxBytesPerTrigger", batch_bytes).parquet(pairs_folder).writeStream
     batches.option("checkpointLocation", f"{runs.folder}/progress").trigger(availableNow=True).foreachBatch(arrive).start().awaitTermination()
 
     frequent = written(runs.frequent(), "line-frequent") if runs.levels[0] or runs.settled else hashes.select("hash").limit(0)

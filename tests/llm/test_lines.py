@@ -38,3 +38,16 @@ def test_runs_are_compacted_and_settled(spark, tmp_path):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(12)
     assert rows(line_dedup(docs, 4, batch_bytes=1, fanout=2)) == expected(texts, 4)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_repeated_and_null_ids_count_once_over_all_batches(spark):
+    """Rows that share an id, or have none, lie in many batches: their lines are still of one document."""
+    texts = [(1, f"of one\nown {i}") for i in range(30)] + [(None, f"of none\nsome {i}") for i in range(30)]
+    texts += [(i, f"of four\nthing {i}") for i in range(2, 6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(12)
+    for coalesced in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        try:
+            assert rows(line_dedup(docs, 4, batch_bytes=1, fanout=2)) == expected(texts, 4)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
