@@ -11,9 +11,12 @@ from demandlens.llm.lm import score
 from demandlens.llm.ngrams import near_sets
 from demandlens.llm.packing import pack
 from demandlens.llm.quality import classify_quality
+from demandlens.llm.runs import collapse_runs, longest_run, runs_text, with_planted_runs
 from demandlens.llm.sharding import shard
+from demandlens.llm.urls import ALLOW, BLOCK, Rule, judge_urls
 from demandlens.llm.vectors import near_duplicates
 from demandlens.llm.warc import archive_round_trip
+from demandlens.llm.whitening import whiten
 
 QUERIES, STATEMENTS = {}, {}
 
@@ -146,3 +149,41 @@ FROM reach LEFT JOIN n ON doc_id = x GROUP BY x
 def op10_lm_scoring(spark, sf_dir):
     """Unigram and network scores of every document."""
     return score(read_table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
+#: The rules that the query judges by.
+URL_RULES = [
+    Rule(BLOCK, "net", "/"),
+    Rule(ALLOW, "example.net", "/en/"),
+    Rule(BLOCK, "example.com", "/de/"),
+    Rule(ALLOW, "org", "/fr/"),
+]
+
+
+@query
+def op11_url_filters(spark, sf_dir):
+    """Verdict on the URL of every page."""
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of every text, every tenth of which repeats a stretch of itself, and the text without the repetition."""
+    found = collapse_runs(with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    run = longest_run(F.col("runs"))
+    return found.withColumn("_run", run).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_run.start",
+        "_run.length",
+        "_run.period",
+        F.floor(1000 * F.col("_run.length") / F.col("_run.period")).alias("exponent_milli"),
+        F.sha2(runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    """Every vector projected on the leading 32 components and scaled to unit variance."""
+    return whiten(read_table(spark, sf_dir, "embeddings"), components=32)
