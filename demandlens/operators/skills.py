@@ -1,18 +1,22 @@
 """Skill vocabulary and skill extraction from text."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.functions.text import bind, split_skills
+from demandlens.functions.text import split_skills
+from demandlens.session import cut_lineage
 
-# Lengths of the anchors by which terms and texts are joined.
-ANCHORS = [8, 4, 2, 1]
-# Characters of a text that are cut into pieces at a time.
-CHUNK = 1 << 14
-# Bits of the filter for pieces that are no anchor (64 to a row: 16,384 rows at most), whatever the vocabulary.
-FILTER_BITS = 1 << 20
-# Parts over which the anchors of up to two characters are spread, as nearly every text has them.
-SALTS = 16
+# Bytes of the grams by which terms and texts are joined; a shorter term is a gram itself.
+GRAMS = [4, 6]
+SHORT = [1, 2, 3]
+# Bytes of a text that are cut into grams at a time.
+CHUNK = 256
+# Bytes before and after a gram that travel with it.
+REACH = 24
+# Bits of the filter for grams of no term (64 to a row: 65,536 rows at most), whatever the vocabulary.
+FILTER_BITS = 1 << 22
+# A gram is dealt out to a task for every so many places, if it is one of so many that occur most.
+PLACES, HOT = 1 << 20, 4096
 
 
 def posting_skills(jobs: DataFrame) -> DataFrame:
@@ -26,59 +30,149 @@ def vocabulary(jobs: DataFrame) -> DataFrame:
     return posting_skills(jobs).orderBy(F.lower("skill"), "skill")
 
 
-def _anchor_length(chars):
-    chain = F
-    for n in ANCHORS:
-        chain = chain.when(chars >= n, n)
-    return chain
+def _key(gram: Column, length) -> Column:
+    # Checksums of up to four bytes are all different, so with the length they stand for the gram itself.
+    return F.crc32(gram) + F.shiftleft(F.lit(length).cast("long") if isinstance(length, int) else length.cast("long"), 32)
 
 
-def _salted(anchor, spread):
-    return F.when(F.length(anchor) <= 2, spread).otherwise(F.lit(0))
+def _chunks(cvs: DataFrame, text_col, size: int, before: int, after: int) -> DataFrame:
+    """Lowercase texts as pieces of ``size`` bytes and what surrounds them: ``cv_id, _mark, _lead, _left, _piece``.
 
+    ``_mark`` tells texts of one ``cv_id`` apart; ``_lead`` bytes stand before a piece, and ``_left`` is how long the text goes
+    on from its start.
+    """
+    text = cvs.select("cv_id", F.xxhash64(text_col).alias("_mark"), F.lower(text_col).cast("binary").alias("_bytes"))
+    length = F.octet_length("_bytes")
+
+    def cut(at):
+        begin = F.greatest(at - before, F.lit(1))
+        piece = F.substring("_bytes", begin, at - begin + size + after)
+        return F.struct((at - begin).alias("_lead"), (length - at + 1).alias("_left"), piece.alias("_piece"))
+
+    pieces = text.select("cv_id", "_mark", F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1)), F.lit(size)), cut).alias("_cut"))
+    # Outer, as for an inner one Spark adds a filter that cuts every text a second time, where the texts are read.
+    return pieces.select("cv_id", "_mark", F.inline_outer("_cut")).filter("_piece IS NOT NULL")
 
-def candidate_terms(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> DataFrame:
-    """Pairs ``cv_id, name, skill`` where the anchor of a term occurs in the text, by an equi-join.
 
-    The anchor of a term is its first 1, 2, 4 or 8 characters, the most that fit.  A long text is cut into
-    overlapping chunks, so what a row is cut into has a bound.  Pieces that are no anchor are dropped where they
-    arise, by a filter of fixed size; of the others only ids and pieces are shuffled.
+def _places(cvs: DataFrame, text_col, lengths) -> DataFrame:
+    """Every place of every gram of these lengths: its key, and where it starts in its piece.
+
+    Row by row in generated code; an array of keys for each piece, made by a lambda, takes many times as long.
+    """
+    pieces = _chunks(cvs, text_col, CHUNK, REACH, REACH + max(lengths))
+    starts = F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.greatest("_left", F.lit(1))))
+    placed = pieces.select("*", F.explode_outer(starts).alias("_at"))
+    there = F.col("_left") - F.col("_at") + 1
+    grams = [F.when(there >= n, _key(F.substring("_piece", F.col("_lead") + F.col("_at"), F.lit(n)), n)) for n in lengths]
+    keyed = placed.select("cv_id", "_mark", "_lead", "_piece", "_at", F.explode(F.array(*grams)).alias("_key"))
+    return keyed.filter("_key IS NOT NULL")
+
+
+def _known(places: DataFrame, terms: DataFrame) -> DataFrame:
+    """Without most of the rows whose ``_key`` is none of ``terms``: a bit for each key's hash, in a table of fixed size."""
+    bit = F.xxhash64("_key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    place = "cast(_bit & 63 as int)"
+    words = terms.select(bit.alias("_bit")).groupBy(F.expr("shiftright(_bit, 6)").alias("_word"))
+    words = words.agg(F.bit_or(F.expr(f"shiftleft(1L, {place})")).alias("_bits"))
+    marked = places.withColumn("_bit", bit).withColumn("_word", F.expr("shiftright(_bit, 6)"))
+    there = marked.join(F.broadcast(words), "_word").filter(f"(shiftright(_bits, {place}) & 1) = 1")
+    return there.select(*places.columns)
+
+
+def names_of(vocab: DataFrame) -> DataFrame:
+    """The distinct lowercase terms, as ``_name`` in bytes, and the spellings that share one."""
+    terms = vocab.filter(F.col("skill") != "").select("skill", F.lower("skill").cast("binary").alias("_name"))
+    return terms.groupBy("_name").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
+
+
+def anchors(cvs: DataFrame, names: DataFrame, text_col="cv_text") -> DataFrame:
+    """Terms (see `names_of`) of more than three bytes, each with the one of its grams that is rarest in the texts.
+
+    Every gram of a term is counted at every place of every text, so a term with a gram that no text has is
+    left out: it occurs nowhere.  Columns ``_name, skills, _key, _offset, _seen``: the gram, its place in the
+    term, and how many places it has in the texts.
     """
-    terms = vocab.filter(F.col("skill") != "").select("skill", F.lower("skill").alias("name")).distinct()
-    terms = terms.withColumn("_length", _anchor_length(F.length("name")))
-    terms = terms.withColumn("anchor", F.expr("left(name, _length)")).drop("_length")
-    place = "cast(xxhash64(anchor) & 63 as int)"
-    word = F.shiftright(F.xxhash64("anchor").bitwiseAND(F.lit(FILTER_BITS - 1)), 6)
-    words = terms.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {place})")).alias("_bits"))
-    chunks = cvs.select("cv_id", F.lower(text_col).alias("_text")).select(
-        "cv_id", "_text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)), F.lit(CHUNK))).alias("_at")
+    length = F.octet_length("_name")
+    size = F.lit(GRAMS[0])
+    for n in GRAMS[1:]:
+        size = F.when(length >= n, n).otherwise(size)
+    names = names.filter(length >= GRAMS[0]).withColumn("_size", size)
+    at = F.explode(F.sequence(F.lit(1), length - F.col("_size") + 1)).alias("_offset")
+    grams = names.select("_name", "skills", "_size", at)
+    grams = grams.withColumn("_key", _key(F.substring("_name", F.col("_offset"), F.col("_size")), F.col("_size")))
+    seen = _known(_places(cvs, text_col, GRAMS).select("_key"), grams).groupBy("_key").agg(F.count(F.lit(1)).alias("_seen"))
+    counted = grams.join(seen, "_key").groupBy("_name", "_size")
+    best = counted.agg(
+        F.any_value("skills").alias("skills"),
+        F.count(F.lit(1)).alias("_found"),
+        F.min(F.struct("_seen", "_key", "_offset")).alias("_best"),
     )
-    chunks = chunks.select("cv_id", F.expr(f"substring(_text, _at, {CHUNK + ANCHORS[0] - 1})").alias("_chunk"))
-    cut = F.concat(*[F.regexp_extract_all("_chunk", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in ANCHORS])
-    pieces = (
-        chunks.select("cv_id", F.explode(F.array_distinct(cut)).alias("anchor"))
-        .withColumn("_word", word)
-        .join(F.broadcast(words), "_word")
-        .filter(f"(shiftright(_bits, {place}) & 1) = 1")
-        .select("cv_id", "anchor", _salted("anchor", F.pmod(F.hash("cv_id"), F.lit(SALTS))).alias("_salt"))
-        .distinct()
+    return best.filter(F.col("_found") == length - F.col("_size") + 1).select("_name", "skills", "_best.*")
+
+
+def _anchored(cvs: DataFrame, terms: DataFrame, text_col) -> DataFrame:
+    """Terms (see `anchors`) found at their anchors' places: ``cv_id, _mark, _name, skills, _sure``."""
+    size = F.shiftright("_key", 32).cast("int")
+    before, after = F.least(F.col("_offset") - 1, F.lit(REACH)), F.octet_length("_name") - F.col("_offset") + 1 - size
+    terms = terms.withColumns(
+        {
+            "_before": before,
+            "_part": F.substring("_name", F.col("_offset") - before, before + size + F.least(after, F.lit(REACH))),
+            "_sure": (F.col("_offset") - 1 <= REACH) & (after <= REACH),
+        }
     )
-    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), _salted("anchor", F.lit(SALTS - 1)))))
-    return pieces.join(salted, ["anchor", "_salt"]).select("cv_id", "name", "skill")
+    often = terms.groupBy("_key").agg(F.max("_seen").alias("_seen")).filter(F.col("_seen") >= PLACES)
+    often = often.orderBy(F.desc("_seen"), "_key").limit(HOT)
+    often = often.select("_key", (F.floor(F.col("_seen") / PLACES) + 1).cast("int").alias("_salts"))
+    places = _known(_places(cvs, text_col, GRAMS), terms).join(F.broadcast(often), "_key", "left")
+    # A row carries the bytes around its place and no more of the text.
+    begin = F.greatest(F.col("_lead") + F.col("_at") - REACH, F.lit(1))
+    window = F.substring("_piece", begin, F.col("_lead") + F.col("_at") - begin + REACH + F.shiftright("_key", 32).cast("int"))
+    places = places.select(
+        "cv_id",
+        "_mark",
+        "_key",
+        F.pmod(F.hash("cv_id", "_mark", "_at"), F.coalesce("_salts", F.lit(1))).alias("_salt"),
+        (F.col("_lead") + F.col("_at") - begin).alias("_lead"),
+        window.alias("_window"),
+    )
+    dealt = terms.join(F.broadcast(often), "_key", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    )
+    dealt = dealt.select("_key", "_salt", "_name", "skills", "_before", "_part", "_sure")
+    there = F.substring("_window", F.col("_lead") + 1 - F.col("_before"), F.octet_length("_part")) == F.col("_part")
+    met = places.join(dealt, ["_key", "_salt"]).filter((F.col("_lead") >= F.col("_before")) & there)
+    return met.select("cv_id", "_mark", "_name", "skills", "_sure")
+
+
+def _short(cvs: DataFrame, names: DataFrame, text_col) -> DataFrame:
+    """Terms of up to three bytes, by the sets of grams of each text: ``cv_id, _mark, _name, skills, _sure``."""
+    length = F.octet_length("_name")
+    names = names.filter(length < GRAMS[0]).withColumn("_key", _key(F.col("_name"), length))
+    grams = _known(_places(cvs, text_col, SHORT).select("cv_id", "_mark", "_key"), names).distinct()
+    found = grams.join(names, "_key")
+    return found.select("cv_id", "_mark", "_name", "skills", F.lit(True).alias("_sure"))
 
 
 def extract_skills(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> DataFrame:
     """Add ``skills``: the vocabulary entries whose lowercase form occurs anywhere in the lowercase text.
 
-    ``vocab`` has a ``skill`` column; nulls and empty entries are ignored.  One way for a vocabulary of any
-    size: candidates come by an equi-join on anchors (`candidate_terms`), meet their text in one join, and are looked for
-    in it.  A text is moved at most once.  Rows that share a ``cv_id`` are each searched by themselves.  Not for streams.
+    ``vocab`` has a ``skill`` column; nulls and empty entries are ignored.  One way for a vocabulary of any size, an inverted
+    index of grams: a term waits at its rarest gram, by exact counts over all texts, and each place of that
+    gram brings the bytes around it, against which the term is compared at once.  Only a term that reaches further than these
+    bytes and agrees with them all is looked for in the text itself.  Terms of up to three bytes are members of the text's set
+    of grams.  A text is moved at most once.  The vocabulary and its anchors are checkpointed here, in the shared folder.  Rows that share a ``cv_id`` are each searched by themselves.  Not for streams.
     """
-    found = (
-        candidate_terms(cvs, vocab, text_col)
-        .groupBy(F.col("cv_id").alias("_cv"))
-        .agg(F.sort_array(F.collect_set(F.struct("name", "skill"))).alias("_found"))
+    # Both are used in several places: the vocabulary, and the anchors that a pass over the texts has chosen.
+    names = cut_lineage(names_of(vocab))
+    terms = cut_lineage(anchors(cvs, names, text_col))
+    there = _anchored(cvs, terms, text_col).union(_short(cvs, names, text_col))
+    found = there.groupBy(F.col("cv_id").alias("_cv"), F.col("_mark").alias("_text")).agg(
+        F.sort_array(F.collect_set(F.struct(F.col("_name"), "skills", "_sure"))).alias("_found")
     )
-    there = bind(F.lower(text_col), lambda text: F.filter("_found", lambda e: F.contains(text, e["name"])))
-    skills = F.coalesce(F.transform(there, lambda e: e["skill"]), F.array().cast("array<string>"))
-    return cvs.join(found, F.col("cv_id").eqNullSafe(F.col("_cv")), "left").select(cvs["*"], skills.alias("skills"))
+    lowered = F.lower(text_col).cast("binary")
+    sure = F.filter("_found", lambda e: e["_sure"] | F.contains(F.col("_lowered"), e["_name"]))
+    skills = F.coalesce(F.flatten(F.transform(sure, lambda e: e["skills"])), F.array().cast("array<string>"))
+    marked = cvs.withColumns({"_mark": F.xxhash64(text_col), "_lowered": lowered})
+    both = marked.join(found, marked["cv_id"].eqNullSafe(F.col("_cv")) & (marked["_mark"] == F.col("_text")), "left")
+    return both.select(*[marked[c] for c in cvs.columns], skills.alias("skills"))
