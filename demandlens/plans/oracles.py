@@ -384,6 +384,15 @@ def _statements():
             own.total_jobs IS NULL AS used_fallback FROM totals w
             CROSS JOIN (VALUES ('junior'), ('mid'), ('senior')) l(level)
             LEFT JOIN totals own ON own.role = w.role AND own.level = l.level WHERE w.level = 'all'""",
+        "best_postings": """SELECT cv_id, job_ord, rank, n_matched, n_listed,
+            CAST(round_even(n_matched::DOUBLE / n_listed::DOUBLE * 100, 0) AS BIGINT) AS fit_score
+            FROM (SELECT c.cv_id, n.job_ord, n_matched, n_listed, row_number() OVER (PARTITION BY c.cv_id
+                         ORDER BY n_matched::DOUBLE / n_listed::DOUBLE DESC, n_matched DESC, n.job_ord) AS rank
+                  FROM table_c c JOIN (SELECT u.cv_id, s.role, s.job_ord, count(DISTINCT u.name) AS n_matched
+                                       FROM user_skills u JOIN job_skills s ON lower(s.skill) = u.name GROUP BY ALL) m
+                    ON m.cv_id = c.cv_id AND m.role = c.role
+                  JOIN (SELECT job_ord, count(*) AS n_listed FROM job_skills GROUP BY job_ord) n ON n.job_ord = m.job_ord)
+            WHERE rank <= 5""",
         "feedback_clean": "SELECT conv_id, turn, "
         + _clean("('The ' || role || ', a candidate among users, wrote: ' || text)")
         + " AS cleaned FROM conversations",

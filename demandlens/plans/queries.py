@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from demandlens import rules
 from demandlens.functions import classify, labels, prompts, text
-from demandlens.operators import feedback, gap, market, picks, report, skills
+from demandlens.operators import feedback, gap, market, matching, picks, report, skills
 from demandlens.plans import fixtures
 from demandlens.session import shared_dir
 from demandlens.sources import tables, texts
@@ -424,6 +424,13 @@ def pair_compare(spark, sf_dir):
     )
 
 
+@query
+def best_postings(spark, sf_dir):
+    """The five postings of its role that every table CV fits best, whoever applied to them."""
+    best = matching.best_postings(_table_cvs(spark, sf_dir), fixtures.jobs(spark, sf_dir), k=5)
+    return best.select("cv_id", "job_ord", *[F.col(c).cast("bigint").alias(c) for c in ("rank", "n_matched", "n_listed", "fit_score")])
+
+
 # ---- feedback -----------------------------------------------------------------------------------
 
 

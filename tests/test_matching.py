@@ -1,0 +1,75 @@
+import random
+
+import pytest
+
+from conftest import JOBS_SCHEMA
+from demandlens.operators import gap, matching
+
+
+def brute_force(cvs, postings, k):
+    out = []
+    for cv_id, role, skills in cvs:
+        own = {s.strip().lower() for s in skills.split(",") if s.strip()}
+        fits = []
+        for ord_, posting_role, listed in postings:
+            names = [s.strip().lower() for s in (listed or "").split(",") if s.strip()]
+            matched = len(own & set(names))
+            if role == posting_role and matched:
+                fits.append((-matched / len(names), -matched, ord_, len(names)))
+        out += [(cv_id, i + 1, o, -m, n) for i, (_, m, o, n) in enumerate(sorted(fits)[:k])]
+    return sorted(out)
+
+
+def setup(spark, cvs, postings):
+    titles = {"backend": "Backend Developer", "devops": "DevOps Engineer", "unknown": "Chef"}
+    jobs = spark.createDataFrame([(o, titles[r], None, listed, None, None) for o, r, listed in postings], JOBS_SCHEMA)
+    schema = "cv_id long, full_name string, primary_field string, technical_skills string, experience string"
+    rows = [(i, "x", titles[r], s, None) for i, r, s in cvs]
+    return gap.table_cvs(spark.createDataFrame(rows, schema)), jobs
+
+
+def found(df):
+    return sorted((r.cv_id, r["rank"], r.job_ord, r.n_matched, r.n_listed) for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_the_best_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
+    rng = random.Random(block)
+    skills = [f"s{i}" for i in range(14)]
+
+    def some(most):
+        # Skills differ in how common they are, spellings in case, and lists may repeat a name.
+        return ", ".join(rng.choice([s, s.upper()]) for s in (skills[min(int(rng.expovariate(0.3)), 13)] for _ in range(rng.randrange(most))))
+
+    roles = ["backend"] * 4 + ["devops", "unknown"]
+    cvs = [(i, rng.choice(roles), some(7)) for i in range(60)]
+    postings = [(o, rng.choice(roles), some(8)) for o in range(300)] + [(1000, "backend", None), (1001, "backend", " , ")]
+    for k in (1, 4):
+        assert found(matching.best_postings(*setup(spark, cvs, postings), k)) == brute_force(cvs, postings, k)
+
+
+def test_odd_rows(spark):
+    cvs = [(1, "backend", "java"), (1, "backend", "sql"), (2, "devops", "java"), (3, "backend", ""), (None, "backend", "JAVA, java"), (5, "unknown", "x")]
+    postings = [(9, "backend", "Java"), (2, "backend", "java, JAVA"), (4, "backend", "SQL, c")]
+    got = matching.best_postings(*setup(spark, cvs, postings), 2).collect()
+    rows = sorted((r.cv_id or 0, r["rank"], r.job_ord, r.n_matched, r.n_listed, r.fit_score) for r in got)
+    assert rows == [(0, 1, 9, 1, 1, 100), (0, 2, 2, 1, 2, 50), (1, 1, 4, 1, 2, 50), (1, 1, 9, 1, 1, 100), (1, 2, 2, 1, 2, 50)]
+    cvs, jobs = setup(spark, cvs, postings)
+    assert matching.best_postings(cvs.limit(0), jobs).collect() == [] and matching.best_postings(cvs, jobs.limit(0)).collect() == []
+
+
+def test_a_hot_skill_is_dealt_into_blocks_and_few_pairs_are_formed(spark):
+    """Every posting asks for one skill and two others: pairs of a role would be 300 x 3,000."""
+    rng = random.Random(1)
+    cvs = [(i, "backend", f"java, s{i % 50}, t{i % 40}") for i in range(300)]
+    postings = [(o, "backend", f"java, s{rng.randrange(60)}, t{rng.randrange(60)}") for o in range(3000)]
+    cv_rows, jobs = setup(spark, cvs, postings)
+    sets = matching.profiles(jobs, 2).cache()
+    entries, blocks = matching.index(sets)
+    sizes = [r["count"] for r in entries.groupBy("role", "name", "rest", "n", "block").count().collect()]
+    assert max(sizes) < 2 * matching.BLOCK and max(r.blocks for r in blocks.collect()) * matching.BLOCK < sets.count() + matching.BLOCK
+    result = matching.best_postings(cv_rows, jobs, 2)
+    text = result._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in text and "NestedLoop" not in text and text.count("WindowGroupLimit") >= 2
+    assert found(result) == brute_force(cvs, postings, 2)
