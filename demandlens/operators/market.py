@@ -55,15 +55,20 @@ def demand(jobs: DataFrame, kinds=(SKILL, COMPANY), title_rules=None) -> DataFra
 
     ``level`` is null for the slice of a whole role.  ``seen`` tells where the entry was first seen.
     """
-    keys = ["role", "level", "kind", "value"]
-    by_level = (
-        _entries(jobs, kinds, title_rules)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
-    )
+    return with_whole_roles(partial_demand(jobs, kinds, title_rules))
+
+
+def partial_demand(jobs: DataFrame, kinds=(SKILL, COMPANY), title_rules=None) -> DataFrame:
+    """Counts of every entry of every role and level.  ``jobs`` may be a stream; states of parts of it can be merged."""
+    entries = _entries(jobs, kinds, title_rules)
+    return entries.groupBy("role", "level", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
+
+
+def with_whole_roles(by_level: DataFrame) -> DataFrame:
+    """Counts of every role and level, and of every role (``level`` null), from those of roles and levels."""
     return (
         by_level.withColumn("level", F.explode(F.array("level", F.lit(None).cast("string"))))
-        .groupBy(*keys)
+        .groupBy("role", "level", "kind", "value")
         .agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     )
 
@@ -108,8 +113,13 @@ def market_profile(
     with case variants collapsed.  There are at most 4 rows per role of the rules (three levels and
     the whole role) plus 4 for ``unknown``, each with at most ``2 k`` items.
     """
+    return profile_of(demand(jobs, kinds, title_rules), k)
+
+
+def profile_of(counts: DataFrame, k: int = rules.TOP_K) -> DataFrame:
+    """The profile (see `market_profile`) of counted entries (see `demand`)."""
     slices = (
-        _ranked(demand(jobs, kinds, title_rules), k)
+        _ranked(counts, k)
         .groupBy("role", "level")
         .agg(
             F.max(F.when(F.col("kind") == POSTING, F.col("n"))).alias("total_jobs"),
@@ -166,10 +176,13 @@ def market_slices(jobs: DataFrame, k: int = rules.TOP_K, title_rules=None) -> Da
     At most 3 rows per role, so it is always small enough to broadcast.  A role without postings
     has no row.  ``used_fallback`` tells that the whole role stands in.
     """
+    return slices_of(market_profile(jobs, k, title_rules))
+
+
+def slices_of(profile: DataFrame) -> DataFrame:
+    """The slices (see `market_slices`) of a profile."""
     fields = ["level", "total_jobs", "demand", "entries", "companies"]
-    per_role = (
-        market_profile(jobs, k, title_rules).groupBy("role").agg(F.collect_list(F.struct(*fields)).alias("_slices"))
-    )
+    per_role = profile.groupBy("role").agg(F.collect_list(F.struct(*fields)).alias("_slices"))
     wanted = per_role.withColumn("level", F.explode(F.array(*[F.lit(level) for level in rules.LEVELS])))
     own = F.filter("_slices", lambda s: s["level"] == F.col("level"))
     whole = F.filter("_slices", lambda s: s["level"].isNull())

@@ -393,6 +393,15 @@ def _statements():
                     ON m.cv_id = c.cv_id AND m.role = c.role
                   JOIN (SELECT job_ord, count(*) AS n_listed FROM job_skills GROUP BY job_ord) n ON n.job_ord = m.job_ord)
             WHERE rank <= 5""",
+        "market_stream": """SELECT s.role, s.level, s.relevant_jobs, s.slice_level = 'all' AS used_fallback,
+            d.demand, coalesce(f.companies, '') AS companies
+            FROM (SELECT w.role, l.level, coalesce(own.total_jobs, w.total_jobs) AS relevant_jobs,
+                         CASE WHEN own.total_jobs IS NULL THEN 'all' ELSE l.level END AS slice_level FROM totals w
+                  CROSS JOIN (VALUES ('junior'), ('mid'), ('senior')) l(level)
+                  LEFT JOIN totals own ON own.role = w.role AND own.level = l.level WHERE w.level = 'all') s
+            JOIN (SELECT role, level, string_agg(skill || ' (' || demand_pct || '%)', ' | ' ORDER BY rank) AS demand
+                  FROM market GROUP BY role, level) d ON d.role = s.role AND d.level = s.slice_level
+            LEFT JOIN firm_lists f ON f.role = s.role AND f.level = s.slice_level""",
         "feedback_clean": "SELECT conv_id, turn, "
         + _clean("('The ' || role || ', a candidate among users, wrote: ' || text)")
         + " AS cleaned FROM conversations",
@@ -420,6 +429,7 @@ def _statements():
     }
     statements = {name: _sql(select) for name, select in out.items()}
     statements["pair_compare"] = _pairs()
+    statements["latest_stream"] = statements["latest_document"]
     return statements
 
 

@@ -12,7 +12,7 @@ from demandlens.operators import feedback, gap, market, matching, picks, report,
 from demandlens.plans import fixtures
 from demandlens.session import shared_dir
 from demandlens.sources import tables, texts
-from demandlens.streaming import intake
+from demandlens.streaming import intake, states
 
 SEPARATOR = " | "
 QUERIES = {}
@@ -557,3 +557,36 @@ def stream_scoring(spark, sf_dir):
         F.array_join("result.matched_skills", SEPARATOR).alias("matched_skills"),
         F.array_join("result.missing_skills", SEPARATOR).alias("missing_skills"),
     )
+
+
+def _in_batches(spark, df, path, key, files=3):
+    """The rows written to a few files, dealt out by a hash, and read again as a stream that takes a file at a time."""
+    parts = F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
+    df.withColumn("_part", parts).repartition(files, "_part").write.partitionBy("_part").parquet(path)
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    return reader.parquet(path)
+
+
+@query
+def market_stream(spark, sf_dir):
+    """The market slices that a stream of postings has kept up to date over several batches."""
+    base = f"{shared_dir(spark)}/{_folder()}"
+    jobs = fixtures.jobs(spark, sf_dir).select("job_ord", "job_title", "seniority_level", "required_skills", "company_name")
+    arriving = _in_batches(spark, jobs, f"{base}/jobs", "job_ord")
+    states.run_market(arriving, f"{base}/states", f"{base}/progress").awaitTermination()
+    listed = F.transform("demand", lambda d: labels.demand_item(d["skill"], d["demand_pct"]))
+    return states.read_market(spark, f"{base}/states").select(
+        "role", "level", "relevant_jobs", "used_fallback", _list(listed).alias("demand"), _list("companies")
+    )
+
+
+@query
+def latest_stream(spark, sf_dir):
+    """The newest order of every customer, kept by a stream to which the orders come in no order."""
+    base = f"{shared_dir(spark)}/{_folder()}"
+    orders = fixtures.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    keys, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    arriving = _in_batches(spark, orders, f"{base}/orders", "o_orderkey")
+    states.run_latest(arriving, keys, order, f"{base}/states", f"{base}/progress").awaitTermination()
+    newest = states.read_latest(spark, f"{base}/states", keys, order)
+    return newest.select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))

@@ -20,7 +20,12 @@ def publish_market(jobs: DataFrame, path: str, version: int) -> None:
 
     A version that exists raises: running readers may be using it.
     """
-    market_slices(jobs).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    publish_slices(market_slices(jobs), path, version)
+
+
+def publish_slices(slices: DataFrame, path: str, version: int) -> None:
+    """Store market slices as one version of a table (see `publish_market`)."""
+    slices.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def load_market(spark: SparkSession, path: str) -> DataFrame:
