@@ -167,12 +167,13 @@ def extract_skills(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> Data
     names = cut_lineage(names_of(vocab))
     terms = cut_lineage(anchors(cvs, names, text_col))
     there = _anchored(cvs, terms, text_col).union(_short(cvs, names, text_col))
-    found = there.groupBy(F.col("cv_id").alias("_cv"), F.col("_mark").alias("_text")).agg(
-        F.sort_array(F.collect_set(F.struct(F.col("_name"), "skills", "_sure"))).alias("_found")
+    # Named so that no column of the caller's is likely to be named the same.
+    found = there.groupBy(F.col("cv_id").alias("_found_cv"), F.col("_mark").alias("_found_mark")).agg(
+        F.sort_array(F.collect_set(F.struct(F.col("_name"), "skills", "_sure"))).alias("_found_terms")
     )
-    lowered = F.lower(text_col).cast("binary")
-    sure = F.filter("_found", lambda e: e["_sure"] | F.contains(F.col("_lowered"), e["_name"]))
+    marked = cvs.withColumns({"_own_mark": F.xxhash64(text_col), "_own_lowered": F.lower(text_col).cast("binary")})
+    sure = F.filter("_found_terms", lambda e: e["_sure"] | F.contains(F.col("_own_lowered"), e["_name"]))
     skills = F.coalesce(F.flatten(F.transform(sure, lambda e: e["skills"])), F.array().cast("array<string>"))
-    marked = cvs.withColumns({"_mark": F.xxhash64(text_col), "_lowered": lowered})
-    both = marked.join(found, marked["cv_id"].eqNullSafe(F.col("_cv")) & (marked["_mark"] == F.col("_text")), "left")
+    same = marked["cv_id"].eqNullSafe(F.col("_found_cv")) & (F.col("_own_mark") == F.col("_found_mark"))
+    both = marked.join(found, same, "left")
     return both.select(*[marked[c] for c in cvs.columns], skills.alias("skills"))

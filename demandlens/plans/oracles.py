@@ -326,6 +326,14 @@ def _statements():
             f"CAST(s{i} AS BIGINT) AS score_{role.replace(' ', '_')}" for i, role in enumerate(rules.KEYWORD_RULES)
         )
         + " FROM text_c",
+        "cv_role_by_rule_table": "SELECT cv_id, role FROM text_c",
+        "title_role_by_rule_table": "SELECT job_ord, role FROM jobs_c",
+        "cv_role_by_many_rules": """SELECT c.cv_id, coalesce(role, 'unknown') AS role FROM cv_texts c LEFT JOIN (
+            SELECT cv_id, role, count(DISTINCT k) AS n FROM (SELECT cv_id, lower(cv_text) AS t FROM cv_texts) JOIN (
+                SELECT lower(s) AS k, 'group ' || left(md5(s), 2) AS role FROM (
+                    SELECT DISTINCT unnest(string_split_regex(text, '[ \n]')) AS s FROM documents) WHERE length(s) >= 10)
+            ON contains(t, k) GROUP BY cv_id, role QUALIFY row_number() OVER (PARTITION BY cv_id ORDER BY n DESC, role) = 1
+            ) b ON b.cv_id = c.cv_id""",
         "cv_level_from_text": "SELECT cv_id, CAST(years AS BIGINT) AS max_years, level FROM text_c",
         "cv_level_from_experience": "SELECT cv_id, CAST(years AS BIGINT) AS max_years, level FROM table_c",
         "cv_role_from_field": "SELECT cv_id, source_field AS primary_field, role FROM table_c",

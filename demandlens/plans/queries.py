@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from demandlens import rules
 from demandlens.functions import classify, labels, prompts, text
-from demandlens.operators import feedback, gap, market, matching, picks, report, skills
+from demandlens.operators import feedback, gap, market, matching, picks, report, rule_tables, skills
 from demandlens.plans import fixtures
 from demandlens.session import shared_dir
 from demandlens.sources import tables, texts
@@ -199,6 +199,32 @@ def cv_role_from_text(spark, sf_dir):
     return lowered.select("cv_id", "role", *scores)
 
 
+@query
+def cv_role_by_rule_table(spark, sf_dir):
+    """Role of every text CV by rules that are rows."""
+    table = rule_tables.rule_rows(spark, rules.KEYWORD_RULES)
+    return rule_tables.role_by_rules(fixtures.cv_texts(spark, sf_dir), table).select("cv_id", "role")
+
+
+@query
+def title_role_by_rule_table(spark, sf_dir):
+    """Role of every posting by rules that are rows."""
+    table = rule_tables.rule_rows(spark, rules.TITLE_RULES)
+    titles = fixtures.jobs(spark, sf_dir).select("job_ord", "job_title")
+    return rule_tables.role_by_rules(titles, table, "job_ord", "job_title", pick=rule_tables.FIRST).select("job_ord", "role")
+
+
+@query
+def cv_role_by_many_rules(spark, sf_dir):
+    """Every text CV's group by a rule for each long word of the documents: groups by the first byte of the word's digest."""
+    words = fixtures.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]")).alias("keyword"))
+    group = F.substring(F.md5("keyword"), 1, 2)
+    table = words.filter(F.length("keyword") >= 10).distinct().select(
+        F.concat(F.lit("group "), group).alias("role"), F.conv(group, 16, 10).cast("int").alias("priority"), "keyword"
+    )
+    return rule_tables.role_by_rules(fixtures.cv_texts(spark, sf_dir), table).select("cv_id", "role")
+
+
 @query
 def cv_level_from_text(spark, sf_dir):
     return _text_cvs(spark, sf_dir).select(

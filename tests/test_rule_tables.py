@@ -1,0 +1,56 @@
+import random
+
+import pytest
+
+from conftest import SMALL
+from demandlens import rules
+from demandlens.functions import classify
+from demandlens.operators import rule_tables
+from demandlens.plans import fixtures
+
+
+def pairs(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_the_table_gives_what_the_dict_gives(spark):
+    cvs = fixtures.cv_texts(spark, SMALL).select("cv_id", "cv_text")
+    table = rule_tables.rule_rows(spark, rules.KEYWORD_RULES)
+    by_table = rule_tables.role_by_rules(cvs, table).select("cv_id", "role")
+    assert pairs(by_table) == pairs(cvs.select("cv_id", classify.role_from_text("cv_text").alias("role")))
+    titles = fixtures.jobs(spark, SMALL).select("job_ord", "job_title")
+    table = rule_tables.rule_rows(spark, rules.TITLE_RULES)
+    by_table = rule_tables.role_by_rules(titles, table, "job_ord", "job_title", rule_tables.FIRST).select("job_ord", "role")
+    assert pairs(by_table) == pairs(titles.select("job_ord", classify.role_from_title("job_title").alias("role")))
+
+
+def expected(text, table, pick):
+    low = (text or "").lower()
+    hits = {(r, p, k.lower()) for r, p, k in table if k and k.lower() in low}
+    scores = {}
+    for role, priority, _ in hits:
+        scores[role, priority] = scores.get((role, priority), 0) - (pick == "most")
+    return min(((s, p, r) for (r, p), s in scores.items()), default=(0, 0, "unknown"))[2]
+
+
+@pytest.mark.parametrize("pick", ["most", "first"])
+def test_any_table_of_rules(spark, pick):
+    rng = random.Random(4)
+    words = ["ab", "b", "Abc", "cde f", "é", "xyz", "spring boot", "boot", "long term of many words, over the window of bytes that travels"]
+    table = [(f"r{rng.randrange(4)}", rng.randrange(3), rng.choice(words)) for _ in range(30)] + [("r9", 0, None), ("r9", 0, "")]
+    texts = [(i % 30 or None, " ".join(rng.choice(words + ["q", "-"]) for _ in range(rng.randrange(6)))) for i in range(40)]
+    texts += [(5, None), (None, None), (6, texts[6][1]), (6, texts[6][1])]
+    cvs = spark.createDataFrame([(i, t, "x", "own") for i, t in texts], "id long, t string, role string, keyword string")
+    got = rule_tables.role_by_rules(cvs, spark.createDataFrame(table, "role string, priority int, keyword string"), "id", "t", pick, out="found")
+    assert got.columns == ["id", "t", "role", "keyword", "found"]
+    assert pairs(got.select("id", "t", "found")) == sorted(((i, t, expected(t, table, pick)) for i, t in texts), key=repr)
+    none = rule_tables.role_by_rules(cvs, rule_tables.rule_rows(spark, {"a": ["none of it"]}), "id", "t", pick)
+    assert {r.role for r in none.collect()} == {"unknown"} and none.columns == ["id", "t", "keyword", "role"]
+    with pytest.raises(ValueError):
+        rule_tables.role_by_rules(cvs, none, "id", "t", "best")
+
+
+def test_no_pairs_of_texts_and_rules(spark):
+    table = rule_tables.rule_rows(spark, rules.KEYWORD_RULES)
+    text = rule_tables.role_by_rules(fixtures.cv_texts(spark, SMALL), table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
