@@ -417,6 +417,8 @@ def _statements():
         "model_feedback": f"""SELECT cv_id, CASE WHEN n % 7 = 0 THEN 'Model error: {{''error'': ''busy''}}'
             ELSE 'You sent ' || n || ' characters.' END AS feedback
             FROM (SELECT cv_id, length({FEEDBACK_PROMPT}) AS n FROM table_gaps)""",
+        "kept_feedback": f"""SELECT cv_id, 'You sent ' || length({FEEDBACK_PROMPT}) || ' characters.' AS feedback
+            FROM table_gaps""",
         "model_report": f"""SELECT cv_name AS cv_file, fit_score, CASE WHEN n % 11 = 0 THEN 'Model error: no answer'
             WHEN n % 7 = 0 THEN 'Model error: {{''error'': ''busy''}}'
             ELSE 'You sent ' || n || ' characters.' END AS feedback
@@ -437,6 +439,7 @@ def _statements():
     }
     statements = {name: _sql(select) for name, select in out.items()}
     statements["pair_compare"] = _pairs()
+    statements["durable_feedback"] = statements["model_feedback"]
     statements["latest_stream"] = statements["latest_document"]
     return statements
 

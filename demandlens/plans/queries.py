@@ -533,6 +533,31 @@ def model_report(spark, sf_dir):
     return _flat(gap.result_record(answered)).select("cv_file", "fit_score", "feedback")
 
 
+@query
+def durable_feedback(spark, sf_dir):
+    """Model feedback whose answers are kept: half of the CVs are asked about first, and then all."""
+    store = f"{shared_dir(spark)}/{_folder()}"
+    gaps = _table_gaps(spark, sf_dir)
+    feedback.with_durable_feedback(gaps.filter("cv_id % 2 = 0"), _measuring_model, store)
+    return feedback.with_durable_feedback(gaps, _measuring_model, store).select("cv_id", "feedback")
+
+
+@query
+def kept_feedback(spark, sf_dir):
+    """Feedback from kept answers alone: the second time a model is there that fails whenever it is asked."""
+    store = f"{shared_dir(spark)}/{_folder()}"
+    feedback.with_durable_feedback(_table_gaps(spark, sf_dir), _plain_model, store)
+    return feedback.with_durable_feedback(_table_gaps(spark, sf_dir), _absent_model, store).select("cv_id", "feedback")
+
+
+def _plain_model(batch):
+    return [f"The candidate sent {len(prompt)} characters." for prompt in batch]
+
+
+def _absent_model(batch):
+    raise ConnectionError("no model")
+
+
 @query
 def model_answer_parse(spark, sf_dir):
     """JSON answers parsed; every fifth is cut short and every fifth has a score out of range."""
