@@ -51,9 +51,17 @@ def rejects(cvs: DataFrame, slices: DataFrame) -> DataFrame:
     )
 
 
-def reject_reason(named_files=False) -> Column:
-    """Why a text CV joined with ``how="left"`` is turned away; null if it is accepted."""
-    reason = F.when(~is_accepted_file(F.col("file_name")), rules.REASON_BAD_FILE) if named_files else F
+def reject_reason(named_files=False, with_errors=False) -> Column:
+    """Why a text CV joined with ``how="left"`` is turned away; null if it is accepted.
+
+    A file of the wrong type is turned away first, then what could not be processed (``processing_error``), also if its file
+    has no name for that reason.
+    """
+    wrong_type = ~is_accepted_file(F.col("file_name"))
+    if named_files and with_errors:
+        wrong_type &= F.col("file_name").isNotNull() | F.col("processing_error").isNull()
+    reason = F.when(wrong_type, rules.REASON_BAD_FILE) if named_files else F
+    reason = reason.when(F.col("processing_error").isNotNull(), rules.REASON_FAILED) if with_errors else reason
     return reason.when(~is_valid_text("cv_text"), rules.REASON_UNREADABLE).when(
         F.col("relevant_jobs").isNull(), rules.REASON_NO_JOBS
     )
@@ -168,10 +176,12 @@ def route(cvs: DataFrame, slices: DataFrame, fn=None) -> DataFrame:
     """Every text CV once: ``cv_id, cv_name, status, reject_reason, result``.
 
     Accepted and rejected CVs come out of the same single pass over the texts.  With a ``file_name`` column, a
-    file of the wrong type is rejected first.  ``fn`` answers the feedback prompts of accepted CVs.
+    file of the wrong type is rejected first, and with ``processing_error`` (see ``sources.uploads``) what has one is next.
+    ``fn`` answers the feedback prompts of accepted CVs.
     """
     scored = skill_gap(text_cvs(cvs), slices, how="left")
-    scored = scored.withColumn("reject_reason", reject_reason("file_name" in cvs.columns))
+    reason = reject_reason("file_name" in cvs.columns, "processing_error" in cvs.columns)
+    scored = scored.withColumn("reject_reason", reason)
     accepted = F.col("reject_reason").isNull()
     if fn is not None:
         scored = with_feedback(scored, fn, accepted)

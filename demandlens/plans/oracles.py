@@ -52,6 +52,11 @@ SUMMARY = _by_cutoff("fit_score", [(cut, _fill(t, role="role")) for cut, t in ru
 YEARS = r"list_max(list_transform(regexp_extract_all({}, '([0-9]+)\+?\s*years?', 1), lambda y: coalesce(TRY_CAST(y AS INT), 99)))"
 REASON_ROLE = _quoted(rules.REASON_NO_JOBS)
 REASON_TEXT = _quoted(rules.REASON_UNREADABLE)
+# Uploads cut short have no id and no name.
+UPLOADED = f"""SELECT cv_id, CASE WHEN cv_id % 11 <> 3 THEN cv_id END AS known_id, CASE WHEN cv_id % 11 <> 3 THEN cv_name END AS name,
+    CASE WHEN cv_id % 11 = 3 THEN {_quoted(rules.REASON_FAILED)} WHEN cv_id % 4 = 3 THEN {_quoted(rules.REASON_BAD_FILE)}
+         WHEN cv_id % 17 = 5 OR cv_id % 13 = 2 THEN {_quoted(rules.REASON_FAILED)} WHEN NOT is_valid THEN {REASON_TEXT}
+         WHEN role NOT IN (SELECT role FROM totals) THEN {REASON_ROLE} END AS reason FROM text_c"""
 
 
 def _clean(column):
@@ -388,6 +393,10 @@ def _statements():
             FROM (SELECT cv_id, cv_name, CASE WHEN cv_id % 3 = 2 THEN {_quoted(rules.REASON_BAD_FILE)}
                   WHEN NOT is_valid THEN {REASON_TEXT}
                   WHEN role NOT IN (SELECT role FROM totals) THEN {REASON_ROLE} END AS reason FROM text_c)""",
+        "upload_rejects": f"SELECT known_id AS cv_id, name AS cv_name, reason AS reject_reason FROM ({UPLOADED}) WHERE reason IS NOT NULL",
+        "upload_stream": f"""SELECT known_id AS cv_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status,
+            reason AS reject_reason, CASE WHEN reason IS NULL THEN fit_score END AS fit_score
+            FROM ({UPLOADED}) c LEFT JOIN text_gaps g ON g.cv_id = c.cv_id""",
         "market_refresh": """SELECT w.role, l.level, coalesce(own.total_jobs, w.total_jobs) AS relevant_jobs,
             own.total_jobs IS NULL AS used_fallback FROM totals w
             CROSS JOIN (VALUES ('junior'), ('mid'), ('senior')) l(level)

@@ -11,7 +11,7 @@ from demandlens.functions import classify, labels, prompts, text
 from demandlens.operators import feedback, gap, market, matching, picks, report, rule_tables, skills
 from demandlens.plans import fixtures
 from demandlens.session import shared_dir
-from demandlens.sources import tables, texts
+from demandlens.sources import tables, texts, uploads
 from demandlens.streaming import intake, states
 
 SEPARATOR = " | "
@@ -326,6 +326,43 @@ def file_intake(spark, sf_dir):
     return routed.select("cv_id", "cv_name", "status", "reject_reason")
 
 
+def _upload_lines(cvs):
+    """CVs as lines of JSON, some with a file of the wrong type, and some cut short, undecodable or without a proper time."""
+    ending = F.element_at(F.array(*map(F.lit, (".pdf", ".PDF", ".pdf", ".docx"))), (F.col("cv_id") % 4 + 1).cast("int"))
+    content = F.base64(F.col("cv_text").cast("binary"))
+    upload = F.struct(
+        "cv_id",
+        "cv_name",
+        F.concat("cv_name", ending).alias("file_name"),
+        F.when(F.col("cv_id") % 17 == 5, "next week").otherwise("2024-05-01T12:00:00Z").alias("modified_at"),
+        F.when(F.col("cv_id") % 13 == 2, F.concat(content, F.lit("!"))).otherwise(content).alias("content"),
+    )
+    line = F.to_json(upload)
+    cut = F.col("cv_id") % 11 == 3
+    return cvs.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value"))
+
+
+@query
+def upload_rejects(spark, sf_dir):
+    """Uploads that are turned away, with the reason, among which are broken ones: of these some are not even known by id."""
+    path = f"{shared_dir(spark)}/{_folder()}"
+    _upload_lines(fixtures.cv_texts(spark, sf_dir)).write.text(path)
+    routed = gap.route(uploads.read_uploads(spark, path), _slices(spark, sf_dir))
+    return routed.filter(F.col("status") == gap.REJECTED).select("cv_id", "cv_name", "reject_reason")
+
+
+@query
+def upload_stream(spark, sf_dir):
+    """The same uploads as they arrive, accepted and rejected."""
+    base = f"{shared_dir(spark)}/{_folder()}"
+    _upload_lines(fixtures.cv_texts(spark, sf_dir)).write.text(f"{base}/uploads")
+    intake.publish_market(fixtures.jobs(spark, sf_dir), f"{base}/market", version=1)
+    arriving = uploads.stream_uploads(spark, f"{base}/uploads", maxFilesPerTrigger=4)
+    intake.run_intake(arriving, f"{base}/market", f"{base}/out", f"{base}/progress").awaitTermination()
+    routed = intake.read_intake(spark, f"{base}/out")
+    return routed.select("cv_id", "status", "reject_reason", F.col("result.fit_score").cast("bigint").alias("fit_score"))
+
+
 @query
 def market_refresh(spark, sf_dir):
     """The newest of two published markets."""

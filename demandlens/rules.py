@@ -71,6 +71,7 @@ TEXT_SOURCE_FIELD = "Extracted from uploaded CV text"
 # ---- Fixed values: reasons for turning an input away --------------------------------------------
 REASON_BAD_FILE = "Please upload a valid PDF file."
 REASON_UNREADABLE = "The uploaded PDF could not be processed properly. Please upload a clearer PDF."
+REASON_FAILED = "Processing failed. Please upload a clearer or different PDF."
 REASON_NO_JOBS = "No matching jobs found for detected role."
 
 # ---- Fixed values: wording clean-up of feedback, applied in this order --------------------------
