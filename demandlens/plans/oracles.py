@@ -385,6 +385,8 @@ def _statements():
         "read_postings": """SELECT row_number() OVER (ORDER BY job_ord % 3 <> 0, job_ord) - 1 AS job_ord, job_title,
             seniority_level, required_skills, CASE WHEN job_ord % 3 <> 0 THEN preferred_skills END AS preferred_skills,
             company_name FROM jobs""",
+        "posting_ledger": """SELECT row_number() OVER (ORDER BY job_ord % 3, job_ord) - 1 AS job_ord, job_title,
+            seniority_level, required_skills, company_name FROM jobs WHERE job_ord % 3 <> 2""",
         "read_cvs": "SELECT cv_id, full_name, primary_field, technical_skills, '' AS experience FROM cvs",
         "text_files": "SELECT md5(t) AS md5, length(t) AS n_chars"
         " FROM (SELECT replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) AS t FROM documents)",

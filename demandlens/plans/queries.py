@@ -298,6 +298,19 @@ def read_postings(spark, sf_dir):
     return read.select("job_ord", "job_title", "seniority_level", "required_skills", "preferred_skills", "company_name")
 
 
+@query
+def posting_ledger(spark, sf_dir):
+    """Postings numbered by a ledger, after a folder was added that sorts before the one numbered first."""
+    base = f"{shared_dir(spark)}/{_folder()}"
+    jobs = fixtures.jobs(spark, sf_dir).drop("source_file").withColumnRenamed("job_ord", "key")
+    for at in (0, 1):
+        part = jobs.filter(F.col("key") % 3 == at).repartitionByRange(3, "key").sortWithinPartitions("key")
+        part.write.parquet(f"{base}/{at}")
+    tables.read_postings(spark, f"{base}/0", ledger=f"{base}/ledger")
+    read = tables.read_postings(spark, [f"{base}/1", f"{base}/0"], ledger=f"{base}/ledger")
+    return read.select("job_ord", "job_title", "seniority_level", "required_skills", "company_name")
+
+
 @query
 def read_cvs(spark, sf_dir):
     """Table CVs from a folder of files that have no ``experience``."""

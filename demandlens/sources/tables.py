@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 
 from demandlens import schemas
 from demandlens.session import cut_lineage
+from demandlens.sources.ledger import enter_files, running_starts
+
+# Files whose names and starts are broadcast; of more, rows are joined with theirs.
+BROADCAST_FILES = 50_000
 
 
 def conform(df: DataFrame, schema: T.StructType, required=()) -> DataFrame:
@@ -60,18 +64,39 @@ def renumber(df: DataFrame, order_by, out_col="job_ord") -> DataFrame:
     )
 
 
+def _file_sizes(df: DataFrame) -> DataFrame:
+    return df.groupBy("_folder", "_path").agg(F.count(F.lit(1)).alias("_size"))
+
+
+def _numbered(df: DataFrame, starts: DataFrame, files: int, out_col) -> DataFrame:
+    starts = F.broadcast(starts) if files <= BROADCAST_FILES else starts
+    placed = df.join(starts, [c for c in ("_folder", "_path") if c in starts.columns])
+    return placed.withColumn(out_col, F.col("_start") + F.col("_row")).drop("_folder", "_path", "_row", "_start")
+
+
 def number_by_file(df: DataFrame, out_col="job_ord") -> DataFrame:
     """Number the rows 0, 1, 2, ... by ``_folder``, ``_path`` and the row's place ``_row`` in its file.
 
     Rows are counted for each file, from metadata alone, and each file's rows start after those of the files
-    before it: nothing is sorted or shuffled, and a repeated task gives the same numbers.  There is one count for
-    each file, of which the driver holds a list anyway; they are broadcast.
+    before it.  Up to ``BROADCAST_FILES`` files nothing is sorted or shuffled but their counts; of more, the counts are
+    added up by a distributed sort and joined as Spark sees fit.  A repeated task gives the same numbers.
     """
-    sizes = df.groupBy("_folder", "_path").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_folder", "_path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_folder", "_path", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    placed = df.join(F.broadcast(starts), ["_folder", "_path"])
-    return placed.withColumn(out_col, F.col("_start") + F.col("_row")).drop("_folder", "_path", "_row", "_start")
+    files, sizes = len(df.inputFiles()), _file_sizes(df)
+    if files <= BROADCAST_FILES:
+        before = Window.orderBy("_folder", "_path").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("_folder", "_path", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    else:
+        starts = running_starts(sizes, ["_folder", "_path"], "_size", "_start").drop("_size")
+    return _numbered(df, starts, files, out_col)
+
+
+def number_by_ledger(df: DataFrame, ledger: str, out_col="job_ord") -> DataFrame:
+    """Number the rows as `number_by_file` does, but files that ``ledger`` knows keep the numbers it gave them.
+
+    New files are entered into the ledger (see `ledger.enter_files`) and numbered after all others, wherever they sort.
+    """
+    starts = enter_files(_file_sizes(df), ledger).select("_path", "_start")
+    return _numbered(df, starts, len(df.inputFiles()), out_col)
 
 
 def read_folder(
@@ -100,12 +125,16 @@ def read_folder(
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def read_postings(spark: SparkSession, paths, fmt="parquet", row_key=None, pattern=None, **options) -> DataFrame:
+def read_postings(spark: SparkSession, paths, fmt="parquet", row_key=None, pattern=None, ledger=None, **options) -> DataFrame:
     """Postings of one or more folders, combined by column name, in the shape of ``schemas.JOBS``.
 
     Rows keep a ``job_ord`` column they bring along; it must be unique.  Otherwise they are numbered by
-    folder, file path and ``row_key`` (for parquet, by default, the row's place in its file).
+    folder, file path and ``row_key`` (for parquet, by default, the row's place in its file).  With a ``ledger``, a folder of
+    its own, numbers last: files added later are numbered after those that are there, so ties of demand do not
+    shift.  It needs the rows' places, so no ``row_key``.
     """
+    if ledger is not None and row_key is not None:
+        raise ValueError("a ledger numbers rows by their place in a file, not by a row_key")
     frames = []
     for at, path in enumerate([paths] if isinstance(paths, str) else paths):
         df = read_folder(spark, path, fmt, pattern=pattern, **options)
@@ -116,7 +145,10 @@ def read_postings(spark: SparkSession, paths, fmt="parquet", row_key=None, patte
         frames.append(df.withColumns({"_folder": F.lit(at), "_path": F.col("_metadata.file_path")}))
     df = union_by_name(frames)
     if "job_ord" not in df.columns:
-        df = number_by_file(df) if row_key is None else renumber(df, ["_folder", "_path", row_key])
+        if ledger is not None:
+            df = number_by_ledger(df, ledger)
+        else:
+            df = number_by_file(df) if row_key is None else renumber(df, ["_folder", "_path", row_key])
     return conform(df, schemas.JOBS, schemas.JOBS_REQUIRED)
 
 
