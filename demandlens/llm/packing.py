@@ -7,6 +7,7 @@ up where the n-th piece of a length goes.
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
@@ -17,25 +18,59 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.bpe import WordCache, by_words
 from demandlens.llm.common import numbered, written
 from demandlens.session import ship
 
 CAPACITY = 1024
 END = 2
 #: Lengths above this share of the capacity are large.
-LARGE = 1 / 8
+LARGE = 1 / 4
 #: Groups of equal cardinality into which large pieces are dealt.
 GROUPS = 48
-#: Words whose ids a Python worker remembers.
-WORDS = 150_000
+#: A sequence whose last place leaves a gap of up to this part of the capacity is not made from a configuration.
+GAP = 64
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+#: Fixed value: how byte-level tokenizers split a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts of these characters only are split alike by whatever knows letters, digits and white space; and not by a huge run of white space.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\u00a1-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*")
+LONG_SPACE = re.compile(r"\s{1000}")
+
+
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The tokens of a byte-level tokenizer's file by their bytes, if merges come in the order of their ids; else None."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if not (
+        split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        and not spec.get("normalizer") and model["type"] == "BPE" and not model.get("ignore_merges")
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    ):
+        return None
+    byte, vocabulary = byte_characters(), model["vocab"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if not set(byte) <= set(vocabulary) or [vocabulary.get(m) for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    return {bytes(byte[c] for c in token): vocabulary[token] for token in [*byte, *merged]}
+
+
 @lru_cache(maxsize=4)
 def text_encoder(path: str):
-    """A function from a text to its packed ids by the tokenizer of a file, one in each Python worker."""
+    """A function from a text to its packed ids by the tokenizer of a file, one in each Python worker.
+
+    A byte-level file whose ids are ranks (`merge_ranks`) is also run by the faster of two public engines, for texts that
+    both split alike; all other texts and files by the tokenizer itself.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -45,30 +80,17 @@ def text_encoder(path: str):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
     with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    split = spec.get("pre_tokenizer") or {}
-    # Such a tokenizer splits by the pattern of `by_words`, and keeps the text as it is.
-    spaced = (
-        split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        and not spec.get("normalizer") and not spec.get("post_processor") and spec["model"]["type"] == "BPE"
-    )
-    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
-    for token, i in tokenizer.get_vocab().items():
-        sizes[i] = len(token)  # in such a vocabulary a character stands for a byte
-
-    def many(words):
-        """The ids of each word after a space: all are encoded as one text, and their bytes tell where each ends."""
-        joined = " " + " ".join(words)
-        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends, seen = np.cumsum([len(w.encode()) + 1 for w in words]), np.cumsum(sizes[ids])
-        cuts = np.searchsorted(seen, ends) + 1
-        if not np.array_equal(seen[np.minimum(cuts, len(seen)) - 1], ends):
-            raise ValueError(f"{path} has tokens that reach over a space")
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-
-    words = WordCache(encode, many, WORDS)
-    return (lambda text: by_words(text, encode, words)) if spaced else encode
+        ranks = merge_ranks(json.load(file))
+    if ranks is None:
+        return encode
+    engine = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def fast(text):
+        if not PLAIN.fullmatch(text) or LONG_SPACE.search(text):
+            return encode(text)
+        return np.array(engine.encode_ordinary(text), "<u4").tobytes()
+
+    return fast
 
 
 def pieces(docs: DataFrame, path: str, capacity=CAPACITY, end=END, keep_ids=False, id_col="doc_id", text_col="text") -> DataFrame:
@@ -183,30 +205,34 @@ def plan(counts: dict[int, int], capacity=CAPACITY, large=LARGE, groups=GROUPS)
     grouped = linear_groups(big, groups)
     tops = [top for top, _ in grouped]
 
-    def take(room, least):
-        """The longest length left up to ``room``, if it is over ``least``."""
+    def take(room, least, used):
+        """The longest length up to ``room`` that there is more of than ``used``, if it is over ``least``."""
         at = bisect_right(lengths, room) - 1
-        return lengths[at] if at >= 0 and lengths[at] > least else None
+        while at >= 0 and lengths[at] > least:
+            if left[lengths[at]] > used[lengths[at]]:
+                return lengths[at]
+            at -= 1
+        return None
 
     for column, times in configurations(grouped, capacity):
         places = sorted((i for i, n in column.items() for _ in range(n)), reverse=True)
         while times:
-            shape, room = [], capacity
+            used, room = Counter(), capacity
             for k, i in enumerate(places):
                 last = k + 1 == len(places)
-                length = take(room if last else tops[i], tops[i - 1] if i else 0)
-                if length is None or shape.count(length) >= left[length]:
+                length = take(room if last else tops[i], tops[i - 1] if i else 0, used)
+                if length is None:
                     break
-                shape.append(length)
+                used[length] += 1
                 room -= length
-            if len(shape) < len(places):
-                break  # the group has run out; what is left is packed below
-            run = min([times, *(left[n] // k for n, k in Counter(shape).items())])
-            for n, k in Counter(shape).items():
+            if used.total() < len(places) or 0 < room * GAP <= capacity:
+                break  # a group has run out, or leaves a gap that little fits into; what is left is packed below
+            run = min([times, *(left[n] // k for n, k in used.items())])
+            for n, k in used.items():
                 left[n] -= k * run
                 if not left[n]:
                     lengths.remove(n)
-            shapes[tuple(sorted(shape, reverse=True))] += run
+            shapes[tuple(sorted(used.elements(), reverse=True))] += run
             times -= run
     rest = {n: c for n, c in counts.items() if n not in big and n < capacity}
     best_fit(shapes, rest | {n: c for n, c in left.items() if c}, capacity)
