@@ -22,7 +22,7 @@ COUNTERS, SLICES = 1 << 20, 64
 MEMBERS = 256
 #: Cells of a block of the incidence matrix of an opened group.
 CELLS = 1 << 22
-SETS = "_id string, n long, key binary, pair long"
+SETS = "_id string, n long, key binary, pair long, slice int, counts binary"
 
 
 def least_overlap(n, num: int, den: int):
@@ -42,39 +42,41 @@ def rare_first(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """Size and keys of every document's set and, with ``slice``, what a task adds to the sketch: in how many documents
+    with an id each counter's tokens are.  One pass over the texts makes both."""
+
     def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             found = [shingle_set(t, words) for t in batch["_text"]]
+            for own, there in zip(found, batch["_id"].notna(), strict=True):
+                if there:
+                    np.add.at(total, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
             yield pd.DataFrame(
                 {
                     "_id": batch["_id"],
                     "n": [len(s) for s in found],
                     "key": [set_key(s) for s in found],
                     "pair": [grouping_key(s) if len(s) else 0 for s in found],
+                    "slice": None,
+                    "counts": None,
                 }
             )
+        parts = np.minimum(total, np.iinfo(np.uint16).max).astype("<u2").reshape(SLICES, -1)
+        rows = [(None, 0, None, 0, k, p.tobytes()) for k, p in enumerate(parts)]
+        yield pd.DataFrame(rows, columns=["_id", "n", "key", "pair", "slice", "counts"])
 
     return docs.mapInPandas(run, SETS)
 
 
-def _sketch(docs: DataFrame, words: int) -> np.ndarray:
+def _sketch(counted: DataFrame) -> np.ndarray:
     """In about how many documents each counter's tokens are, over all documents: a table of fixed size."""
 
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for text in batch["_text"]:
-                found = shingle_set(text, words)
-                np.add.at(total, (found % np.uint64(COUNTERS)).astype(np.int64), 1)
-        parts = np.minimum(total, np.iinfo(np.uint16).max).astype("<u2").reshape(SLICES, -1)
-        yield pd.DataFrame({"slice": range(SLICES), "counts": [p.tobytes() for p in parts]})
-
     def add(key, group):
         total = sum(np.frombuffer(c, "<u2").astype(np.int64) for c in group["counts"])
         return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, np.iinfo(np.uint32).max).astype("<u4").tobytes()]})
 
-    rows = docs.select("_text").mapInPandas(count, "slice int, counts binary")
-    merged = rows.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    merged = counted.select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
     out = np.zeros((SLICES, COUNTERS // SLICES), np.uint32)
     for row in merged:
         out[row["slice"]] = np.frombuffer(row["counts"], "<u4")
@@ -164,7 +166,8 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     ided = texts.filter(F.col("_id").isNotNull())
     named = texts.withColumn("_id", F.col("_id").cast("string"))  # as text, for a null among numbers would make them floats
-    members = written(_sets(named, words).withColumn("_id", F.col("_id").cast("long")), "ngram-sets")
+    made = written(_sets(named, words).withColumn("_id", F.col("_id").cast("long")), "ngram-sets")
+    members = made.filter("slice IS NULL").drop("slice", "counts")
     classes = (
         members.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_rep"), F.first("n").alias("n"), F.first("pair").alias("pair"))
     )
@@ -175,7 +178,7 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
     first = grouped.groupBy("pair", "_part").agg(F.min("_rep").alias("_group"), F.count(F.lit(1)).alias("_members"))
     grouped = written(grouped.join(first, ["pair", "_part"]).select("_rep", "key", "n", "_group", "_members"), "ngram-groups")
 
-    sketch = spark.sparkContext.broadcast(_sketch(ided, words))  # of a fixed size
+    sketch = spark.sparkContext.broadcast(_sketch(made.filter("slice IS NOT NULL")))  # of a fixed size
 
     def rows(batches):
         for batch in batches:
