@@ -61,20 +61,25 @@ class Gru:
             self.p[name] = vector[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def forward(self, tokens: np.ndarray, state: np.ndarray, keep=False):
-        """States before each token of ``tokens`` (time, lane) and the state after the last; an end resets a lane."""
+    def forward(self, tokens: np.ndarray, state: np.ndarray, keep=False, fresh=None):
+        """States before each token of ``tokens`` (time, lane) and the state after the last; an end resets a lane.
+
+        ``fresh`` marks the tokens that begin without a state, whatever came before them in the lane.
+        """
         p, h = self.p, self.units
         states, saved = np.empty((*tokens.shape, h), np.float32), []
         inputs = p["input"][tokens] + p["bias"]
         for t in range(len(tokens)):
+            if fresh is not None:
+                state = state * ~fresh[t][:, None]
             states[t] = state
             gates = 1 / (1 + np.exp(-(inputs[t, :, : 2 * h] + state @ p["gates"])))
             update, reset = gates[:, :h], gates[:, h:]
-            fresh = np.tanh(inputs[t, :, 2 * h :] + (reset * state) @ p["new"])
-            after = state + update * (fresh - state)
+            new = np.tanh(inputs[t, :, 2 * h :] + (reset * state) @ p["new"])
+            after = state + update * (new - state)
             live = (tokens[t] != 0)[:, None]
             if keep:
-                saved.append((state, update, reset, fresh, live))
+                saved.append((state, update, reset, new, live))
             state = after * live
         return states, state, saved
 
@@ -128,13 +133,13 @@ class Gru:
             at_states[order] += back
         return (out, grads, at_states) if weights is not None else out
 
-    def gradients(self, tokens: np.ndarray, live: np.ndarray, state: np.ndarray, sparse=False):
+    def gradients(self, tokens: np.ndarray, live: np.ndarray, state: np.ndarray, sparse=False, fresh=None):
         """Log likelihood of a window, its gradients (truncated at the window's start), and the state after it.
 
         With ``sparse``, the gradient of the input has the rows of ``np.unique(tokens)`` only.
         """
         p, h = self.p, self.units
-        states, after, saved = self.forward(tokens, state, keep=True)
+        states, after, saved = self.forward(tokens, state, True, fresh)
         flat = tokens.ravel()
         out, grads, at = self.log_probability(states.reshape(-1, h), flat, live.ravel().astype(np.float32))
         at = at.reshape(*tokens.shape, h)
@@ -142,17 +147,19 @@ class Gru:
         grads |= {"gates": np.zeros_like(p["gates"]), "new": np.zeros_like(p["new"])}
         back = np.zeros_like(state)
         for t in range(len(tokens) - 1, -1, -1):
-            before, update, reset, fresh, alive = saved[t]
+            before, update, reset, new, alive = saved[t]
             back = back * alive
-            d_fresh = back * update * (1 - fresh * fresh)
-            d_update = back * (fresh - before) * update * (1 - update)
-            d_held = d_fresh @ p["new"].T
+            d_new = back * update * (1 - new * new)
+            d_update = back * (new - before) * update * (1 - update)
+            d_held = d_new @ p["new"].T
             d_reset = d_held * before * reset * (1 - reset)
-            grads["new"] += (reset * before).T @ d_fresh
+            grads["new"] += (reset * before).T @ d_new
             d_gates = np.concatenate([d_update, d_reset], 1)
             grads["gates"] += before.T @ d_gates
-            inputs[t] = np.concatenate([d_gates, d_fresh], 1)
+            inputs[t] = np.concatenate([d_gates, d_new], 1)
             back = back * (1 - update) + d_held * reset + d_gates @ p["gates"].T + at[t]
+            if fresh is not None:
+                back = back * ~fresh[t][:, None]
         flat_inputs = inputs.reshape(-1, 3 * h)
         grads["bias"] = flat_inputs.sum(0)
         found, sums = _summed(flat, flat_inputs)
@@ -174,10 +181,10 @@ class Gru:
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         state, done = None, 0
         lanes = max(lanes, min(SCORE_LANES, sum(map(len, documents)) // (window * STEPS)))
-        for tokens, live in windows(documents, window, lanes):
+        for tokens, live, fresh in windows(documents, window, lanes, starts=True):
             state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state[: tokens.shape[1]]
             count = max(1, int(live.sum()))
-            _, grads, state = self.gradients(tokens, live, state, sparse=True)
+            _, grads, state = self.gradients(tokens, live, state, sparse=True, fresh=fresh)
             touched = np.unique(tokens)
             done += 1
             norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / count
@@ -213,10 +220,10 @@ def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, np.add.reduceat(values[order], starts, axis=0)
 
 
-def windows(documents: list[np.ndarray], window: int, lanes: int, owners=False):
+def windows(documents: list[np.ndarray], window: int, lanes: int, owners=False, starts=False):
     """Windows (time, lane) over documents laid end to end in lanes of about equal length, longest first.
 
-    Yields tokens, which of them are real, and with ``owners`` the number of their document.  Lanes that have ended
+    Yields tokens, which of them are real, and with ``starts`` which begin a document or with ``owners`` the number of their document.  Lanes that have ended
     are left out: the others come first.  With ``owners``, windows get longer as lanes get fewer.
     """
     sizes = np.array([len(d) for d in documents], np.int64)
@@ -232,21 +239,24 @@ def windows(documents: list[np.ndarray], window: int, lanes: int, owners=False):
         heappush(load, (total + int(sizes[d]), k))
     longest = max(total for total, _ in load)
     columns = [np.concatenate([documents[d] for d in own]) if own else np.zeros(0, np.int64) for own in held]
-    marks = [np.repeat(own, sizes[own]) if own else np.zeros(0, np.int64) for own in held] if owners else None
+    if owners:
+        marks = [np.repeat(own, sizes[own]) if own else np.zeros(0, np.int64) for own in held]
+    else:
+        first = lambda n: np.arange(n) == 0
+        marks = [np.concatenate([first(sizes[d]) for d in own]) if own else np.zeros(0, bool) for own in held]
     ranks = sorted(range(lanes), key=lambda k: -len(columns[k]))
     columns = [columns[k] for k in ranks]
-    marks = [marks[k] for k in ranks] if owners else None
+    marks = [marks[k] for k in ranks]
     at = 0
     while at < longest:
         active = sum(len(column) > at for column in columns)
         steps = min(max(window, min(LONGEST, window * lanes // active)), longest - at) if owners else window
         tokens = np.zeros((steps, active), np.int64)
         live = np.zeros((steps, active), bool)
-        owner = np.zeros((steps, active), np.int64)
+        mark = np.zeros((steps, active), np.int64 if owners else bool)
         for k, column in enumerate(columns[:active]):
             part = column[at : at + steps]
             tokens[: len(part), k], live[: len(part), k] = part, True
-            if owners:
-                owner[: len(part), k] = marks[k][at : at + steps]
-        yield (tokens, live, owner) if owners else (tokens, live)
+            mark[: len(part), k] = marks[k][at : at + steps]
+        yield (tokens, live, mark) if owners or starts else (tokens, live)
         at += steps

@@ -117,7 +117,8 @@ def fold(id_col, parts: int):
 def fit(docs: DataFrame, labels: DataFrame, label_col="quality", id_col="doc_id", text_col="text", sample=SAMPLE) -> Vote:
     """Fit on the labelled ``docs``: at most ``sample`` of them, those whose ids have the smallest hashes.
 
-    Labels other than 0 and 1, and null ids, are left out; of repeated labels of an id the smallest counts.
+    Labels other than 0 and 1, and null ids, are left out; of repeated labels of an id the smallest counts, of its
+    repeated rows that whose text has the smallest hash.
     The texts become terms inside tasks, and only terms of the bounded sample reach the driver.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col="quality", id_col="doc_id"
     # Bounded by ``sample`` rows, so that it can be sent to every task and the texts stay where they are.
     chosen = written(there.orderBy(F.xxhash64("_id"), "_id").limit(sample), "quality-sample")
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash")).join(F.broadcast(chosen), "_id")
 
     def sparse(batches):
         for batch in batches:
@@ -135,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col="quality", id_col="doc_id"
             yield pd.DataFrame(
                 {
                     "_id": batch["_id"],
+                    "_hash": batch["_hash"],
                     "_label": batch["_label"],
                     "_at": [p.astype("<u2").tobytes() for p in places],
                     "_value": [v[p].astype("<f2").tobytes() for v, p in zip(found, places, strict=True)],
@@ -142,8 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col="quality", id_col="doc_id"
             )
 
     ship(docs.sparkSession)
-    schema = f"_id {dict(rows.dtypes)['_id']}, _label int, _at binary, _value binary"
-    found = rows.withColumn("_label", F.col("_label").cast("int")).mapInPandas(sparse, schema).limit(sample).toPandas()
+    schema = f"_id {dict(rows.dtypes)['_id']}, _hash long, _label int, _at binary, _value binary"
+    told = rows.withColumn("_label", F.col("_label").cast("int")).mapInPandas(sparse, schema)
+    # Of rows that share an id one is learned from, the same whatever the partitions.
+    one = told.groupBy("_id").agg(F.min(F.struct("_hash", "_label", "_at", "_value")).alias("_one"))
+    found = one.select("_id", "_one.*").toPandas()
     found = found.sort_values("_id", kind="stable")
     matrix = np.zeros((len(found), TERMS), np.float32)
     for row, at, value in zip(matrix, found["_at"], found["_value"], strict=True):

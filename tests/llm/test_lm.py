@@ -115,3 +115,20 @@ def test_windows_and_lanes_do_not_change_a_score():
     for window, lanes in ((1, 1), (3, 2), (16, 4), (7, 50)):
         assert np.allclose(model.score(documents, window, lanes), alone, rtol=1e-4)
     assert sum(int(live.sum()) for _, live in windows(documents, 4, 3)) == sum(map(len, documents))
+
+
+def test_a_cut_segment_begins_without_a_state():
+    """Training on segments end to end in a lane gives the gradients of each segment by itself."""
+    rng = np.random.default_rng(3)
+    model = Gru(np.log(np.full(6, 1 / 7)), np.log(1 / 7), units=3, classes=2)
+    for v in model.p.values():
+        v += rng.standard_normal(v.shape).astype(np.float32) * 0.3
+    cut, rest = rng.integers(1, 6, 5), np.append(rng.integers(1, 6, 4), 0)
+    ((tokens, live, fresh),) = windows([cut, rest], window=10, lanes=1, starts=True)
+    assert tokens.shape == (10, 1) and fresh[:, 0].tolist() == [i in (0, 5) for i in range(10)]
+    state = np.zeros((1, 3), np.float32)
+    value, grads, _ = model.gradients(tokens, live, state, fresh=fresh)
+    alone = [model.gradients(d[:, None], np.ones((len(d), 1), bool), state) for d in (cut, rest)]
+    assert abs(value - sum(a[0] for a in alone)) < 1e-4
+    for k, g in grads.items():
+        assert np.allclose(g, sum(a[1][k] for a in alone), atol=1e-4), k

@@ -2,9 +2,11 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from demandlens.llm import quality
-from demandlens.llm.quality import Vote, classify_quality, keep_good, latent_space, terms
+from demandlens.llm.quality import Vote, classify_quality, fit, keep_good, latent_space, terms
 
 
 def held(i):
@@ -58,3 +60,12 @@ def test_latent_space_spans_the_leading_directions():
     low = (rng.standard_normal((60, 5)) @ rng.standard_normal((5, 80))).astype(np.float32)
     space = latent_space(low, 5)
     assert np.allclose(low @ space @ space.T, low, atol=1e-2)
+
+
+def test_repeated_ids_are_learned_from_once_and_alike_in_any_order(spark):
+    rows = [(i % 20, f"{'Good plain words in a row' if i % 2 else 'x x x x 99 99 ##'} number {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    votes = [fit(d, labels) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(5))]
+    assert all(len(v.labels) == 20 for v in votes)
+    assert (votes[0].vectors == votes[1].vectors).all() and (votes[0].labels == votes[1].labels).all()
