@@ -18,16 +18,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec="snappy", path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe when executors are lost.
 
     Spark knows the size of what it reads back, so it broadcasts such a table only if it is small.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    path = path or scratch(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str):
+    """Remove a table of ``scratch`` that was read for the last time."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,19 +9,22 @@ WORDS, CLASSES, UNITS = 16384, 128, 16
 #: Classes and input rows that all other words are hashed to.
 OTHERS = 64
 #: Tokens through which errors are propagated, and documents side by side in training and in scoring.
-WINDOW, LANES, SCORE_LANES = 16, 128, 512
-#: Where texts are enough for so many windows of training, more documents are side by side, as in scoring at most.
-STEPS = 128
+WINDOW, LANES, SCORE_LANES = 16, 256, 512
 RATE, CLIP = 0.02, 5.0
 #: Tokens of a document that are trained on in a row, and the longest window in scoring.
 SEGMENT, LONGEST = 512, 1024
+#: Rows of outputs that are made at a time, so that they stay in a core's cache.
+ROWS = 1024
+#: Logits between the negative and this need no shift before they are raised to powers.
+SAFE = 60
 
 
 class Gru:
-    """``P(word | state) = P(class | state) * P(word | class, state)`` for known words.
+    """``P(word | state) = P(top | state) * P(class | top, state) * P(word | class, state)`` for known words.
 
     Known words are dealt into classes by frequency; the classes from ``classes`` on stand for other words, whose
-    shares within them are not the network's business.  Word ``0`` ends a document, and the words from ``words`` on
+    shares within them are not the network's business.  As many classes follow each other in a top class as there
+    are top classes, so a token costs about twice the root of the number of classes, and one class of words.  Word ``0`` ends a document, and the words from ``words`` on
     are the classes of others.
     """
 
@@ -38,18 +41,27 @@ class Gru:
         inner[self.kind, self.slot] = logs
         mass[:classes] = np.logaddexp.reduce(inner, axis=1)
         mass[classes:] = other
+        self.span = int(np.ceil(np.sqrt(len(mass))))
+        self.tops = -(-len(mass) // self.span)
+        middle = np.full(self.tops * self.span, -30.0)
+        middle[: len(mass)] = np.maximum(mass, -30)
+        middle = middle.reshape(self.tops, self.span)
         h = units
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+
+        def biased(logs):
+            """Tables of outputs, one for each row of ``logs``: no weights, and the bias as the last row."""
+            return np.concatenate([np.zeros((len(logs), h, logs.shape[1])), logs[:, None]], 1).astype(np.float32)
+
         # Begins as the unigram model: weights of the outputs are zero and their biases are log frequencies.
         self.p = {
             "input": draw(self.words + len(other), 3 * h),
             "gates": draw(h, 2 * h),
             "new": draw(h, h),
             "bias": np.zeros(3 * h, np.float32),
-            "class": np.zeros((h, len(mass)), np.float32),
-            "class_bias": np.maximum(mass, -30).astype(np.float32),
-            "word": np.zeros((classes, h, self.width), np.float32),
-            "word_bias": inner.astype(np.float32),
+            "top": biased(np.logaddexp.reduce(middle, axis=1)[None]),
+            "class": biased(middle),
+            "word": biased(inner),
         }
 
     def vector(self) -> np.ndarray:
@@ -68,7 +80,8 @@ class Gru:
         """
         p, h = self.p, self.units
         states, saved = np.empty((*tokens.shape, h), np.float32), []
-        inputs = p["input"][tokens] + p["bias"]
+        inputs = p["input"].take(tokens, axis=0)
+        inputs += p["bias"]
         for t in range(len(tokens)):
             if fresh is not None:
                 state = state * ~fresh[t][:, None]
@@ -88,50 +101,56 @@ class Gru:
 
         With ``weights`` (0 or 1 for each token), also the gradients of the sum, by parameter, and at the states.
         """
-        p = self.p
+        p, h = self.p, self.units
         other = tokens >= self.words
         kind = np.where(other, self.classes + tokens - self.words, self.kind[np.minimum(tokens, self.words - 1)])
-        rows = np.arange(len(tokens))
-        logits = states @ p["class"] + p["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        soft = np.exp(logits)
-        total = soft.sum(1, keepdims=True)
-        out = (logits[rows, kind] - np.log(total[:, 0])).astype(np.float64)
-        grads = {}
-        if weights is not None:
-            delta = -soft / total
-            delta[rows, kind] += 1
-            delta *= weights[:, None]
-            grads["class"], grads["class_bias"] = states.T @ delta, delta.sum(0)
-            at_states = delta @ p["class"].T
-            grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        # Tokens in order of their classes: a class is a slice, and what follows the products is done for all at once.
+        # Tokens in order of their classes: a class is a slice, and a few classes at a time make a block.
         order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        order = order[: edges[-1]]
-        if not len(order):
-            return (out, grads, at_states) if weights is not None else out
-        parts = [(c, slice(edges[c], edges[c + 1])) for c in range(self.classes) if edges[c] < edges[c + 1]]
-        near, at, each = states[order], self.slot[tokens[order]], np.arange(len(order))
-        inner = np.empty((len(order), self.width), np.result_type(near, p["word"]))
-        for c, own in parts:
-            np.matmul(near[own], p["word"][c], out=inner[own])
-            inner[own] += p["word_bias"][c]
-        inner -= inner.max(1, keepdims=True)
-        chosen = inner[each, at]
-        e = np.exp(inner, out=inner)
-        s = e.sum(1, keepdims=True)
-        out[order] += chosen - np.log(s[:, 0])
-        if weights is not None:
-            delta = np.divide(e, -s, out=e)
-            delta[each, at] += 1
-            delta *= weights[order][:, None]
-            back = np.empty_like(near)
-            for c, own in parts:
-                grads["word"][c], grads["word_bias"][c] = near[own].T @ delta[own], delta[own].sum(0)
-                np.matmul(delta[own], p["word"][c].T, out=back[own])
-            at_states[order] += back
-        return (out, grads, at_states) if weights is not None else out
+        kind = kind[order]
+        near = np.ones((len(order), h + 1), np.result_type(states, p["word"]))
+        near[:, :h] = states[order]
+        weighed = None if weights is None else weights[order]
+        reach = float(np.abs(states).max(initial=0))
+        out, back = np.zeros(len(order)), None if weights is None else np.zeros((len(order), h), near.dtype)
+        grads = {} if weights is None else {k: np.zeros_like(p[k]) for k in ("top", "class", "word")}
+
+        def add(name, edges, at):
+            """What the softmaxes of ``name`` say: rows from ``edges[c]`` to ``edges[c + 1]`` are by table ``c``."""
+            table, grad = p[name], grads.get(name)
+            bias = np.abs(table[:, h].max(1)).max()
+            shift = reach * float(np.abs(table[:, :h]).sum(1).max()) + bias > SAFE
+            for parts in _blocks(edges):
+                lo, hi = parts[0][1], parts[-1][2]
+                each, block = np.arange(hi - lo), slice(lo, hi)
+                found = np.empty((hi - lo, table.shape[-1]), near.dtype)
+                for c, x, y in parts:
+                    np.matmul(near[x:y], table[c], out=found[x - lo : y - lo])
+                if shift:
+                    found -= found.max(1, keepdims=True)
+                chosen = found[each, at[block]]
+                total = np.exp(found, out=found) @ np.ones(table.shape[-1], near.dtype)
+                out[block] += chosen - np.log(total)
+                if weighed is None:
+                    continue
+                found *= (-weighed[block] / total)[:, None]
+                found[each, at[block]] += weighed[block]
+                for c, x, y in parts:
+                    delta = found[x - lo : y - lo]
+                    grad[c] += near[x:y].T @ delta
+                    back[x:y] += delta @ table[c][:h].T
+
+        top = kind // self.span
+        add("top", np.array([0, len(order)]), top)
+        add("class", np.searchsorted(top, np.arange(self.tops + 1)), kind - top * self.span)
+        edges = np.searchsorted(kind, np.arange(self.classes + 1))
+        add("word", edges, self.slot[tokens[order[: edges[-1]]]])
+        told = np.empty_like(out)
+        told[order] = out
+        if weights is None:
+            return told
+        at_states = np.empty_like(back)
+        at_states[order] = back
+        return told, grads, at_states
 
     def gradients(self, tokens: np.ndarray, live: np.ndarray, state: np.ndarray, sparse=False, fresh=None):
         """Log likelihood of a window, its gradients (truncated at the window's start), and the state after it.
@@ -180,7 +199,6 @@ class Gru:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         state, done = None, 0
-        lanes = max(lanes, min(SCORE_LANES, sum(map(len, documents)) // (window * STEPS)))
         for tokens, live, fresh in windows(documents, window, lanes, starts=True):
             state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state[: tokens.shape[1]]
             count = max(1, int(live.sum()))
@@ -213,6 +231,21 @@ class Gru:
         return out
 
 
+def _blocks(edges: np.ndarray):
+    """Lists of ``table, from, to`` that follow each other, of about ``ROWS`` rows each."""
+    parts, held = [], 0
+    for c, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        while x < y:
+            step = min(y - x, ROWS - held)
+            parts.append((c, x, x + step))
+            x, held = x + step, held + step
+            if held == ROWS:
+                yield parts
+                parts, held = [], 0
+    if parts:
+        yield parts
+
+
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different ``rows``, in order, and the sums of their ``values``."""
     order = np.argsort(rows, kind="stable")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from demandlens.llm.common import written
+from demandlens.llm.common import removed, scratch, written
 from demandlens.llm.gru import CLASSES, OTHERS, UNITS, WORDS, Gru
 from demandlens.llm.quality import fold
 from demandlens.session import ship
@@ -111,8 +111,9 @@ def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS, ot
     """Train the network once on every training document, in rounds: those of part 0, part 1 and so on.
 
     In a round every task starts from the same weights and learns from its chunks' documents by truncated
-    backpropagation; then the weights are averaged, each with as much weight as it saw tokens.  Tasks send averages
-    and not gradients; only the averaged weights, of a fixed size, reach the driver.
+    backpropagation; then the weights are averaged, each with as much weight as it saw tokens.  Tasks send the
+    mean difference from the weights they started with, in half precision (rounded by one part in 2,048 of what a round
+    changes); only the averaged differences, of a fixed size, reach the driver.
     """
 
     def lessons(batches):
@@ -126,7 +127,8 @@ def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS, ot
                         yield pd.DataFrame({"chunk": [row.chunk], "round": [r], "tokens": [np.concatenate(own).tobytes()]})
 
     needed = chunks.select("chunk", "held", "part", "sizes", "tokens", "words")
-    texts = written(needed.mapInPandas(lessons, "chunk long, round int, tokens binary"), "lm-lessons")
+    folder = scratch(chunks.sparkSession, "lm-lessons")
+    texts = written(needed.mapInPandas(lessons, "chunk long, round int, tokens binary"), "lm-lessons", "zstd", folder)
     start = model.vector()
 
     def study(batches):
@@ -137,22 +139,25 @@ def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS, ot
                 documents = np.split(tokens, np.flatnonzero(tokens == 0)[:-1] + 1)
                 model.load(sent.value)
                 model.train(documents)
-                total += model.vector().astype(np.float64) * len(tokens)
+                total += (model.vector() - sent.value) * float(len(tokens))
                 weight += len(tokens)
         if weight:
-            parts = np.array_split(total, WEIGHT_SLICES)
-            yield pd.DataFrame({"slice": range(WEIGHT_SLICES), "weight": weight, "total": [p.tobytes() for p in parts]})
+            parts = np.array_split((total / weight).astype("<f2"), WEIGHT_SLICES)
+            yield pd.DataFrame({"slice": range(WEIGHT_SLICES), "weight": weight, "moved": [p.tobytes() for p in parts]})
 
     def average(key, group):
-        total = sum(np.frombuffer(t) for t in group["total"]) / group["weight"].sum()
+        each = zip(group["moved"], group["weight"], strict=True)
+        total = sum(np.frombuffer(m, "<f2").astype(np.float64) * float(w) for m, w in each) / group["weight"].sum()
         return pd.DataFrame({"slice": [key[0]], "mean": [total.tobytes()]})
 
     for r in range(rounds):
         sent = chunks.sparkSession.sparkContext.broadcast(start)  # of the network's size
-        sums = texts.filter(F.col("round") == r).mapInPandas(study, "slice int, weight long, total binary")
+        sums = texts.filter(F.col("round") == r).mapInPandas(study, "slice int, weight long, moved binary")
         means = sums.groupBy("slice").applyInPandas(average, "slice int, mean binary").collect()
         if means:
-            start = np.concatenate([np.frombuffer(m["mean"]) for m in sorted(means, key=lambda m: m["slice"])]).astype(np.float32)
+            moved = np.concatenate([np.frombuffer(m["mean"]) for m in sorted(means, key=lambda m: m["slice"])])
+            start = (start + moved).astype(np.float32)
+    removed(chunks.sparkSession, folder)
     model.load(start)
     return model
 
@@ -182,8 +187,8 @@ def score(
         (fold(id_col, folds) == held).alias("_held"),
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(parts)).cast("int").alias("_part"),
     )
-    chunks = written(numbered_words(text), "lm-chunks")
-    looked = written(counted(chunks), "lm-counts")
+    chunks = written(numbered_words(text), "lm-chunks", "zstd")
+    looked = written(counted(chunks), "lm-counts", "zstd")
     own = looked.filter("word is not null and count > 0")
     total, kinds = own.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     # At most ``words`` rows: the network's vocabulary.

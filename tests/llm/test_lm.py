@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from conftest import SMALL
-from demandlens.llm import lm
+from demandlens.llm import gru, lm
 from demandlens.llm.gru import Gru, windows
 from demandlens.llm.lm import score
 
@@ -132,3 +132,22 @@ def test_a_cut_segment_begins_without_a_state():
     assert abs(value - sum(a[0] for a in alone)) < 1e-4
     for k, g in grads.items():
         assert np.allclose(g, sum(a[1][k] for a in alone), atol=1e-4), k
+
+
+def test_blocks_and_shifts_do_not_change_probabilities_or_gradients(monkeypatch):
+    model, rng = _model(), np.random.default_rng(4)
+    tokens, state, weights = rng.integers(0, 13, 60), rng.standard_normal((60, 5)), rng.integers(0, 2, 60).astype(float)
+    whole = model.log_probability(state, tokens, weights)
+    for rows, safe in ((7, 60), (1, 60), (1024, -1), (7, -1)):
+        monkeypatch.setattr(gru, "ROWS", rows)
+        monkeypatch.setattr(gru, "SAFE", safe)
+        found = model.log_probability(state, tokens, weights)
+        assert np.allclose(found[0], whole[0]) and np.allclose(found[2], whole[2])
+        assert all(np.allclose(found[1][k], whole[1][k]) for k in ("top", "class", "word"))
+
+
+def test_very_large_weights_give_finite_probabilities():
+    model = _model()
+    for k in ("top", "class", "word"):
+        model.p[k] = model.p[k] * 1e4
+    assert np.isfinite(model.log_probability(np.ones((13, 5)), np.arange(13))).all()
