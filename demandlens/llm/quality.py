@@ -11,7 +11,7 @@ from demandlens.llm.common import under_own_names, written
 from demandlens.session import ship
 
 #: The most labelled documents that the classifier is fitted on.
-SAMPLE = 4000
+SAMPLE = 6000
 #: Dimensions of the latent space, neighbours that vote, and the power of the similarity that weighs a vote.
 DIMENSIONS, NEIGHBOURS, POWER = 48, 15, 32
 #: Terms: hashed triples of character shapes, hashed pairs of bytes, and words that repeat the one before.
