@@ -250,7 +250,7 @@ def encode(docs: DataFrame, path: str, pattern: str, spaced=False, id_col="doc_i
 
     ``path`` is a rank file that every executor can read.  Every match of ``pattern`` is encoded by itself, without
     special tokens; ``spaced`` takes a shorter way to the same ids for patterns that allow it (`by_words`).  A null or empty text has no ids.  Nothing is shuffled; repeated rows are each encoded;
-    other columns are left out.
+    an empty table gives an empty one; other columns are left out.
     """
     return _each(docs, path, pattern, spaced, id_col, text_col, ENCODED, lambda ids, data: (ids, len(ids) // 4, data))
 

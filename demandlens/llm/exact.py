@@ -90,7 +90,7 @@ def exact_dedup(docs: DataFrame, id_col="doc_id", text_col="text", digest=None,
     Texts are equal if they are the same bytes after runs of white space became single spaces; null counts as
     empty.  The smallest id of a group stays; rows that repeat it are all marked kept.  A null id is never
     smallest: it names a group only if the group has no other.  ``digest`` makes the key of the state from the
-    SHA-256 (by default, itself).  Other columns are ignored.
+    SHA-256 (by default, itself).  An empty table gives an empty one.  Other columns are ignored.
 
     Digests go through the state (`drain`), texts do not.  Of documents whose digest repeats, the whole text is
     compared with the text that the state points to; where it differs (two texts with one digest), the rows of

@@ -95,7 +95,7 @@ def line_dedup(docs: DataFrame, min_docs=10, id_col="doc_id", text_col="text", b
     Lines end at a newline; a null or empty text is one empty line.  A line is found by its key (`line_key`);
     an empty key is never dropped.  All lines of a frequent key go, in every document.  Documents are told apart
     by id: rows that repeat an id count as one document, and so do all rows with a null id.  Every row comes out
-    once.  Other columns are left out.
+    once.  An empty table gives an empty one.  Other columns are left out.
 
     Hashes are shuffled to be counted, once with their ids and once without, and each text once to lose its lines.  A line that a third of all
     documents hold is combined inside tasks, and the join back to documents can be split.

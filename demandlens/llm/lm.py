@@ -174,7 +174,7 @@ def score(
     share by its count plus one.  The unknown is in the first of these.  Both sum to one over all words and one unknown.
 
     Null and empty texts are an end alone.  Rows that repeat an id are documents of their own.  Without training
-    tokens both scores are the base.  Other columns are left out.
+    tokens both scores are the base.  An empty table gives an empty one.  Other columns are left out.
 
     Counts cover all training documents.  Texts are read once and turned into numbered chunks; then words move,
     once for each chunk, and chunks meet the counts of their own words.  No table of all words is ever in one place.

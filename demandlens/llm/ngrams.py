@@ -148,7 +148,7 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
     A document's set has its distinct shingles of ``words`` words (see `shingle_set`); two documents link if
     ``den * shared >= num * united``; ``component_id`` is the smallest id reachable by links.  A null or empty text
     has no shingles and links with nothing, nor does a row without an id (its component is null).  Rows that
-    repeat an id are one node.  Other columns are left out.  No link is missed.
+    repeat an id are one node.  An empty table gives an empty one.  Other columns are left out.  No link is missed.
 
     1. Equal sets become one class, under its smallest id.
     2. Classes are grouped by two minima of their set, which near copies mostly share; groups of more than

@@ -178,7 +178,12 @@ def score(docs: DataFrame, vote: Vote, text_col="text") -> DataFrame:
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", folds=3, held=1, sample=SAMPLE) -> DataFrame:
-    """``docs`` with ``held_out, score, predicted``, learned from labels whose fold is not ``held`` (see `fold`)."""
+    """``docs`` with ``held_out, score, predicted``, learned from labels whose fold is not ``held`` (see `fold`).
+
+    Every row comes out once with its own columns, but those of the three names are replaced.  Null and empty texts
+    score the share of label 1, a null id has the fold of an empty text, and rows that repeat an id are each scored
+    by their own text.  Without labels every score is 0.5; an empty table gives an empty one.
+    """
     learn = docs.filter(fold(id_col, folds) != held)
     scored = score(docs, fit(learn, labels, id_col=id_col, text_col=text_col, sample=sample), text_col)
     return scored.withColumn("held_out", fold(id_col, folds) == held)

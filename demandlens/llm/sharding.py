@@ -57,7 +57,8 @@ def shard(docs: DataFrame, shards: int, id_col="doc_id", text_col="text") -> Dat
 
     The id and the number of shards alone decide (law ``key``): no table of shards, no state, and a new shard
     takes rows only into itself.  A null id has the shard of id 0.  A null text has 16 bytes and the checksum
-    of an empty one.  Repeated rows share a shard and get slots of their own.  Other columns are left out.
+    of an empty one.  Repeated rows share a shard and get slots of their own.  An empty table gives
+    an empty one.  Other columns are left out.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

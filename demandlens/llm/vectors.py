@@ -89,7 +89,7 @@ def near_duplicates(
     Vectors that are null, empty or zero, or hold a null or a component that is not finite, link with nothing,
     and so do rows without an id (their component is null).  Vectors of different lengths never link.  Equal
     vectors are handled once, with their number: their ids count as one node, so an id on several vectors
-    joins those.  Other columns are left out.
+    joins those.  An empty table gives an empty one.  Other columns are left out.
 
     A bucket larger than ``block`` is split into blocks, and pairs of blocks are compared in tasks of their own,
     so a group of any size is compared whole and in bounded memory.  Comparing gives a row for each vector with
