@@ -21,22 +21,34 @@ NEAR_WORDS, NEAR_HUNDREDTHS = 5, 80
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that the quality classifier does not reject; nulls and empty texts score the share of good ones."""
+    """Documents that the quality classifier does not reject; nulls and empty texts score the share of good ones.
+
+    Rows that repeat an id are each judged by their own text.  No documents give none.
+    """
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact(spark, docs, sf_dir):
-    """The document with the smallest id of each group of texts that are equal but for white space."""
+    """The document with the smallest id of each group of texts that are equal but for white space.
+
+    A null text counts as empty, and a null id stays only where its group has no other.  No documents give none.
+    """
     return keep_first(docs)
 
 
 def near(spark, docs, sf_dir):
-    """The document with the smallest id of each group that near copies connect."""
+    """The document with the smallest id of each group that near copies connect.
+
+    Texts without words are near to nothing and stay, and so do rows without an id.  No documents give none.
+    """
     return keep_smallest(docs, words=NEAR_WORDS, num=NEAR_HUNDREDTHS, den=100)
 
 
 def packing(spark, docs, sf_dir):
-    """Where every piece of every document goes in sequences of 1024 tokens."""
+    """Where every piece of every document goes in sequences of 1024 tokens.
+
+    A null or empty text is an end alone; rows that repeat an id are packed each.  No documents give no pieces.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
