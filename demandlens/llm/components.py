@@ -1,11 +1,23 @@
 """Connected components by alternating large and small stars, each a few joins and aggregates."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.session import cut_lineage
 
 
+def least_reached(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``ids`` that each place reaches by links between the places ``a`` and ``b``, inside one task."""
+    value = ids.copy()
+    while True:
+        least, last = np.minimum(value[a], value[b]), value.copy()
+        np.minimum.at(value, a, least)
+        np.minimum.at(value, b, least)
+        if (value == last).all():
+            return value
+
+
 def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src").agg(F.min("dst").alias("least"))
 

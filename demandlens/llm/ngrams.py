@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import told_apart, under_own_names, written
-from demandlens.llm.components import components
+from demandlens.llm.common import removed, scratch, told_apart, under_own_names, written
+from demandlens.llm.components import components, least_reached
 from demandlens.llm.shingles import set_key, shingle_set
 from demandlens.session import ship
 
@@ -124,41 +124,24 @@ def open_groups(left, right, num: int, den: int):
     return [(ids[chosen[x]], ids[chosen[y]]) for x, y in zip(a, b, strict=True)]
 
 
-def _forest(pairs):
-    """As few links as connect what the pairs connect."""
-    top = {}
-
-    def find(x):
-        while top.setdefault(x, x) != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    kept = []
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            top[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
 def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_col="text") -> DataFrame:
-    """Rows ``id, n_shingles, component_id`` of every document.
+    """Rows ``id, n_shingles, component_id, n_links`` of every document.
 
     A document's set has its distinct shingles of ``words`` words (see `shingle_set`); two documents link if
-    ``den * shared >= num * united``; ``component_id`` is the smallest id reachable by links.  A null or empty text
-    has no shingles and links with nothing, nor does a row without an id (its component is null).  Rows that
-    repeat an id are one node.  An empty table gives an empty one.  Other columns are left out.  No link is missed.
+    ``den * shared >= num * united``; ``component_id`` is the smallest id reachable by links, and ``n_links`` counts the
+    other rows with an id that a row links with.  A null or empty text has no shingles and links with nothing, nor
+    does a row without an id (its component is null).  Rows that repeat an id are one node, but each has its own
+    links.  An empty table gives an empty one.  Other columns are left out.  No link is missed.
 
     1. Equal sets become one class, under its smallest id.
     2. Classes are grouped by two minima of their set, which near copies mostly share; groups of more than
        ``MEMBERS`` are split.
     3. The matrix: tokens are put in one order, rare ones first; as many of a set as a similar set cannot all
        lack make its row.  Groups that share a token in the union of their rows are candidates.
-    4. Candidates meet with their members' texts.  The overlap of each query with the other group's union is
-       bounded, and the members are compared where it suffices.  A pair of groups that are all of one component
-       by then is not opened: a large group of near copies is connected by few comparisons.
-    5. Links connect the components.
+    4. Candidates meet with their members' texts, each pair of groups once.  The overlap of each query with the
+       other group's union is bounded, and the members are compared where it suffices.  A task gives a row for each
+       class with links, not one for each link.
+    5. What the links reach in each task connects the components; links are added up by class.
 
     Every pair that links shares one of those tokens, whatever the sketch says of their frequency.
     """
@@ -169,14 +152,18 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
     made = written(_sets(named, words).withColumn("_id", F.col("_id").cast("long")), "ngram-sets")
     members = made.filter("slice IS NULL").drop("slice", "counts")
     classes = (
-        members.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_rep"), F.first("n").alias("n"), F.first("pair").alias("pair"))
+        members.filter("n > 0 and _id is not null")
+        .groupBy("key")
+        .agg(F.min("_id").alias("_rep"), F.first("n").alias("n"), F.first("pair").alias("pair"), F.count(F.lit(1)).alias("_copies"))
     )
     classes = written(classes, "ngram-classes")
     parts = classes.groupBy("pair").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_parts"))
     part = F.pmod(F.xxhash64("_rep", "key"), F.col("_parts"))
     grouped = classes.join(parts, "pair").withColumn("_part", part)
     first = grouped.groupBy("pair", "_part").agg(F.min("_rep").alias("_group"), F.count(F.lit(1)).alias("_members"))
-    grouped = written(grouped.join(first, ["pair", "_part"]).select("_rep", "key", "n", "_group", "_members"), "ngram-groups")
+    kept = {name: scratch(spark, f"ngram-{name}") for name in ("groups", "candidates", "asked", "texts")}
+    grouped = grouped.join(first, ["pair", "_part"]).select("_rep", "key", "n", "_copies", "_group", "_members")
+    grouped = written(grouped, "ngram-groups", path=kept["groups"])
 
     sketch = spark.sparkContext.broadcast(_sketch(made.filter("slice IS NOT NULL")))  # of a fixed size
 
@@ -222,21 +209,24 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
         matrix.join(other, "_token").filter((F.col("_group") < F.col("_group2")) & fits).select("_group", "_group2").distinct()
     )
     within = grouped.filter("_members > 1").select("_group", F.col("_group").alias("_group2")).distinct()
-    pairs = written(pairs.union(within), "ngram-candidates")
+    pairs = written(pairs.union(within), "ngram-candidates", path=kept["candidates"])
 
     asked = pairs.select(F.col("_group")).union(pairs.select("_group2")).distinct().join(grouped, "_group")
-    asked = written(asked.select(F.col("_rep").alias("_id"), "key", F.col("_group").alias("_at"), "_members"), "ngram-asked")
+    asked = asked.select(F.col("_rep").alias("_id"), "key", "_copies", F.col("_group").alias("_at"), "_members")
+    asked = written(asked, "ngram-asked", path=kept["asked"])
     # Texts are moved for these joins at every size, so that small and large inputs have one plan.
     held = told_apart(ided, "_id", asked, "_id")[0].join(asked.drop("_members").hint("merge"), "_id")
-    held = written(held, "ngram-texts")
+    held = written(held, "ngram-texts", path=kept["texts"])
     weights = asked.select(F.col("_at").alias("_group2"), "_members").distinct()
 
     def verify(key, group):
         found = [shingle_set(t, words) for t in group["_text"]]
-        members = defaultdict(lambda: ([], []))
-        for at, one, told, mine in zip(group["_at"], group["_id"], group["key"], found, strict=True):
-            if set_key(mine) == told:  # a repeated id has other texts
-                members[at][0].append(one)
+        members, seen = defaultdict(lambda: ([], [])), set()
+        for place, (at, told, mine) in enumerate(zip(group["_at"], group["key"], found, strict=True)):
+            # A repeated id has other texts, or the same text again.
+            if set_key(mine) == told and (at, told) not in seen:
+                seen.add((at, told))
+                members[at][0].append(place)
                 members[at][1].append(mine)
         first, links = members.pop(key[0], ([], [])), []
         if group["_within"].any() and first[0]:
@@ -244,40 +234,40 @@ def near_sets(docs: DataFrame, words=4, num=85, den=100, id_col="doc_id", text_c
         for side in members.values():
             if first[0]:
                 links += open_groups(first, side, num, den)
-        return pd.DataFrame(_forest(links), columns=["src", "dst"]).astype("int64")
-
-    def opened(some):
-        """Links of candidate pairs.  A group meets its partners together, so many at a time as are ``MEMBERS`` sets."""
-        blocks = some.join(weights, "_group2").groupBy("_group").agg(F.ceil(F.sum("_members") / MEMBERS).cast("int").alias("_n"))
-        placed = some.join(blocks, "_group").withColumn("_block", F.pmod(F.xxhash64("_group2"), F.col("_n")))
-        theirs = placed.select("_group", "_block", F.col("_group2").alias("_at"), (F.col("_group") == F.col("_group2")).alias("_within"))
-        sides = theirs.union(placed.select("_group", "_block", F.col("_group").alias("_at"), F.lit(False).alias("_within")))
-        sides = sides.groupBy("_group", "_block", "_at").agg(F.max("_within").alias("_within"))
-        return held.join(sides.hint("merge"), "_at").groupBy("_group", "_block").applyInPandas(verify, "src long, dst long")
-
-    # First every group with itself and with one other: that connects most of what belongs together.  Then the
-    # pairs of groups whose members are not all in one component yet; for the others nothing can change.
-    star = pairs.filter("_group != _group2").groupBy("_group2").agg(F.min("_group").alias("_group")).select("_group", "_group2")
-    star = star.union(pairs.filter("_group = _group2"))
-    links = written(opened(star), "ngram-links")
-    reached = components(links).withColumnRenamed("id", "_id")
-    state = asked.join(reached, "_id", "left").withColumn("_own", F.coalesce("component", "_id")).groupBy("_at")
-    state = written(state.agg(F.min("_own").alias("_from"), F.max("_own").alias("_to")), "ngram-state")
-    one = state.toDF("_group", "_from", "_to")
-    two = state.toDF("_group2", "_from2", "_to2")
-    rest = pairs.filter("_group != _group2").join(one, "_group").join(two, "_group2")
-    rest = rest.filter("least(_from, _from2) != greatest(_to, _to2)").select("_group", "_group2")
-    links = links.union(written(opened(written(rest, "ngram-rest")), "ngram-links"))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        reps, copies, linked = group["_id"].to_numpy(), group["_copies"].to_numpy(), np.zeros(len(group), np.int64)
+        np.add.at(linked, a, copies[b])
+        np.add.at(linked, b, copies[a])
+        touched = np.union1d(a, b)
+        root = least_reached(reps, a, b)
+        return pd.DataFrame(
+            {"key": group["key"].to_numpy()[touched], "_rep": reps[touched], "_links": linked[touched], "_root": root[touched]}
+        )
+
+    # A group meets its partners together, so many at a time as are ``MEMBERS`` sets.
+    blocks = pairs.join(weights, "_group2").groupBy("_group").agg(F.ceil(F.sum("_members") / MEMBERS).cast("int").alias("_n"))
+    placed = pairs.join(blocks, "_group").withColumn("_block", F.pmod(F.xxhash64("_group2"), F.col("_n")))
+    theirs = placed.select("_group", "_block", F.col("_group2").alias("_at"), (F.col("_group") == F.col("_group2")).alias("_within"))
+    sides = theirs.union(placed.select("_group", "_block", F.col("_group").alias("_at"), F.lit(False).alias("_within")))
+    sides = sides.groupBy("_group", "_block", "_at").agg(F.max("_within").alias("_within"))
+    opened = held.join(sides.hint("merge"), "_at").groupBy("_group", "_block")
+    links = written(opened.applyInPandas(verify, "key binary, _rep long, _links long, _root long"), "ngram-links")
+    for path in kept.values():
+        removed(spark, path)
     # An id whose texts are of several classes joins them.
     again = members.filter("n > 0 and _id is not null").join(classes.select("key", "_rep"), "key")
     repeated = again.filter("_id != _rep").groupBy("_id").agg(F.min("_rep").alias("a"), F.max("_rep").alias("b")).filter("a != b")
-    reached = components(links.union(repeated.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    found = classes.join(reached.withColumnRenamed("id", "_rep"), "_rep", "left").select(
-        "key", F.coalesce("component", "_rep").alias("component_id")
+    known = links.select(F.col("_rep").alias("src"), F.col("_root").alias("dst"))
+    reached = components(known.union(repeated.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    found = (
+        classes.join(reached.withColumnRenamed("id", "_rep"), "_rep", "left")
+        .join(links.groupBy("key").agg(F.sum("_links").alias("_links")), "key", "left")
+        .select("key", F.coalesce("component", "_rep").alias("component_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_linked"))
     )
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
+    linked = F.when(F.col("_id").isNotNull(), F.coalesce("_linked", F.lit(0))).otherwise(0).cast("long")
     return members.join(found, "key", "left").select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), linked.alias("n_links")
     )
 
 

@@ -126,7 +126,7 @@ FROM reach r GROUP BY x
 
 @query
 def op6_ngram_jaccard(spark, sf_dir):
-    """Component of every document among sets of four-word shingles at a Jaccard similarity of 0.85."""
+    """Component and links of every document among sets of four-word shingles at a Jaccard similarity of 0.85."""
     return near_sets(read_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
@@ -140,8 +140,9 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
-SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
-FROM reach LEFT JOIN n ON doc_id = x GROUP BY x
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id,
+       (SELECT count(*) FROM links l WHERE l.x = r.x) AS n_links
+FROM reach r LEFT JOIN n ON doc_id = r.x GROUP BY r.x
 """
 
 
