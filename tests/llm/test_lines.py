@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from demandlens.llm.lines import line_dedup
+from demandlens.llm.lines import LineRuns, line_dedup
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -51,3 +51,20 @@ def test_repeated_and_null_ids_count_once_over_all_batches(spark):
             assert rows(line_dedup(docs, 4, batch_bytes=1, fanout=2)) == expected(texts, 4)
         finally:
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_runs_stay_in_a_folder(spark, tmp_path):
+    """Two calls know what one call of all documents knows, and a batch that comes again changes nothing."""
+    texts = [(i, f"Common\nhalf {i % 2}\nrare {i % 20}\n own {i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    folder, want = str(tmp_path / "runs"), expected(texts, 4)
+    assert rows(line_dedup(docs.filter("doc_id < 3"), 4, folder=folder)) == expected(texts[:3], 4)
+    later = rows(line_dedup(docs.filter("doc_id >= 3"), 4, batch_bytes=1, fanout=2, folder=folder))
+    assert later == [w for w in want if w[0] >= 3]
+    assert rows(line_dedup(docs, 4, folder=folder)) == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    again = LineRuns(spark, 4, folder=folder)
+    kept = sum(spark.table(name).count() for level in again.levels for name in level)
+    again.add(spark.createDataFrame([], "hash binary, who string"))
+    assert kept == sum(spark.table(name).count() for level in again.levels for name in level)
+    again.close()
