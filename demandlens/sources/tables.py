@@ -99,6 +99,18 @@ def number_by_ledger(df: DataFrame, ledger: str, out_col="job_ord") -> DataFrame
     return _numbered(df, starts, len(df.inputFiles()), out_col)
 
 
+def _table_folders(spark: SparkSession, path, pattern) -> int | None:
+    """How deep ``path`` is, if folders right under it have names that ``pattern`` picks; otherwise None."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    picked = hadoop.Path(path, pattern)
+    files = picked.getFileSystem(conf)
+    folders = [s.getPath().getName() for s in files.globStatus(picked) or [] if s.isDirectory()]
+    # Partition folders are Spark's to look into, and names like these are hidden from it.
+    if not any("=" not in name and name[0] not in "_." for name in folders):
+        return None
+    return files.makeQualified(hadoop.Path(path)).depth()
+
+
 def read_folder(
     spark: SparkSession, path, fmt="parquet", schema=None, pattern=None, merge_schema=False, **options
 ) -> DataFrame:
@@ -106,12 +118,15 @@ def read_folder(
 
     Parquet files of a folder share a schema; ``merge_schema`` looks into all of them for columns that some lack.
 
-    ``pattern`` filters file names (case-sensitive unless it says otherwise, as ``*.[cC][sS][vV]``).
+    ``pattern`` filters file names (case-sensitive unless it says otherwise, as ``*.[cC][sS][vV]``).  A table that was written
+    as a folder of part files is picked by its own name, which all its rows get; where there is such a one, partition
+    folders beside it are not looked into.
     A CSV file whose header disagrees with ``schema`` raises; read such folders one by one and
     combine them with ``union_by_name``.
     """
     reader = spark.read.format(fmt).options(**options)
-    if pattern:
+    depth = _table_folders(spark, path, pattern) if pattern else None
+    if pattern and depth is None:
         reader = reader.option("pathGlobFilter", pattern)
     if fmt == "csv":
         reader = reader.options(header="true", enforceSchema="false")
@@ -119,10 +134,13 @@ def read_folder(
         reader = reader.option("mergeSchema", str(merge_schema).lower())
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.load(path)
+    df = reader.load(path if depth is None else f"{path}/{pattern}")
     if not df.inputFiles():
         raise ValueError(f"no matching files in {path}")
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    if depth is None:
+        return df.withColumn("source_file", F.col("_metadata.file_name"))
+    place = F.regexp_replace("_metadata.file_path", "^[^/:]+:(//[^/]*)?", "")
+    return df.withColumn("source_file", F.split(place, "/")[depth + 1])
 
 
 def read_postings(spark: SparkSession, paths, fmt="parquet", row_key=None, pattern=None, ledger=None, **options) -> DataFrame:
