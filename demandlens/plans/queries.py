@@ -644,7 +644,8 @@ def stream_scoring(spark, sf_dir):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     intake.publish_market(fixtures.jobs(spark, sf_dir), f"{base}/market", version=1)
     schema = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text").schema
-    documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # A pattern, as a stream takes no path of one file; the table may be a file or a folder of files.
+    documents = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
     arriving = fixtures.cv_texts_of(documents)
     intake.run_intake(arriving, f"{base}/market", f"{base}/out", f"{base}/progress").awaitTermination()
     routed = intake.read_intake(spark, f"{base}/out")

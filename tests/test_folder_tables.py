@@ -21,7 +21,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["read_folder"])
+@pytest.mark.parametrize("name", ["read_folder", "stream_scoring"])
 def test_folders_give_what_files_give(spark, folders, name):
     assert rows(QUERIES[name](spark, folders)) == rows(QUERIES[name](spark, SMALL))
 
