@@ -1,9 +1,11 @@
 """Skill vocabulary and skill extraction from text."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.functions.text import split_skills
+from demandlens.functions.text import bind, split_skills
 from demandlens.session import cut_lineage
 
 # Bytes of the grams by which terms and texts are joined; a shorter term is a gram itself.
@@ -15,6 +17,12 @@ CHUNK = 256
 REACH = 24
 # Bits of the filter for grams of no term (64 to a row: 65,536 rows at most), whatever the vocabulary.
 FILTER_BITS = 1 << 22
+# What words stand between; any such set gives the same results.
+BLANK = "[ \n]"
+# So many spellings of so many bytes in all are looked for in a text one by one.
+FEW, FEW_BYTES = 0, 1 << 14
+# Terms of up to three bytes that are broadcast; more are joined as Spark sees fit.
+BROADCAST_SHORT = 50_000
 # A gram is dealt out to a task for every so many places, if it is one of so many that occur most.
 PLACES, HOT = 1 << 20, 4096
 
@@ -146,34 +154,95 @@ def _anchored(cvs: DataFrame, terms: DataFrame, text_col) -> DataFrame:
 
 
 def _short(cvs: DataFrame, names: DataFrame, text_col) -> DataFrame:
-    """Terms of up to three bytes, by the sets of grams of each text: ``cv_id, _mark, _name, skills, _sure``."""
-    length = F.octet_length("_name")
-    names = names.filter(length < GRAMS[0]).withColumn("_key", _key(F.col("_name"), length))
-    grams = _known(_places(cvs, text_col, SHORT).select("cv_id", "_mark", "_key"), names).distinct()
-    found = grams.join(names, "_key")
-    return found.select("cv_id", "_mark", "_name", "skills", F.lit(True).alias("_sure"))
+    """Terms of up to three bytes, by the sets of grams of each text: ``cv_id, _mark, skills``.
+
+    Texts are dealt out once by what their grams and terms are grouped by.
+    """
+    few = names.count() <= BROADCAST_SHORT
+    names = names.select(_key(F.col("_name"), F.octet_length("_name")).alias("_key"), "skills")
+    dealt = cvs.select("cv_id", F.xxhash64(text_col).alias("_mark"), F.col(text_col).alias("_text")).repartition("cv_id", "_mark")
+    grams = _known(_places(dealt, "_text", SHORT).select("cv_id", "_mark", "_key"), names).distinct()
+    return grams.join(F.broadcast(names) if few else names, "_key").select("cv_id", "_mark", "skills")
+
+
+def _words(cvs: DataFrame, text_col, shortest: int) -> DataFrame:
+    """The distinct lowercase words, of so many bytes at least, of each text: ``cv_id, _mark, _word``."""
+    words = F.array_distinct(F.split(F.lower(text_col), BLANK))
+    split = cvs.select("cv_id", F.xxhash64(text_col).alias("_mark"), F.explode_outer(words).alias("_word"))
+    return split.filter(F.octet_length("_word") >= shortest)
+
+
+def _in_texts(cvs: DataFrame, names: DataFrame, text_col) -> DataFrame:
+    """Terms of more than three bytes, by the index over all texts, as ``skills`` beside ``_mark`` and the columns of ``cvs``.
+
+    No ``cv_id`` is null.  Texts without any such term are left out.
+    """
+    found = _anchored(cvs, cut_lineage(anchors(cvs, names, text_col)), text_col)
+    terms = F.collect_set(F.struct("skills", F.when(~F.col("_sure"), F.col("_name")).alias("_rest")))
+    found = found.groupBy("cv_id", "_mark").agg(terms.alias("_terms"))
+    own = cvs.withColumns({"_mark": F.xxhash64(text_col), "_bytes": F.lower(text_col).cast("binary")})
+    there = F.filter("_terms", lambda e: e["_rest"].isNull() | F.contains(F.col("_bytes"), e["_rest"]))
+    return own.join(found, ["cv_id", "_mark"]).select(
+        *cvs.columns, "_mark", F.flatten(F.transform(there, lambda e: e["skills"])).alias("skills")
+    )
+
+
+def _in_words(cvs: DataFrame, names: DataFrame, text_col, shortest: int) -> DataFrame:
+    """Terms of more than three bytes and without blanks, by the index over the distinct words: ``cv_id, _mark, skills``.
+
+    Such a term occurs in a text if it does in one of its words.  Grams of a word are formed once, however many texts have it.
+    """
+    words = _words(cvs, text_col, shortest)
+    # Numbered as they are written, so that places carry a number and no word.
+    known = cut_lineage(words.select("_word").distinct().select(F.monotonically_increasing_id().alias("cv_id"), "_word"))
+    held = _in_texts(known, names, "_word").select("_word", "skills")
+    return words.join(held, "_word").select("cv_id", "_mark", "skills")
+
+
+def _one_by_one(cvs: DataFrame, names: DataFrame, text_col) -> Column:
+    """The skills of a few names, each looked for in the text."""
+    nothing = F.array().cast("array<string>")
+    terms = [(bytes(r["_name"]).decode(), F.array(*map(F.lit, r["skills"]))) for r in names.orderBy("_name").collect()]
+    found = [lambda low, n=n, s=s: F.when(F.contains(low, F.lit(n)), s).otherwise(nothing) for n, s in terms]
+    return bind(F.lower(F.col(text_col)), lambda low: F.flatten(F.array(*[f(low) for f in found]))) if found else nothing
 
 
 def extract_skills(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> DataFrame:
     """Add ``skills``: the vocabulary entries whose lowercase form occurs anywhere in the lowercase text.
 
-    ``vocab`` has a ``skill`` column; nulls and empty entries are ignored.  One way for a vocabulary of any size, an inverted
-    index of grams: a term waits at its rarest gram, by exact counts over all texts, and each place of that
+    ``vocab`` has a ``skill`` column; nulls and empty entries are ignored.  Up to ``FEW`` entries are looked for one by one.  More are
+    found by an inverted index of grams: a term waits at its rarest gram, by exact counts, and each place of that
     gram brings the bytes around it, against which the term is compared at once.  Only a term that reaches further than these
-    bytes and agrees with them all is looked for in the text itself.  Terms of up to three bytes are members of the text's set
-    of grams.  A text is moved at most once.  The vocabulary and its anchors are checkpointed here, in the shared folder.  Rows that share a ``cv_id`` are each searched by themselves.  Not for streams.
+    bytes and agrees with them all is looked for in the text itself.  Terms without blanks are indexed over the distinct words
+    of all texts, and a text has the terms of its words; other terms are indexed over the texts.  Terms of up to three bytes are members of the text's set
+    of grams.  The vocabulary, the distinct words and the anchors are checkpointed here, in the shared folder.  Rows that share a ``cv_id`` are each searched by themselves.  Not for streams.
     """
-    # Both are used in several places: the vocabulary, and the anchors that a pass over the texts has chosen.
     names = cut_lineage(names_of(vocab))
-    terms = cut_lineage(anchors(cvs, names, text_col))
-    there = _anchored(cvs, terms, text_col).union(_short(cvs, names, text_col))
+    length, blank = F.octet_length("_name"), F.col("_name").cast("string").rlike(BLANK)
+    kind = F.when(length < GRAMS[0], "short").when(blank, "blank").otherwise("plain").alias("kind")
+    spellings = F.sum(F.size("skills")).alias("n")
+    total = {r.kind: r for r in names.groupBy(kind).agg(spellings, F.sum(length * F.size("skills")).alias("bytes"), F.min(length).alias("shortest")).collect()}
+    if sum(r.n for r in total.values()) <= FEW and sum(r.bytes for r in total.values()) <= FEW_BYTES:
+        return cvs.select(*[c for c in cvs.columns if c != "skills"], _one_by_one(cvs, names, text_col).alias("skills"))
+    # Inside, an id is its hash: never null, and of one size.
+    own = cvs.select(F.xxhash64("cv_id").alias("cv_id"), text_col)
+    parts = []
+    if "short" in total:
+        parts.append(_short(own, names.filter(length < GRAMS[0]), text_col))
+    if "blank" in total:
+        found = _in_texts(own, names.filter((length >= GRAMS[0]) & blank), text_col)
+        parts.append(found.select("cv_id", "_mark", "skills"))
+    if "plain" in total:
+        plain = names.filter((length >= GRAMS[0]) & ~blank)
+        parts.append(_in_words(own, plain, text_col, total["plain"].shortest))
     # Named so that no column of the caller's is likely to be named the same.
-    found = there.groupBy(F.col("cv_id").alias("_found_cv"), F.col("_mark").alias("_found_mark")).agg(
-        F.sort_array(F.collect_set(F.struct(F.col("_name"), "skills", "_sure"))).alias("_found_terms")
-    )
-    marked = cvs.withColumns({"_own_mark": F.xxhash64(text_col), "_own_lowered": F.lower(text_col).cast("binary")})
-    sure = F.filter("_found_terms", lambda e: e["_sure"] | F.contains(F.col("_own_lowered"), e["_name"]))
-    skills = F.coalesce(F.flatten(F.transform(sure, lambda e: e["skills"])), F.array().cast("array<string>"))
-    same = marked["cv_id"].eqNullSafe(F.col("_found_cv")) & (F.col("_own_mark") == F.col("_found_mark"))
-    both = marked.join(found, same, "left")
-    return both.select(*[marked[c] for c in cvs.columns], skills.alias("skills"))
+    both = cvs.withColumns({"_own_cv": F.xxhash64("cv_id"), "_own_mark": F.xxhash64(text_col)})
+    for i, there in enumerate(parts):
+        keys = {"cv_id": f"_found_cv{i}", "_mark": f"_found_mark{i}"}
+        found = there.withColumnsRenamed(keys).groupBy(*keys.values()).agg(F.flatten(F.collect_list("skills")).alias(f"_found{i}"))
+        same = (F.col("_own_cv") == F.col(f"_found_cv{i}")) & (F.col("_own_mark") == F.col(f"_found_mark{i}"))
+        both = both.join(found, same, "left")
+    all_found = F.array_distinct(F.concat(*[F.coalesce(f"_found{i}", F.array().cast("array<string>")) for i in range(len(parts))]))
+    by_name = F.sort_array(F.transform(all_found, lambda s: F.struct(F.lower(s).cast("binary").alias("name"), s.alias("skill"))))
+    kept = [both[c] for c in cvs.columns if c != "skills"]
+    return both.select(*kept, F.transform(by_name, lambda e: e["skill"]).alias("skills"))
