@@ -20,7 +20,7 @@ FILTER_BITS = 1 << 22
 # What words stand between; any such set gives the same results.
 BLANK = "[ \n]"
 # So many spellings of so many bytes in all are looked for in a text one by one.
-FEW, FEW_BYTES = 0, 1 << 14
+FEW, FEW_BYTES = 64, 1 << 14
 # Terms of up to three bytes that are broadcast; more are joined as Spark sees fit.
 BROADCAST_SHORT = 50_000
 # A gram is dealt out to a task for every so many places, if it is one of so many that occur most.
