@@ -31,8 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread the one file that each given table is over ``partitions`` (by default the cores).  Not for streams."""
-    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
+    """Spread a table of fewer files than ``partitions`` (by default the cores) over so many.  Not for streams."""
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= partitions else df.repartition(partitions)
 
 
 def _nth(values, index: Column) -> Column:
