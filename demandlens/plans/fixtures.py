@@ -6,9 +6,16 @@ posting's skill lists is computed row by row; those need one shuffle of the line
 join with the orders reuses.
 """
 
+import re
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandlens.session import ship
+
 # ---- Fixed values: what the numbers in the tables stand for -------------------------------------
 SKILLS = [
     "Python", "SQL", "Java", "JavaScript", "React", "HTML", "CSS", "Docker",
@@ -133,3 +140,26 @@ def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _skill_run(key, 11).alias("technical_skills"),
         experience.alias("experience"),
     )
+
+
+def write_text_files(values: DataFrame, path: str) -> list[str]:
+    """The one column's values each as a text file of its own, ended by a line end; the folders that hold them, one for each task.
+
+    An attempt writes to a folder of its own and only those of finished tasks are returned, so one that is repeated
+    leaves nothing twice.  A file takes one call to the file system.
+    """
+
+    def write(batches):
+        local = "://" not in path and not path.startswith("file:")
+        where = (fs.LocalFileSystem(), path) if local else fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
+        own, n = uuid.uuid4().hex, 0
+        where[0].create_dir(f"{where[1]}/{own}", recursive=True)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                with where[0].open_output_stream(f"{where[1]}/{own}/{n}.txt") as out:
+                    out.write(f"{value or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"folder": [own] if n else []}, pa.schema([("folder", pa.string())]))
+
+    ship(values.sparkSession)
+    return [f"{path}/{r.folder}" for r in values.mapInArrow(write, "folder string").collect()]

@@ -323,9 +323,9 @@ def read_cvs(spark, sf_dir):
 def text_files(spark, sf_dir):
     """Texts written one to a file, read back as whole files, kept as a table and read again."""
     base = f"{shared_dir(spark)}/{_folder()}"
-    documents = fixtures.table(spark, sf_dir, "documents").select("text")
-    documents.write.option("maxRecordsPerFile", 1).text(f"{base}/files")
-    texts.write_cv_texts(texts.read_cv_texts(spark, f"{base}/files"), f"{base}/table")
+    documents = fixtures.spread(fixtures.table(spark, sf_dir, "documents").select("text"))
+    folders = fixtures.write_text_files(documents, f"{base}/files")
+    texts.write_cv_texts(texts.read_cv_texts(spark, folders), f"{base}/table")
     kept = spark.read.parquet(f"{base}/table")
     return kept.select(F.md5("cv_text").alias("md5"), F.length("cv_text").cast("bigint").alias("n_chars"))
 

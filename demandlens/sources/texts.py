@@ -29,12 +29,13 @@ def _as_cvs(files: DataFrame) -> DataFrame:
 
 
 def read_cv_texts(spark: SparkSession, path, pattern=TXT_FILES) -> DataFrame:
-    """Text files as ``cv_id, cv_name, cv_text, modified_at``; a folder without any raises.
+    """Text files of a folder, or of a list of them, as ``cv_id, cv_name, cv_text, modified_at``; without any it raises.
 
     ``cv_id`` is a hash of the path; no operator mixes up rows that happen to share it.
     """
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    if not files.inputFiles():
+    # Counted where they are: their names, of which there may be very many, stay there.
+    if not len(files._jdf.inputFiles()):
         raise FileNotFoundError(f"no text files in {path}")
     return _as_cvs(files)
 
