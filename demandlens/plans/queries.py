@@ -661,11 +661,14 @@ def stream_scoring(spark, sf_dir):
     )
 
 
-def _in_batches(spark, df, path, key, files=3):
-    """The rows written to a few files, dealt out by a hash, and read again as a stream that takes a file at a time."""
-    parts = F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
-    df.withColumn("_part", parts).repartition(files, "_part").write.partitionBy("_part").parquet(path)
-    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+def _in_batches(spark, df, path, key, batches=3):
+    """The rows written to files, dealt out by a hash, and read again as a stream that takes them in about so many batches.
+
+    Tasks write about as many rows each as Spark puts into a part of a shuffle, so the files are more for more rows.
+    """
+    df.withColumn("_deal", F.xxhash64(key)).repartition("_deal").drop("_deal").write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path)._jdf.inputFiles())
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(-(-files // batches), 1))
     return reader.parquet(path)
 
 
