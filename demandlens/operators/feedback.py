@@ -100,7 +100,7 @@ def ask_new(prompts: DataFrame, fn: Callable[[pd.Series], list], store: str, pro
     spark = ship(prompts.sparkSession)
     digest = F.sha2(F.col(prompt_col), 256)
     asked = prompts.select(digest.alias("digest"), F.col(prompt_col).alias("prompt")).filter("prompt IS NOT NULL")
-    new = asked.dropDuplicates(["digest"]).join(stored_answers(spark, store).select("digest"), "digest", "left_anti")
+    new = asked.distinct().join(stored_answers(spark, store).select("digest"), "digest", "left_anti")
     path = f"{store}/run={uuid.uuid4().hex}"
     # The new prompts first, as a table: how many there are says into how many tasks they go.
     new.write.parquet(f"{path}/new")

@@ -10,7 +10,7 @@ from demandlens import rules
 from demandlens.functions import classify, labels, prompts, text
 from demandlens.operators import feedback, gap, market, matching, picks, report, rule_tables, skills
 from demandlens.plans import fixtures
-from demandlens.session import shared_dir
+from demandlens.session import cut_lineage, shared_dir
 from demandlens.sources import tables, texts, uploads
 from demandlens.streaming import intake, states
 
@@ -57,6 +57,11 @@ def _table_gaps(spark, sf_dir):
     return gap.skill_gap(_table_cvs(spark, sf_dir), _slices(spark, sf_dir))
 
 
+def _table_gaps_read_often(spark, sf_dir):
+    """As above, for queries that read the gaps more than once: the market, a few rows, is computed once and kept."""
+    return gap.skill_gap(_table_cvs(spark, sf_dir), cut_lineage(_slices(spark, sf_dir)))
+
+
 # ---- postings and their market ------------------------------------------------------------------
 
 
@@ -587,7 +592,7 @@ def model_report(spark, sf_dir):
 def durable_feedback(spark, sf_dir):
     """Model feedback whose answers are kept: half of the CVs are asked about first, and then all."""
     store = f"{shared_dir(spark)}/{_folder()}"
-    gaps = _table_gaps(spark, sf_dir)
+    gaps = _table_gaps_read_often(spark, sf_dir)
     feedback.with_durable_feedback(gaps.filter("cv_id % 2 = 0"), _measuring_model, store)
     return feedback.with_durable_feedback(gaps, _measuring_model, store).select("cv_id", "feedback")
 
@@ -596,8 +601,9 @@ def durable_feedback(spark, sf_dir):
 def kept_feedback(spark, sf_dir):
     """Feedback from kept answers alone: the second time a model is there that fails whenever it is asked."""
     store = f"{shared_dir(spark)}/{_folder()}"
-    feedback.with_durable_feedback(_table_gaps(spark, sf_dir), _plain_model, store)
-    return feedback.with_durable_feedback(_table_gaps(spark, sf_dir), _absent_model, store).select("cv_id", "feedback")
+    gaps = _table_gaps_read_often(spark, sf_dir)
+    feedback.with_durable_feedback(gaps, _plain_model, store)
+    return feedback.with_durable_feedback(gaps, _absent_model, store).select("cv_id", "feedback")
 
 
 def _plain_model(batch):

@@ -99,3 +99,12 @@ def test_only_the_model_query_uses_python(spark):
     for name in ("market_top_skills", "skill_gap_report", "cv_feedback", "pair_compare", "feedback_clean"):
         assert "EvalPython" not in plan(QUERIES[name](spark, SMALL)), name
     assert "ArrowEvalPython" in plan(QUERIES["model_feedback"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["durable_feedback", "kept_feedback"])
+def test_gaps_that_are_read_often_compute_their_market_once(spark, monkeypatch, name):
+    computed = []
+    slices = market.market_slices
+    monkeypatch.setattr(market, "market_slices", lambda jobs: computed.append(jobs) or slices(jobs))
+    text = plan(QUERIES[name](spark, SMALL))
+    assert len(computed) == 1 and "customer" in text and "lineitem" not in text and "orders" not in text
