@@ -26,14 +26,16 @@ def profiles(jobs: DataFrame, k: int, title_rules=None) -> DataFrame:
     ``wants`` are the lowercase names from the rarest of the role, ``n`` is how many entries the list has, and ``ords`` are the
     first ``k`` postings with that list.
     """
-    listed = split_skills("required_skills")
-    names = F.array_sort(F.array_distinct(F.transform(listed, F.lower)))
-    postings = add_posting_class(jobs, title_rules).select("role", "job_ord", names.alias("_names"), F.size(listed).alias("n"))
-    same = Window.partitionBy("role", "_names", "n").orderBy("job_ord")
-    first = postings.filter("n > 0").withColumn("_nth", F.row_number().over(same)).filter(F.col("_nth") <= k)
+    # A column of its own and no filter on it, so that each list is split once; lists without a name meet no name below.
+    listed = add_posting_class(jobs, title_rules).select("role", "job_ord", split_skills("required_skills").alias("_listed"))
+    names = F.array_sort(F.array_distinct(F.transform("_listed", F.lower)))
+    postings = listed.select("role", "job_ord", names.alias("_names"), F.size("_listed").alias("n"))
+    # Sorted by a hash first: one number tells nearly all lists apart, where lists are slow to compare and begin alike.
+    same = Window.partitionBy(F.xxhash64("role", "_names", "n"), "role", "_names", "n").orderBy("job_ord")
+    first = postings.withColumn("_nth", F.row_number().over(same)).filter(F.col("_nth") <= k)
     sets = first.groupBy("role", "_names", "n").agg(F.sort_array(F.collect_list("job_ord")).alias("ords"))
-    entries = sets.select("*", F.explode("_names").alias("name"))
-    seen = sets.select("role", F.explode("_names").alias("name")).groupBy("role", "name").agg(F.count(F.lit(1)).alias("_seen"))
+    entries = sets.select("*", F.explode_outer("_names").alias("name"))
+    seen = sets.select("role", F.explode_outer("_names").alias("name")).groupBy("role", "name").agg(F.count(F.lit(1)).alias("_seen"))
     by_rarity = F.sort_array(F.collect_list(F.struct("_seen", "name")))
     ordered = entries.join(seen, ["role", "name"]).groupBy("role", "_names", "n").agg(by_rarity.alias("_by"), F.any_value("ords").alias("ords"))
     return ordered.select("role", F.transform("_by", lambda s: s["name"]).alias("wants"), "n", "ords")

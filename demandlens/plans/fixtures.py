@@ -59,24 +59,20 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings, plus ``applicant_id``: the CV that applied to the posting."""
     # Lists cannot be combined before the shuffle, so the line items move as four numbers each.
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .select(*keys)
-        .repartition("l_orderkey")
-        .withColumns(
-            {
-                "required": _nth(SKILLS, F.col("l_partkey") % 40),
-                "preferred": _nth(SKILLS, (F.col("l_suppkey") * 3) % 40),
-            }
-        )
-    )
-    lists = lines.groupBy("l_orderkey").agg(
-        F.expr(
-            "listagg(required, ', ') WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_suppkey)"
-        ).alias("required_skills"),
-        F.expr(
-            "listagg(preferred, ',') WITHIN GROUP (ORDER BY l_linenumber, l_suppkey, l_partkey)"
-        ).alias("preferred_skills"),
+    lines = table(spark, sf_dir, "lineitem").select(*keys).repartition("l_orderkey")
+    # The numbers are gathered once for both lists; names come after.
+    gathered = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(*keys[1:])).alias("lines"))
+
+    def listed(number, then, skill, separator):
+        by = F.transform("lines", lambda x: F.struct(x["l_linenumber"], x[number].alias("number"), x[then].alias("then")))
+        names = F.transform(F.sort_array(by), lambda x: _nth(SKILLS, skill(x["number"])))
+        # Without any name there is no list.
+        return F.nullif(F.array_join(names, separator), F.lit(""))
+
+    lists = gathered.select(
+        "l_orderkey",
+        listed("l_partkey", "l_suppkey", lambda n: n % 40, ", ").alias("required_skills"),
+        listed("l_suppkey", "l_partkey", lambda n: (n * 3) % 40, ",").alias("preferred_skills"),
     )
     priority, title = F.col("o_orderpriority"), F.col("o_orderkey") % 13
     prefix = (

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from conftest import JOBS_SCHEMA
+from demandlens.functions.text import split_skills
 from demandlens.operators import gap, matching
 
 
@@ -73,3 +74,15 @@ def test_a_hot_skill_is_dealt_into_blocks_and_few_pairs_are_formed(spark):
     text = result._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in text and "NestedLoop" not in text and text.count("WindowGroupLimit") >= 2
     assert found(result) == brute_force(cvs, postings, 2)
+
+
+def test_a_posting_s_list_is_split_once(spark):
+    """Not once more for its length, for a filter on it, or for a filter that the optimizer makes of an explode."""
+    _, jobs = setup(spark, [], [(1, "backend", "java, sql"), (2, "devops", None), (3, "devops", " , ")])
+
+    def splits(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+    # The profiles are read twice: for how often each skill is seen, and for their entries.
+    assert splits(matching.profiles(jobs, 2)) == 2 * splits(jobs.select(split_skills("required_skills").alias("listed")))
+    assert [(r.role, r.wants, r.n) for r in matching.profiles(jobs, 2).collect()] == [("backend", ["java", "sql"], 2)]
