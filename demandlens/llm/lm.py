@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +31,6 @@ SCORES = (
 )
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word):
-        number = self[word] = len(self)
-        return number
-
-
 def numbered_words(docs: DataFrame) -> DataFrame:
     """Documents (``_id, _text, _held, _part``) as chunks: token numbers, and the words that the numbers stand for.
 
@@ -48,43 +42,67 @@ def numbered_words(docs: DataFrame) -> DataFrame:
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
 
-        def fresh():
-            return _Numbers({b"": 0}), [], []
-
-        def close(words, tokens, meta):
-            ids, held, part = (list(x) for x in zip(*meta, strict=True))
-            sizes = [len(t) for t in tokens]
-            flat = np.concatenate(tokens)
-            learn = np.repeat(~np.array(held, bool), sizes)
-            counts = np.bincount(flat[learn], minlength=len(words))
-            return pd.DataFrame(
-                {
-                    "chunk": [task << 32 | number],
-                    "ids": [ids],
-                    "held": [held],
-                    "part": [part],
-                    "sizes": [sizes],
-                    "tokens": [flat.astype("<u4").tobytes()],
-                    "words": [[w.decode() for w in words]],
-                    "counts": [counts.tolist()],
-                }
-            )
-
-        (words, tokens, meta), held_tokens = fresh(), 0
+        def close(pieces):
+            """One chunk of ``pieces``: words end to end, their number in each document, and the documents."""
+            coded = pa.chunked_array([p[0] for p in pieces]).combine_chunks().dictionary_encode()
+            sizes, meta = np.concatenate([p[1] for p in pieces]), pa.Table.from_batches([p[2] for p in pieces]).combine_chunks()
+            held = meta["_held"].to_numpy()
+            # An end, which is word 0, follows the words of each document.
+            flat = np.zeros(int(sizes.sum()) + len(sizes), "<u4")
+            flat[_spread(sizes)] = coded.indices.to_numpy() + 1
+            sizes = sizes + 1
+            counts = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(coded.dictionary) + 1)
+            words = pa.concat_arrays([pa.array([""]), coded.dictionary])
+            row = {
+                "chunk": pa.array([task << 32 | number]),
+                "ids": _as_list(meta["_id"]),
+                "held": _as_list(meta["_held"]),
+                "part": _as_list(meta["_part"]),
+                "sizes": _as_list(pa.array(sizes)),
+                "tokens": pa.array([flat.tobytes()]),
+                "words": _as_list(words),
+                "counts": _as_list(pa.array(counts)),
+            }
+            return pa.RecordBatch.from_pydict(row)
+
+        pieces, held_tokens = [], 0
         for batch in batches:
-            for key, text, held, part in zip(*(batch[c] for c in batch.columns), strict=True):
-                parts = (text or "").encode().lower().split()
-                own = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
-                tokens.append(np.append(own, 0))
-                meta.append((key, bool(held), int(part)))
-                held_tokens += len(own) + 1
+            text = pc.fill_null(batch["_text"].cast(pa.string()), "")
+            text = pc.ascii_trim_whitespace(pc.ascii_lower(text))
+            words = pc.ascii_split_whitespace(text)
+            # A text without words has one empty word.
+            sizes = np.where(pc.equal(text, ""), 0, words.value_lengths()).astype(np.int64)
+            flat = words.flatten()
+            flat = flat.filter(pc.not_equal(flat, ""))
+            ends, first = np.cumsum(sizes), 0
+            while first < len(sizes):
+                before = int(ends[first - 1]) if first else 0
+                # The document with which the chunk is full, counting ends.
+                tokens = held_tokens + ends[first:] - before + np.arange(1, len(sizes) - first + 1)
+                full = int(np.searchsorted(tokens, CHUNK_TOKENS))
+                last = min(first + full + 1, len(sizes))
+                piece = flat.slice(before, int(ends[last - 1]) - before)
+                pieces.append((piece, sizes[first:last], batch.slice(first, last - first).select(["_id", "_held", "_part"])))
+                held_tokens = int(tokens[last - first - 1])
                 if held_tokens >= CHUNK_TOKENS:
-                    yield close(words, tokens, meta)
-                    (words, tokens, meta), held_tokens, number = fresh(), 0, number + 1
-        if meta:
-            yield close(words, tokens, meta)
+                    yield close(pieces)
+                    pieces, held_tokens, number = [], 0, number + 1
+                first = last
+        if pieces:
+            yield close(pieces)
+
+    return docs.mapInArrow(run, CHUNKS)
+
+
+def _spread(sizes: np.ndarray) -> np.ndarray:
+    """Places of the words of documents of ``sizes`` when one more place follows each document."""
+    return np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)
+
 
-    return docs.mapInPandas(run, CHUNKS)
+def _as_list(values) -> pa.Array:
+    """One list of all ``values``."""
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def counted(chunks: DataFrame) -> DataFrame:
