@@ -77,21 +77,29 @@ class Gru:
             self.p[name] = vector[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def forward(self, tokens: np.ndarray, state: np.ndarray, keep=False, fresh=None):
+    def inputs(self) -> np.ndarray:
+        """What each token brings to the gates, negated as the sigmoid takes it, and to the new state."""
+        p, h = self.p, self.units
+        return (p["input"] + p["bias"]) * np.repeat(np.array([-1, 1], p["input"].dtype), (2 * h, h))
+
+    def forward(self, tokens: np.ndarray, state: np.ndarray, keep=False, fresh=None, given=None):
         """States before each token of ``tokens`` (time, lane) and the state after the last; an end resets a lane.
 
         ``fresh`` marks the tokens that begin without a state, whatever came before them in the lane.  Inside, units
         come before lanes, so that a step's numbers lie in one piece.  With ``keep``, what `gradients` needs follows.
+        ``given`` are the `inputs`, for many windows of one model.
         """
         p, h = self.p, self.units
         steps, lanes = tokens.shape
         kind = np.result_type(p["gates"], state)
-        rows = p["input"].take(tokens, axis=0)
-        rows += p["bias"]
-        inputs = np.empty((steps, 3 * h, lanes), kind)
-        # The sigmoid takes the negative.
-        np.negative(rows[:, :, : 2 * h].transpose(0, 2, 1), out=inputs[:, : 2 * h])
-        inputs[:, 2 * h :] = rows[:, :, 2 * h :].transpose(0, 2, 1)
+        if given is not None:
+            inputs = np.ascontiguousarray(given.take(tokens, axis=0).transpose(0, 2, 1), kind)
+        else:
+            rows = p["input"].take(tokens, axis=0)
+            rows += p["bias"]
+            inputs = np.empty((steps, 3 * h, lanes), kind)
+            np.negative(rows[:, :, : 2 * h].transpose(0, 2, 1), out=inputs[:, : 2 * h])
+            inputs[:, 2 * h :] = rows[:, :, 2 * h :].transpose(0, 2, 1)
         to_gates, to_new = -p["gates"].T, np.ascontiguousarray(p["new"].T)
         live, ends = (tokens != 0).astype(kind), (tokens == 0).any(1).tolist()
         kept, begins = (None, [False] * steps) if fresh is None else ((~fresh).astype(kind), fresh.any(1).tolist())
@@ -138,8 +146,11 @@ class Gru:
         place = np.arange(len(kind)) - (np.cumsum(rooms) - rooms)[kind]
         real = place < sizes[kind]
         order = order[np.minimum((np.cumsum(sizes) - sizes)[kind] + place, len(order) - 1)]
+        # Where each token's row is.
+        back_at = np.empty(len(tokens), np.int64)
+        back_at[order[real]] = np.flatnonzero(real)
         near = np.ones((len(order), h + 1), np.result_type(states, p["word"]))
-        near[:, :h] = states[order]
+        near[:, :h] = states.take(order, axis=0)
         weighed = None if weights is None else weights[order] * real
         reach = float(np.abs(states).max(initial=0))
         out, back = np.zeros(len(order)), None if weights is None else np.zeros((len(order), h), near.dtype)
@@ -194,13 +205,10 @@ class Gru:
         add("class", np.searchsorted(top, np.arange(self.tops + 1)), kind - top * self.span)
         edges = np.searchsorted(kind, np.arange(self.classes + 1))
         add("word", edges, np.where(real, self.slot[np.minimum(tokens[order], self.words - 1)], 0)[: edges[-1]], joined)
-        told = np.empty(len(tokens))
-        told[order[real]] = out[real]
+        told = out[back_at]
         if weights is None:
             return told
-        at_states = np.empty((len(tokens), h), back.dtype)
-        at_states[order[real]] = back[real]
-        return told, grads, at_states
+        return told, grads, back.take(back_at, axis=0)
 
     def gradients(self, tokens: np.ndarray, live: np.ndarray, state: np.ndarray, sparse=False, fresh=None):
         """Log likelihood of a window, its gradients (truncated at the window's start), and the state after it.
@@ -283,10 +291,10 @@ class Gru:
 
     def score(self, documents: list[np.ndarray], window=2 * WINDOW, lanes=SCORE_LANES) -> np.ndarray:
         """Natural log likelihood of each whole document; the state goes on from window to window."""
-        out, state = np.zeros(len(documents)), None
+        out, state, given = np.zeros(len(documents)), None, self.inputs()
         for tokens, live, owner in windows(documents, window, lanes, owners=True):
             state = np.zeros((tokens.shape[1], self.units), np.float32) if state is None else state[: tokens.shape[1]]
-            states, state, _ = self.forward(tokens, state)
+            states, state, _ = self.forward(tokens, state, given=given)
             own = live.ravel()
             got = self.log_probability(states.reshape(-1, self.units)[own], tokens.ravel()[own])
             np.add.at(out, owner.ravel()[own], got)

@@ -24,7 +24,7 @@ PARTS = 4
 WEIGHT_SLICES = 64
 CHUNKS = (
     "chunk long, ids array<string>, held array<boolean>, part array<int>, sizes array<long>, tokens binary, "
-    "words array<string>, counts array<long>"
+    "words string, counts binary"
 )
 SCORES = (
     "{id} string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -34,8 +34,8 @@ SCORES = (
 def numbered_words(docs: DataFrame) -> DataFrame:
     """Documents (``_id, _text, _held, _part``) as chunks: token numbers, and the words that the numbers stand for.
 
-    A-Z count as a-z, words are parted by ASCII white space, and the empty word ends a document.  ``counts`` has how
-    often training documents hold each word.  A chunk is closed when it has ``CHUNK_TOKENS``, so only a longer
+    A-Z count as a-z, words are parted by ASCII white space, and the empty word ends a document.  ``words`` has the
+    words with blanks between them, as they hold none; ``counts`` how often training documents hold each, as 64-bit numbers.  A chunk is closed when it has ``CHUNK_TOKENS``, so only a longer
     document makes a larger one.
     """
 
@@ -53,6 +53,7 @@ def numbered_words(docs: DataFrame) -> DataFrame:
             sizes = sizes + 1
             counts = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(coded.dictionary) + 1)
             words = pa.concat_arrays([pa.array([""]), coded.dictionary])
+            joined = pc.binary_join(_as_list(words), " ")
             row = {
                 "chunk": pa.array([task << 32 | number]),
                 "ids": _as_list(meta["_id"]),
@@ -60,8 +61,8 @@ def numbered_words(docs: DataFrame) -> DataFrame:
                 "part": _as_list(meta["_part"]),
                 "sizes": _as_list(pa.array(sizes)),
                 "tokens": pa.array([flat.tobytes()]),
-                "words": _as_list(words),
-                "counts": _as_list(pa.array(counts)),
+                "words": joined,
+                "counts": pa.array([counts.astype("<i8").tobytes()]),
             }
             return pa.RecordBatch.from_pydict(row)
 
@@ -110,22 +111,39 @@ def counted(chunks: DataFrame) -> DataFrame:
 
     Each chunk sends each of its words once, so the most frequent word comes once from each.
     """
-    entry = F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry")
-    rows = chunks.select("chunk", entry).select(
-        "chunk", "at", F.col("entry.words").alias("word"), F.col("entry.counts").alias("count")
-    )
+
+    def listed(batches):
+        for batch in batches:
+            for chunk, words, counts in zip(*(batch[c] for c in ("chunk", "words", "counts")), strict=True):
+                words = _apart(words)
+                row = {
+                    "chunk": pa.repeat(chunk, len(words)),
+                    "at": pa.array(np.arange(len(words), dtype=np.int32)),
+                    "word": words,
+                    "count": pa.array(np.frombuffer(counts.as_buffer(), "<i8")),
+                }
+                yield pa.RecordBatch.from_pydict(row)
+
+    rows = chunks.select("chunk", "words", "counts").mapInArrow(listed, "chunk long, at int, word string, count long")
     same = Window.partitionBy("word")
     home = F.min("chunk").over(same) == F.col("chunk")
     return rows.select("chunk", "at", F.sum("count").over(same).alias("count"), F.when(home, F.col("word")).alias("word"))
 
 
-def _network_ids(words, known: dict[str, int], others: int) -> np.ndarray:
+def _apart(words: pa.Scalar) -> pa.Array:
+    """The words of a chunk."""
+    return pc.split_pattern(pa.array([words.as_py()], pa.string()), " ").flatten()
+
+
+def _network_ids(words: pa.Array, known: list[str], others: int) -> np.ndarray:
     """The network's numbers of words: those after the known ones are the classes that others are hashed to."""
-    n = len(known)
-    return np.fromiter((known[w] if w in known else n + zlib.crc32(w.encode()) % others for w in words), np.int64, len(words))
+    ids = pc.fill_null(pc.index_in(words, value_set=pa.array(known, pa.string())), -1).to_numpy().astype(np.int64)
+    rest = words.filter(pa.array(ids < 0)).cast(pa.binary()).to_pylist()
+    ids[ids < 0] = len(known) + np.fromiter(map(zlib.crc32, rest), np.int64, len(rest)) % others
+    return ids
 
 
-def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS, others=OTHERS) -> Gru:
+def train(chunks: DataFrame, known: list[str], model: Gru, rounds=PARTS, others=OTHERS) -> Gru:
     """Train the network once on every training document, in rounds: those of part 0, part 1 and so on.
 
     In a round every task starts from the same weights and learns from its chunks' documents by truncated
@@ -136,17 +154,19 @@ def train(chunks: DataFrame, known: dict[str, int], model: Gru, rounds=PARTS, ot
 
     def lessons(batches):
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids = _network_ids(row.words, known, others)[np.frombuffer(row.tokens, "<u4")].astype("<u2")
-                documents = np.split(ids, np.cumsum(row.sizes)[:-1])
+            for chunk, held, part, sizes, tokens, words in zip(*batch.columns, strict=True):
+                ids = _network_ids(_apart(words), known, others).astype("<u2")[np.frombuffer(tokens.as_buffer(), "<u4")]
+                held, part, sizes = (x.values.to_numpy(zero_copy_only=False) for x in (held, part, sizes))
+                documents = np.split(ids, np.cumsum(sizes)[:-1])
                 for r in range(rounds):
-                    own = [d for d, held, part in zip(documents, row.held, row.part, strict=True) if part == r and not held]
+                    own = [documents[d] for d in np.flatnonzero((part == r) & ~held)]
                     if own:
-                        yield pd.DataFrame({"chunk": [row.chunk], "round": [r], "tokens": [np.concatenate(own).tobytes()]})
+                        row = {"chunk": [chunk.as_py()], "round": pa.array([r], pa.int32()), "tokens": [np.concatenate(own).tobytes()]}
+                        yield pa.RecordBatch.from_pydict(row)
 
     needed = chunks.select("chunk", "held", "part", "sizes", "tokens", "words")
     folder = scratch(chunks.sparkSession, "lm-lessons")
-    texts = written(needed.mapInPandas(lessons, "chunk long, round int, tokens binary"), "lm-lessons", "zstd", folder)
+    texts = written(needed.mapInArrow(lessons, "chunk long, round int, tokens binary"), "lm-lessons", "zstd", folder)
     start = model.vector()
 
     def study(batches):
@@ -213,7 +233,7 @@ def score(
     common = own.filter("word != ''").orderBy(F.desc("count"), "word").select("word", "count").limit(words - 1).collect()
     ends = own.filter("word = ''").select("word", "count").collect()
     listed = [*ends, *common]
-    known = {row["word"]: i for i, row in enumerate(listed)}
+    known = [row["word"] for row in listed]
     everything = total + kinds + 1
     # What the other words of each hash have together; at most ``others`` rows.
     rest = np.zeros(others, np.int64)
@@ -231,35 +251,27 @@ def score(
     names = [f.split()[0] for f in SCORES.format(id=id_col).split(", ")]
 
     def run(chunk, entries):
-        row = chunk.iloc[0]
-        counts = np.zeros(len(row["words"]), np.int64)
+        row = {c: chunk[c][0] for c in chunk.column_names}
+        words = _apart(row["words"])
+        counts = np.zeros(len(words), np.int64)
         counts[entries["at"].to_numpy()] = entries["count"].to_numpy()
-        tokens, sizes = np.frombuffer(row["tokens"], "<u4"), np.asarray(row["sizes"])
+        tokens, sizes = np.frombuffer(row["tokens"].as_buffer(), "<u4"), row["sizes"].values.to_numpy()
         starts = np.cumsum(sizes) - sizes
         base = np.add.reduceat(np.log10((counts + 1) / everything)[tokens], starts)
         final = base
         if model is not None:
-            ids = np.where(counts > 0, _network_ids(row["words"], known, others), len(known))
+            ids = np.where(counts > 0, _network_ids(words, known, others), len(known))
             shares = np.where(ids >= len(known), np.log((counts + 1) / np.maximum(rest, 1)[np.maximum(ids - len(known), 0)]), 0.0)
             found = model.score(np.split(ids[tokens], starts[1:]))
             final = (found + np.add.reduceat(shares[tokens], starts)) / np.log(10)
-        return pd.DataFrame(
-            dict(
-                zip(
-                    names,
-                    (
-                        row["ids"], row["held"], sizes, np.add.reduceat((counts > 0).astype(np.int64)[tokens], starts),
-                        total, base, final,
-                    ),
-                    strict=True,
-                )
-            )
-        )
+        n_known = np.add.reduceat((counts > 0).astype(np.int64)[tokens], starts)
+        columns = (row["ids"].values, row["held"].values, sizes, n_known, np.full(len(sizes), total), base, final)
+        return pa.table(dict(zip(names, columns, strict=True)))
 
     needed = chunks.select("chunk", "ids", "held", "sizes", "tokens", "words")
     scored = (
         needed.groupBy("chunk")
         .cogroup(looked.select("chunk", "at", "count").groupBy("chunk"))
-        .applyInPandas(run, SCORES.format(id=id_col))
+        .applyInArrow(run, SCORES.format(id=id_col))
     )
     return scored.withColumn(id_col, F.col(id_col).cast(dict(docs.dtypes)[id_col]))

@@ -151,3 +151,64 @@ def test_very_large_weights_give_finite_probabilities():
     for k in ("top", "class", "word"):
         model.p[k] = model.p[k] * 1e4
     assert np.isfinite(model.log_probability(np.ones((13, 5)), np.arange(13))).all()
+
+
+def test_rare_classes_share_calls_and_say_the_same(monkeypatch):
+    """A batch over many classes takes a few calls, with the probabilities and gradients of one call for each class."""
+    rng = np.random.default_rng(6)
+    model = Gru(np.log(np.full(480, 1 / 500)), np.log(np.full(3, 1 / 500)), units=5, classes=48)
+    for k, v in model.p.items():
+        model.p[k] = v.astype(np.float64) + 0.2 * rng.standard_normal(v.shape) * (v > -20)
+    tokens, state, weights = rng.integers(0, 483, 300), rng.standard_normal((300, 5)), rng.integers(0, 2, 300).astype(float)
+    calls, blocks = [], gru._blocks
+    monkeypatch.setattr(gru, "_blocks", lambda *a: (calls.append(len(p)) or p for p in blocks(*a)))
+    found = model.log_probability(state, tokens, weights)
+    shared = sum(calls)
+    for joined, few, rows in ((1, 48, 1024), (8, 0, 1024), (5, 48, 64), (48, 48, 7)):
+        calls.clear()
+        for name, value in (("JOINED", joined), ("FEW", few), ("ROWS", rows)):
+            monkeypatch.setattr(gru, name, value)
+        alone = model.log_probability(state, tokens, weights)
+        assert np.allclose(found[0], alone[0]) and np.allclose(found[2], alone[2])
+        assert all(np.allclose(found[1][k], alone[1][k]) for k in ("top", "class", "word"))
+        assert few and joined == 5 or sum(calls) > 2 * shared
+
+
+def test_steps_are_those_of_adam():
+    rng = np.random.default_rng(2)
+    value, one, two = np.zeros(5), np.zeros(5), np.zeros(5)
+    plain, first, second = np.zeros(5), np.zeros(5), np.zeros(5)
+    for done in range(1, 30):
+        g = rng.standard_normal(5)
+        first, second = 0.9 * first + 0.1 * (g / 3), 0.999 * second + 0.001 * (g / 3) ** 2
+        plain += 0.02 * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.999**done)) + 1e-8)
+        gru._adam(value, one, two, g.copy(), 1 / 3, 0.02, done)
+        assert np.allclose(value, plain)
+
+
+def test_rows_are_summed_by_their_number():
+    rng = np.random.default_rng(8)
+    rows, values = np.append(rng.integers(0, 40, 200), [50] * 30), rng.standard_normal((230, 3))
+    found, sums = gru._summed(gru._short(rows, 51), values)
+    assert found.tolist() == sorted(set(rows.tolist()))
+    assert np.allclose(sums, [values[rows == r].sum(0) for r in found])
+    assert gru._short(rows, 1 << 17) is rows
+
+
+def test_chunks_hold_every_word_in_order(spark, monkeypatch):
+    """Numbers of words stand for the words that Python parts by ASCII white space; chunks close at their size."""
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 12)
+    texts = [None, "", " ", "a\x0bB\x0cc\x1cd\x1f e f\u0130X", "\t x  y \r\n", "\x85 z\x85", "one Two two " * 9, "x", "y a"]
+    rows = [(str(i), t, i % 3 == 0, i % 4) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "_id string, _text string, _held boolean, _part int").coalesce(1)
+    told = lm.numbered_words(docs).orderBy("chunk").collect()
+    found = []
+    for row in told:
+        words, tokens = row.words.split(" "), np.frombuffer(row.tokens, "<u4")
+        assert len(set(words)) == len(words) and sum(row.sizes[:-1]) < 12
+        own = np.repeat(~np.array(row.held), row.sizes)
+        assert np.frombuffer(row["counts"], "<i8").tolist() == np.bincount(tokens[own], minlength=len(words)).tolist()
+        cut = np.split(tokens, np.cumsum(row.sizes)[:-1])
+        found += [(i, [words[n].encode() for n in t], h, p) for i, t, h, p in zip(row.ids, cut, row.held, row.part, strict=True)]
+    assert len(told) > 2
+    assert found == [(i, (t or "").encode().lower().split() + [b""], h, p) for i, t, h, p in rows]
