@@ -18,13 +18,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec="snappy", path: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, codec="snappy", path: str | None = None, **options) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe when executors are lost.
 
-    Spark knows the size of what it reads back, so it broadcasts such a table only if it is small.
+    Spark knows the size of what it reads back, so it broadcasts such a table only if it is small.  ``options`` are the
+    writer's.
     """
     path = path or scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -414,7 +414,7 @@ def windows(documents: list[np.ndarray], window: int, lanes: int, owners=False,
     laid, lengths = [d for k in ranks for d in held[k]], lengths[ranks]
     flat, begins = np.concatenate([documents[d] for d in laid]), np.cumsum(lengths) - lengths
     if owners:
-        marks = np.repeat(laid, sizes[laid])
+        marks = np.repeat(np.array(laid, np.int32), sizes[laid])
     elif starts:
         marks = np.zeros(len(flat), bool)
         marks[(np.cumsum(sizes[laid]) - sizes[laid])[sizes[laid] > 0]] = True

@@ -18,6 +18,11 @@ from demandlens.session import ship
 
 #: Tokens of a chunk: documents whose words are numbered together.
 CHUNK_TOKENS = 1 << 21
+#: Bytes of text that are taken apart at a time.
+TEXT_BYTES = 1 << 22
+#: A row of chunks or lessons has megabytes, so a row group is closed once it has so many bytes and not after a hundred rows
+#: at the earliest.  Writers and readers hold one at a time, however much a task has.
+SHORT_GROUPS = {"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Parts of the training documents.  The network is trained on all of them, one in each round.
 PARTS = 4
 #: Slices in which trained weights are averaged.
@@ -44,15 +49,16 @@ def numbered_words(docs: DataFrame) -> DataFrame:
 
         def close(pieces):
             """One chunk of ``pieces``: words end to end, their number in each document, and the documents."""
-            coded = pa.chunked_array([p[0] for p in pieces]).combine_chunks().dictionary_encode()
+            coded = pa.chunked_array([p[0] for p in pieces]).unify_dictionaries()
             sizes, meta = np.concatenate([p[1] for p in pieces]), pa.Table.from_batches([p[2] for p in pieces]).combine_chunks()
             held = meta["_held"].to_numpy()
             # An end, which is word 0, follows the words of each document.
-            flat = np.zeros(int(sizes.sum()) + len(sizes), "<u4")
-            flat[_spread(sizes)] = coded.indices.to_numpy() + 1
             sizes = sizes + 1
-            counts = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(coded.dictionary) + 1)
-            words = pa.concat_arrays([pa.array([""]), coded.dictionary])
+            flat, inner = np.zeros(int(sizes.sum()), "<u4"), np.ones(int(sizes.sum()), bool)
+            inner[np.cumsum(sizes) - 1] = False
+            flat[inner] = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) + 1
+            words = pa.concat_arrays([pa.array([""]), coded.chunk(0).dictionary])
+            counts = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(words))
             joined = pc.binary_join(_as_list(words), " ")
             row = {
                 "chunk": pa.array([task << 32 | number]),
@@ -67,7 +73,7 @@ def numbered_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict(row)
 
         pieces, held_tokens = [], 0
-        for batch in batches:
+        for batch in _bounded(batches, "_text", TEXT_BYTES):
             text = pc.fill_null(batch["_text"].cast(pa.string()), "")
             text = pc.ascii_trim_whitespace(pc.ascii_lower(text))
             words = pc.ascii_split_whitespace(text)
@@ -82,12 +88,14 @@ def numbered_words(docs: DataFrame) -> DataFrame:
                 tokens = held_tokens + ends[first:] - before + np.arange(1, len(sizes) - first + 1)
                 full = int(np.searchsorted(tokens, CHUNK_TOKENS))
                 last = min(first + full + 1, len(sizes))
-                piece = flat.slice(before, int(ends[last - 1]) - before)
-                pieces.append((piece, sizes[first:last], batch.slice(first, last - first).select(["_id", "_held", "_part"])))
+                # What is kept is numbers and copies: nothing that the batch's texts stay for.
+                piece = flat.slice(before, int(ends[last - 1]) - before).dictionary_encode()
+                pieces.append((piece, sizes[first:last], batch.select(["_id", "_held", "_part"]).take(pa.array(range(first, last)))))
                 held_tokens = int(tokens[last - first - 1])
                 if held_tokens >= CHUNK_TOKENS:
                     yield close(pieces)
                     pieces, held_tokens, number = [], 0, number + 1
+                    pa.default_memory_pool().release_unused()
                 first = last
         if pieces:
             yield close(pieces)
@@ -95,9 +103,14 @@ def numbered_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, CHUNKS)
 
 
-def _spread(sizes: np.ndarray) -> np.ndarray:
-    """Places of the words of documents of ``sizes`` when one more place follows each document."""
-    return np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)
+def _bounded(batches, column: str, size: int):
+    """The rows of ``batches`` in slices with about ``size`` bytes of ``column``, or one row with more."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths, dtype=np.int64) // size
+        edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+        for first, last in zip(edges, edges[1:]):
+            yield batch.slice(first, last - first)
 
 
 def _as_list(values) -> pa.Array:
@@ -166,7 +179,7 @@ def train(chunks: DataFrame, known: list[str], model: Gru, rounds=PARTS, others=
 
     needed = chunks.select("chunk", "held", "part", "sizes", "tokens", "words")
     folder = scratch(chunks.sparkSession, "lm-lessons")
-    texts = written(needed.mapInArrow(lessons, "chunk long, round int, tokens binary"), "lm-lessons", "zstd", folder)
+    texts = written(needed.mapInArrow(lessons, "chunk long, round int, tokens binary"), "lm-lessons", "zstd", folder, **SHORT_GROUPS)
     start = model.vector()
 
     def study(batches):
@@ -225,7 +238,7 @@ def score(
         (fold(id_col, folds) == held).alias("_held"),
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(parts)).cast("int").alias("_part"),
     )
-    chunks = written(numbered_words(text), "lm-chunks", "zstd")
+    chunks = written(numbered_words(text), "lm-chunks", "zstd", **SHORT_GROUPS)
     looked = written(counted(chunks), "lm-counts", "zstd")
     own = looked.filter("word is not null and count > 0")
     total, kinds = own.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
@@ -260,7 +273,7 @@ def score(
         base = np.add.reduceat(np.log10((counts + 1) / everything)[tokens], starts)
         final = base
         if model is not None:
-            ids = np.where(counts > 0, _network_ids(words, known, others), len(known))
+            ids = np.where(counts > 0, _network_ids(words, known, others), len(known)).astype(np.int32)
             shares = np.where(ids >= len(known), np.log((counts + 1) / np.maximum(rest, 1)[np.maximum(ids - len(known), 0)]), 0.0)
             found = model.score(np.split(ids[tokens], starts[1:]))
             final = (found + np.add.reduceat(shares[tokens], starts)) / np.log(10)

@@ -3,10 +3,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from conftest import SMALL
 from demandlens.llm import gru, lm
+from demandlens.llm.common import scratch, written
 from demandlens.llm.gru import Gru, windows
 from demandlens.llm.lm import score
 
@@ -212,3 +215,59 @@ def test_chunks_hold_every_word_in_order(spark, monkeypatch):
         found += [(i, [words[n].encode() for n in t], h, p) for i, t, h, p in zip(row.ids, cut, row.held, row.part, strict=True)]
     assert len(told) > 2
     assert found == [(i, (t or "").encode().lower().split() + [b""], h, p) for i, t, h, p in rows]
+
+
+class _Frame:
+    """Gives the function that a frame would run in its tasks."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_an_open_chunk_keeps_numbers_and_no_texts(monkeypatch):
+    """What a task holds between batches is far below the texts that it has read for the chunk."""
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(lm, "TaskContext", Task)
+    held, start = [], pa.total_allocated_bytes()
+
+    def batches():
+        for n in range(20):
+            text = " ".join(f"{i:04d}" + "word" * 15 for i in range(500)) + " "
+            rows = {"_id": [f"{n}"], "_text": [text * 30], "_held": [False], "_part": pa.array([0], pa.int32())}
+            # As read from Spark: one buffer behind all columns of a batch.
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, (batch := pa.RecordBatch.from_pydict(rows)).schema) as out:
+                out.write_batch(batch)
+            del rows, batch
+            yield pa.ipc.open_stream(sink.getvalue()).read_next_batch()
+            del sink
+            held.append(pa.total_allocated_bytes() - start)
+
+    (chunk,) = lm.numbered_words(_Frame())(batches())
+    assert len(chunk["sizes"][0]) == 20 and chunk["sizes"][0][0].as_py() == 15_001
+    # Twenty texts of almost a megabyte.
+    assert max(held) < 6 << 20
+
+
+def test_texts_are_taken_apart_a_few_bytes_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * n for n in (3, 3, 9, 0, 1)] + [None, "bb"]})
+    slices = [b["t"].to_pylist() for b in lm._bounded(iter([batch, batch.slice(0, 0)]), "t", 6)]
+    assert sum(slices, []) == batch["t"].to_pylist() and len(slices) == 4
+    assert all(sum(len(t or "") for t in s[1:]) <= 6 for s in slices)
+
+
+def test_row_groups_of_large_rows_are_small(spark):
+    rows = spark.range(0, 12, 1, 1).selectExpr("id", "array_join(transform(sequence(1, 60000), x -> uuid()), '') AS t")
+    folder = scratch(spark, "short-groups")
+    assert written(rows, "short-groups", "zstd", folder, **lm.SHORT_GROUPS).selectExpr("count(t)").first()[0] == 12
+    (meta,) = [f.metadata for f in pq.ParquetDataset(folder.removeprefix("file://")).fragments]
+    assert meta.num_row_groups >= 6
