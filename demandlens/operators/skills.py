@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from demandlens.functions.text import bind, split_skills
 from demandlens.session import cut_lineage
 
+try:
+    from demandlens.operators.vocabulary import in_words as vocabulary_in_words
+    from demandlens.operators.vocabulary import readable
+except ModuleNotFoundError as missing:  # then every vocabulary is indexed by Spark alone
+    if missing.name not in ("numpy", "pyarrow"):
+        raise
+    HAS_ARROW = False
+else:
+    HAS_ARROW = True
+
 # Bytes of the grams by which terms and texts are joined; a shorter term is a gram itself.
 GRAMS = [4, 6]
 SHORT = [1, 2, 3]
@@ -21,6 +31,8 @@ FILTER_BITS = 1 << 22
 BLANK = "[ \n]"
 # So many spellings of so many bytes in all are looked for in a text one by one.
 FEW, FEW_BYTES = 64, 1 << 14
+# From so many terms without blanks on, tasks read the vocabulary and no text or word moves.
+LARGE = 100_000
 # Terms of up to three bytes that are broadcast; more are joined as Spark sees fit.
 BROADCAST_SHORT = 50_000
 # A gram is dealt out to a task for every so many places, if it is one of so many that occur most.
@@ -207,6 +219,11 @@ def _one_by_one(cvs: DataFrame, names: DataFrame, text_col) -> Column:
     return bind(F.lower(F.col(text_col)), lambda low: F.flatten(F.array(*[f(low) for f in found]))) if found else nothing
 
 
+def _all_large(cvs: DataFrame, total: dict) -> bool:
+    """Whether the vocabulary is large, without blanks, and can be read by tasks."""
+    return HAS_ARROW and "blank" not in total and sum(r.names for r in total.values()) >= LARGE and readable(cvs.sparkSession)
+
+
 def extract_skills(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> DataFrame:
     """Add ``skills``: the vocabulary entries whose lowercase form occurs anywhere in the lowercase text.
 
@@ -215,15 +232,18 @@ def extract_skills(cvs: DataFrame, vocab: DataFrame, text_col="cv_text") -> Data
     gram brings the bytes around it, against which the term is compared at once.  Only a term that reaches further than these
     bytes and agrees with them all is looked for in the text itself.  Terms without blanks are indexed over the distinct words
     of all texts, and a text has the terms of its words; other terms are indexed over the texts.  Terms of up to three bytes are members of the text's set
-    of grams.  The vocabulary, the distinct words and the anchors are checkpointed here, in the shared folder.  Rows that share a ``cv_id`` are each searched by themselves.  Not for streams.
+    of grams.  A vocabulary of ``LARGE`` terms or more, all without blanks, is read by the tasks that hold the texts instead
+    (see `vocabulary`), as an index would take many times the room of the texts.  The vocabulary, the distinct words and the anchors are checkpointed here, in the shared folder.  Rows that share a ``cv_id`` are each searched by themselves.  Not for streams.
     """
     names = cut_lineage(names_of(vocab))
     length, blank = F.octet_length("_name"), F.col("_name").cast("string").rlike(BLANK)
     kind = F.when(length < GRAMS[0], "short").when(blank, "blank").otherwise("plain").alias("kind")
     spellings = F.sum(F.size("skills")).alias("n")
-    total = {r.kind: r for r in names.groupBy(kind).agg(spellings, F.sum(length * F.size("skills")).alias("bytes"), F.min(length).alias("shortest")).collect()}
+    total = {r.kind: r for r in names.groupBy(kind).agg(F.count(F.lit(1)).alias("names"), spellings, F.sum(length * F.size("skills")).alias("bytes"), F.min(length).alias("shortest")).collect()}
     if sum(r.n for r in total.values()) <= FEW and sum(r.bytes for r in total.values()) <= FEW_BYTES:
         return cvs.select(*[c for c in cvs.columns if c != "skills"], _one_by_one(cvs, names, text_col).alias("skills"))
+    if _all_large(cvs, total):
+        return vocabulary_in_words(cvs, names, text_col, sum(r.names for r in total.values()))
     # Inside, an id is its hash: never null, and of one size.
     own = cvs.select(F.xxhash64("cv_id").alias("cv_id"), text_col)
     parts = []
